@@ -39,3 +39,35 @@ def p9_shared(spark: SparkSession, d: str) -> DataFrame:
     from foliospark.llm.spans import SharedSpans
 
     return SharedSpans(table(spark, d, "documents")).report().withColumnRenamed("id", "doc_id")
+
+
+@query
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines and titles repeated excessively within a book."""
+    from foliospark.llm.lines import found
+
+    return found(table(spark, d, "page_lines"), table(spark, d, "chapters"))
+
+
+@query
+def p1_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Pages without their repeated lines."""
+    from foliospark.llm.lines import clean_pages
+
+    return clean_pages(table(spark, d, "page_lines"))
+
+
+@query
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Spans and cleaned texts that look like a glossary term but hold other characters."""
+    from foliospark.llm.glyphs import found
+
+    return found(table(spark, d, "page_lines"), table(spark, d, "blocks"), table(spark, d, "glossary"))
+
+
+@query
+def p2_forms(spark: SparkSession, d: str) -> DataFrame:
+    """The cleaned text of every block in its one form."""
+    from foliospark.llm.glyphs import normalise
+
+    return normalise(table(spark, d, "blocks").select("book_id", "block_id", "cleaned_text"), "cleaned_text", "form").drop("cleaned_text")
