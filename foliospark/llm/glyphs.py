@@ -15,6 +15,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from foliospark.session import ensure_checkpoint_dir
+
 # Letters of other scripts that look like a Latin letter, each behind the letter it looks like.
 LOOK_ALIKES = {
     "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "H": "НΗ", "I": "ІΙӀ", "J": "ЈͿ", "K": "КΚ", "M": "МΜ", "N": "Ν", "O": "ОΟ", "P": "РΡ", "Q": "Ԛ",
@@ -129,14 +131,19 @@ def forms(texts: DataFrame, column: str = "text") -> DataFrame:
     return distinct.join(built, ["h1", "h2"], "left").select("h1", "h2", "text", F.coalesce("form", F.lit("")).alias("form"))
 
 
-def normalise(df: DataFrame, column: str, out: str) -> DataFrame:
-    """``df`` with the column ``out``: the text of ``column`` in its one form; null stays null, a text of invisible characters becomes ''."""
+def normalise(df: DataFrame, column: str, out: str, keep: bool = False) -> DataFrame:
+    """``df`` with the column ``out``: the text of ``column`` in its one form; null stays null, a text of invisible characters becomes ''.
+
+    keep: the forms of the distinct texts are materialised, for a result that is read more than once."""
     text = F.col(column)
     cols = [F.col(f"`{c}`") for c in df.columns]
     plain = df.where(text.isNull() | ~needs_mapping(text)).select(*cols, text.alias(out))
     h1, h2 = (k.alias(f"__{n}") for k, n in zip(_keys(text), ("h1", "h2")))
     other = df.where(needs_mapping(text)).select(*cols, h1, h2)
     f = forms(df, column).select("h1", "h2", F.col("form").alias("__form"))
+    if keep:
+        ensure_checkpoint_dir(df.sparkSession)
+        f = f.checkpoint()
     other = other.join(f, (F.col("__h1") == f.h1) & (F.col("__h2") == f.h2)).select(*cols, F.col("__form").alias(out))
     return plain.unionByName(other)
 
