@@ -71,3 +71,19 @@ def p2_forms(spark: SparkSession, d: str) -> DataFrame:
     from foliospark.llm.glyphs import normalise
 
     return normalise(table(spark, d, "blocks").select("book_id", "block_id", "cleaned_text"), "cleaned_text", "form").drop("cleaned_text")
+
+
+@query
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Items and blocks whose Markdown holds residue of other markup."""
+    from foliospark.llm.markup import found
+
+    return found(table(spark, d, "out_items"), table(spark, d, "blocks"))
+
+
+@query
+def p3_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The Markdown of items and blocks without residue."""
+    from foliospark.llm.markup import clean
+
+    return clean(table(spark, d, "out_items"), table(spark, d, "blocks"))
