@@ -87,3 +87,19 @@ def p3_clean(spark: SparkSession, d: str) -> DataFrame:
     from foliospark.llm.markup import clean
 
     return clean(table(spark, d, "out_items"), table(spark, d, "blocks"))
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Items and blocks whose Markdown exceeds the limit of its kind."""
+    from foliospark.llm.split import found
+
+    return found(table(spark, d, "out_items"), table(spark, d, "blocks"), table(spark, d, "split_limits"))
+
+
+@query
+def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The Markdown of items and blocks in pieces within their limits."""
+    from foliospark.llm.split import pieces
+
+    return pieces(table(spark, d, "out_items"), table(spark, d, "blocks"), table(spark, d, "split_limits"))
