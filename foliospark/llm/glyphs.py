@@ -67,39 +67,23 @@ def mapping_rows() -> list[tuple[str, int, str, int]]:
     return rows
 
 
-def _compositions() -> dict[str, str]:
-    """Pairs of code points and the one they compose to, by the rule of canonical composition."""
-    out = {}
+def composition_rows() -> list[tuple[str, str]]:
+    """(starter and ordered marks, composed code point) for every code point that canonical composition makes. Hangul stays."""
+    rows = []
     for n in range(0xC0, 0x30000):
         c = chr(n)
         if 0xD800 <= n < 0xE000 or 0xAC00 <= n < 0xD7A4:
             continue
-        d = unicodedata.decomposition(c)
-        if d and d[0] != "<" and " " in d and unicodedata.normalize("NFC", c) == c:
-            out["".join(chr(int(x, 16)) for x in d.split())] = c
-    return out
+        d = unicodedata.normalize("NFD", c)
+        if len(d) > 1 and unicodedata.normalize("NFC", c) == c and all(unicodedata.combining(x) for x in d[1:]):
+            rows.append((d, c))
+    return rows
 
 
 def _mapping(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(mapping_rows(), "cp STRING, sub INT, part STRING, ccc INT")
 
 
-def _compose(cluster: Column) -> Column:
-    """A starter and its ordered marks (array of struct ccc, part) as the shortest canonical text."""
-    text = "\x02".join(f"{k}\x03{v}" for k, v in _compositions().items())
-    pairs = F.str_to_map(F.lit(text), F.lit("\x02"), F.lit("\x03"))  # folded to a constant
-    start = F.struct(cluster[0]["part"].alias("base"), F.lit("").alias("rest"), F.lit(0).alias("last"))
-
-    def step(acc: Column, m: Column) -> Column:
-        made = F.try_element_at(pairs, F.concat(acc["base"], m["part"]))
-        blocked = (acc["rest"] != "") & (acc["last"] >= m["ccc"])
-        return F.when(made.isNotNull() & ~blocked, F.struct(made.alias("base"), acc["rest"].alias("rest"), acc["last"].alias("last"))).otherwise(
-            F.struct(acc["base"].alias("base"), F.concat(acc["rest"], m["part"]).alias("rest"), m["ccc"].alias("last"))
-        )
-
-    return F.aggregate(F.slice(cluster, 2, 1_000_000_000), start, step, lambda acc: F.concat(acc["base"], acc["rest"]))
-
-
 def needs_mapping(text: Column) -> Column:
     """Whether a text holds anything but printable ASCII and line ends. Other texts are their own form."""
     return text.rlike(rf"[^{_PLAIN[1:-1]}]")
@@ -124,8 +108,14 @@ def forms(texts: DataFrame, column: str = "text") -> DataFrame:
     order = Window.partitionBy("h1", "h2").orderBy("pos", "sub")
     clusters = parts.withColumn("cluster", F.sum((F.col("ccc") == 0).cast("int")).over(order))
     marks = F.array_sort(F.collect_list(F.struct("ccc", "pos", "sub", "part")))
-    clusters = clusters.groupBy("h1", "h2", "cluster").agg(marks.alias("m"))
-    clusters = clusters.select("h1", "h2", "cluster", F.when(F.size("m") == 1, F.col("m")[0]["part"]).otherwise(_compose(F.col("m"))).alias("t"))
+    clusters = clusters.groupBy("h1", "h2", "cluster").agg(F.transform(marks, lambda x: x["part"]).alias("m"))
+    # The longest beginning of a cluster that composes is composed: read from the whole cluster down to its starter alone.
+    tries = clusters.select("h1", "h2", "cluster", "m", F.explode(F.sequence(F.size("m"), F.lit(1), F.lit(-1))).alias("n"))
+    tries = tries.withColumn("head", F.array_join(F.slice("m", 1, F.col("n")), ""))
+    composed = spark.createDataFrame(composition_rows(), "head STRING, whole STRING")
+    tries = tries.join(F.broadcast(composed), "head", "left").where("n = 1 or whole is not null")
+    best = F.max_by(F.concat(F.coalesce("whole", "head"), F.array_join(F.expr("slice(m, n + 1, size(m))"), "")), "n")
+    clusters = tries.groupBy("h1", "h2", "cluster").agg(best.alias("t"))
     built = clusters.groupBy("h1", "h2").agg(F.array_sort(F.collect_list(F.struct("cluster", "t"))).alias("all"))
     built = built.select("h1", "h2", F.array_join(F.transform("all", lambda x: x["t"]), "").alias("form"))
     return distinct.join(built, ["h1", "h2"], "left").select("h1", "h2", "text", F.coalesce("form", F.lit("")).alias("form"))
