@@ -103,3 +103,21 @@ def p5_pieces(spark: SparkSession, d: str) -> DataFrame:
     from foliospark.llm.split import pieces
 
     return pieces(table(spark, d, "out_items"), table(spark, d, "blocks"), table(spark, d, "split_limits"))
+
+
+def _repair(spark: SparkSession, d: str):
+    from foliospark.llm.ocr import Repair
+
+    return Repair(table(spark, d, "blocks"), table(spark, d, "books"), table(spark, d, "chapters"))
+
+
+@query
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Faults of the texts of scanned blocks."""
+    return _repair(spark, d).found()
+
+
+@query
+def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """The raw text of scanned blocks as continuous paragraphs."""
+    return _repair(spark, d).repaired()
