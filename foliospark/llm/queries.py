@@ -121,3 +121,19 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_paragraphs(spark: SparkSession, d: str) -> DataFrame:
     """The raw text of scanned blocks as continuous paragraphs."""
     return _repair(spark, d).repaired()
+
+
+@query
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The copies of documents that make up the mixture, shuffled."""
+    from foliospark.llm.mixing import Mixture
+
+    return Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).copies()
+
+
+@query
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of each source."""
+    from foliospark.llm.mixing import Mixture
+
+    return Mixture(table(spark, d, "documents"), table(spark, d, "mix_targets")).shares()
