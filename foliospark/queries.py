@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliospark.plans import orphans, quality, text  # noqa: F401  (each registers its queries)
+from foliospark.plans import layout, orphans, quality, structure, text  # noqa: F401  (each registers its queries)
 from foliospark.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
