@@ -11,8 +11,10 @@ that occur in a link get a vector. Vocabulary, links and contexts are joined by
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +33,9 @@ SPAN = 2
 RATIO_MIXED, RATIO_LETTERS = 1, 5
 #: Least similarity of contexts for an edit among letters.
 LEAST_SIMILARITY = 0.01
-_WORD = r"[\p{L}\p{N}|!+$@]+(?:-[\p{L}\p{N}|!+$@]+)*"
-_BREAK = r"([\p{L}\p{N}|!+$@]+)-[ \t]*"
+_WORD = r"[\p{L}\p{N}|!+$@]++(?:-[\p{L}\p{N}|!+$@]++)*+"
+#: A word before a hyphen, taken as a whole: no match begins inside a word, so a word is looked at once.
+_BREAK = r"(?<![\p{L}\p{N}|!+$@])([\p{L}\p{N}|!+$@]++)-"
 #: Hyphens and marks that stand at the end of a line; the invisible one would be lost by normalising.
 _LINE_END_MARK = r"[\x{AD}\x{AC}‐‑](?=\s|$)"
 
@@ -84,25 +87,59 @@ def _marked(text: Column) -> Column:
     return F.regexp_replace(text, _LINE_END_MARK, "-")
 
 
+_PY_WORD = re.compile(r"[\w|!+$@]+(?:-[\w|!+$@]+)*")
+_PY_MARK = re.compile(r"[\xad\xac‐‑](?=\s|$)")
+_PY_DIVIDED = re.compile(r"[\w|!+$@]+-[ \t]*\n\s*[\w|!+$@]+")
+_PY_LINE_END = re.compile(r"-[ \t]*\n")
+
+
+def _tokens(text: str) -> list[str]:
+    """Words of a text in lower case; the parts of words divided at line ends aren't words."""
+    if not text.isascii():
+        text = _PY_MARK.sub("-", text)
+    if _PY_LINE_END.search(text):
+        text = _PY_DIVIDED.sub(" ", text)
+    return _PY_WORD.findall(text.lower())
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        n: Counter = Counter()
+        for t in b.column(0).to_pylist():
+            n.update(_tokens(t))
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
+
+
+def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of (word, word up to SPAN places behind it)."""
+    for b in batches:
+        codes: dict[str, int] = {"": 0}
+        seq: list[int] = []
+        for t in b.column(0).to_pylist():
+            seq += [codes.setdefault(w, len(codes)) for w in _tokens(t)]
+            seq += [0] * SPAN
+        x, words = np.array(seq, np.int64), np.array(list(codes), object)
+        both = np.concatenate([x[:-d] * len(words) + x[d:] for d in range(1, SPAN + 1)]) if len(x) > SPAN else np.zeros(0, np.int64)
+        pairs, k = np.unique(both[(both >= len(words)) & (both % len(words) > 0)], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(words[pairs // len(words)], pa.string()), pa.array(words[pairs % len(words)], pa.string()), pa.array(k, pa.int64())], names=["word", "context", "k"])
+
+
 def vocabulary(blocks: DataFrame) -> DataFrame:
-    """(word, n) over all blocks; the parts of words divided at line ends aren't words."""
-    text = F.regexp_replace(_marked(F.col("raw_text")), _BREAK + r"\s*\n\s*[\p{L}\p{N}|!+$@]+", " ")
-    return blocks.where("raw_text is not null").select(F.explode(_words(text)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    """(word, n) over all blocks."""
+    return blocks.where("raw_text is not null").select("raw_text").mapInArrow(_count_words, "word STRING, n LONG").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def similarity(blocks: DataFrame, links: DataFrame, counts: DataFrame) -> DataFrame:
     """``links`` (word, reading, ...) with ``similarity``: cosine of the skip-gram vectors of word and reading, null if one has no context."""
     wanted = links.select("word").union(links.select("reading")).distinct().checkpoint()
     few = wanted.count() <= BROADCAST_ROWS
-    tokens = blocks.where("raw_text is not null").select(_words(_marked(F.col("raw_text"))).alias("w")).select("w", F.posexplode("w").alias("i", "word"))
-    tokens = tokens.join(F.broadcast(wanted) if few else wanted, "word", "left_semi")
-    offsets = [o for o in range(-SPAN, SPAN + 1) if o]
-    near = F.filter(F.array(*(F.when(F.col("i") + o >= 0, F.get("w", F.col("i") + o)) for o in offsets)), lambda x: x.isNotNull())
-    pairs = tokens.select("word", F.explode(near).alias("context")).groupBy("word", "context").agg(F.count("*").alias("k"))
+    behind = blocks.where("raw_text is not null").select("raw_text").mapInArrow(_count_pairs, "word STRING, context STRING, k LONG")
+    pairs = behind.select(F.explode(F.array(F.struct("word", "context"), F.struct(F.col("context").alias("word"), F.col("word").alias("context")))).alias("p"), "k").select("p.*", "k")
+    pairs = pairs.join(F.broadcast(wanted) if few else wanted, "word", "left_semi").groupBy("word", "context").agg(F.sum("k").alias("k"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(1))).scalar()
-    seen = pairs.groupBy("word").agg(F.sum("k").alias("kw"))
-    ppmi = F.log(F.col("k") * F.lit(total) / (F.col("kw") * F.col("n")))
-    vectors = pairs.join(seen, "word").join(counts.withColumnRenamed("word", "context"), "context").select("word", "context", F.greatest(ppmi, F.lit(0.0)).alias("p")).where("p > 0")
+    of_word, of_context = counts.toDF("word", "nw"), counts.toDF("context", "nc")
+    ppmi = F.log(F.col("k") * F.lit(total) / (F.col("nw") * F.col("nc") * 2 * SPAN))
+    vectors = pairs.join(of_word, "word").join(of_context, "context").select("word", "context", ppmi.alias("p")).where("p > 0")
     vectors = vectors.checkpoint()
     norms = vectors.groupBy("word").agg(F.sqrt(F.sum(F.col("p") * F.col("p"))).alias("norm"))
     a = vectors.toDF("word", "context", "pa")
@@ -124,7 +161,7 @@ def corrections(blocks: DataFrame, words: DataFrame, counts: DataFrame) -> DataF
     links = links.join(known, "word", "left").withColumn("n_word", F.coalesce("n_word", F.lit(0)))
     mixed = ~F.col("word").rlike(r"^\p{L}+$")
     ratio = F.when(mixed & (F.length("word") > 3), RATIO_MIXED).when(mixed, 20).when(F.col("edits") == 1, RATIO_LETTERS).otherwise(4 * RATIO_LETTERS)
-    links = links.where((F.col("n_reading") >= 2) & (F.col("n_reading") >= ratio * F.greatest("n_word", F.lit(1)))).checkpoint()
+    links = links.where((F.col("edits") == 1) | (F.length("word") >= 6)).where((F.col("n_reading") >= 2) & (F.col("n_reading") >= ratio * F.greatest("n_word", F.lit(1)))).checkpoint()
     scored = similarity(blocks, links, counts)
     agrees = mixed | F.col("similarity").isNull() | (F.col("similarity") >= LEAST_SIMILARITY)
     best = F.struct(-F.col("edits"), F.coalesce("similarity", F.lit(0.0)) + F.log("n_reading") / 20, "n_reading", "reading")
@@ -188,11 +225,11 @@ def breaks(texts: DataFrame) -> DataFrame:
     # What is left of a running line: a page number with its signs.
     flat = F.regexp_replace(flat, F.concat(F.lit(r"(?i)(?<=\s)[^\p{L}\p{N}\s]*\s?(?:page )?"), page, F.lit(r"\s?[^\p{L}\p{N}\s]*(?=\s|$)")), " ")
     body = F.when(F.col("field_name") == "raw_text", F.array_join("kept", "\n")).otherwise(F.col("text"))
-    word = r"[\p{L}\p{N}|!+$@]+"
-    at_end = rf"({word})-[ \t]*\n\s*({word}(?:-{word})*)"
-    over = rf"({word})-[ \t]*\n[^\n]*\n\s*({word})"
-    loose = rf"({word})-\s+({word}(?:-{word})*)"
-    tight = rf"(?<![\p{{L}}\p{{N}}-])({word})-({word})(?![\p{{L}}\p{{N}}|!+$@-])"
+    word = r"[\p{L}\p{N}|!+$@]++"
+    at_end = rf"{_BREAK}[ \t]*+\n\s*+({word}(?:-{word})*+)"
+    over = rf"{_BREAK}[ \t]*+\n[^\n]*+\n\s*+({word})"
+    loose = rf"{_BREAK}\s++({word}(?:-{word})*+)"
+    tight = rf"(?<![\p{{L}}\p{{N}}|!+$@-])({word})-({word})(?![\p{{L}}\p{{N}}|!+$@-])"
 
     def pairs(text: Column, pattern: str, far: bool) -> Column:
         l, r = (F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in (1, 2))
@@ -215,7 +252,7 @@ class Repair:
         self.texts = scanned(blocks, books, chapters).checkpoint()
         self.breaks = breaks(self.texts).checkpoint()
         # Words of the body; parts of divided words are no words, the joined ones are.
-        flat = F.regexp_replace(F.array_join("kept", "\n"), rf"{_BREAK}\s+[\p{{L}}\p{{N}}|!+$@]+", " ")
+        flat = F.regexp_replace(F.array_join("kept", "\n"), rf"{_BREAK}\s++[\p{{L}}\p{{N}}|!+$@]++", " ")
         self.occurrences = self.texts.select("field_name", "book_id", "block_id", F.explode(F.array_distinct(F.flatten(F.transform(_words(flat), lambda w: F.split(w, "-"))))).alias("word"))
         words = self.occurrences.select("word").union(self.breaks.select(F.col("joined").alias("word"))).distinct()
         self.corrections = corrections(unique, words, self.counts).checkpoint()
