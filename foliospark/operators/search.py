@@ -94,21 +94,30 @@ def stems(words: pd.Series) -> pd.Series:
 
 
 class Index:
-    """``docs``: (id, t) with t the tokens of each document. Postings and lengths are plain tables; a query touches only the postings of its terms."""
+    """An inverted index as two tables: postings (term, key..., tf, places, len) and one row of statistics. A query filters the postings by its
+    terms before anything is shuffled; saved postings lie by term, so that it reads no others.
+
+    ``docs``: rows with the columns ``key`` and ``text``; null texts have no terms."""
 
     def __init__(self, docs: DataFrame, key: list[str], text: str, stemmed: bool = False):
         if stemmed:
             ship(docs.sparkSession)
+        self.key, self.stemmed = key, stemmed
         t = tokens(F.col(text))
-        self.key, self.text = key, text
         self.docs = docs.withColumn("t", stems(t) if stemmed else t)
-        self.stemmed = stemmed
-        self.lengths = self.docs.select(*key, F.size("t").alias("len"))
+        rows = self.docs.select(*key, F.size("t").alias("len"), F.posexplode("t").alias("pos", "term"))
+        self.postings = rows.groupBy("term", *key, "len").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("places"))
+        self.stats = self.docs.agg(F.count("*").alias("n_docs"), F.avg(F.size("t")).alias("average"))
+
+    def save(self, folder: str) -> None:
+        """Writes both tables; the postings sorted by term, so that file statistics leave out what a query doesn't ask for."""
+        self.postings.repartitionByRange("term").sortWithinPartitions("term", *self.key).write.mode("overwrite").parquet(f"{folder}/postings")
+        self.stats.write.mode("overwrite").parquet(f"{folder}/stats")
 
-    def postings(self) -> DataFrame:
-        """(term, key..., tf, places): how often and where each term stands."""
-        rows = self.docs.select(*self.key, F.posexplode("t").alias("pos", "term"))
-        return rows.groupBy("term", *self.key).agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("places"))
+    def load(self, folder: str) -> "Index":
+        spark = self.docs.sparkSession
+        self.postings, self.stats = spark.read.parquet(f"{folder}/postings"), spark.read.parquet(f"{folder}/stats")
+        return self
 
     def _terms(self, query: str) -> list[list[str]]:
         """Each quoted phrase or word of a query as its tokens; all must be met. A word with a hyphen is a phrase."""
@@ -118,31 +127,31 @@ class Index:
         return [[stem(w) for w in p] if self.stemmed else p for p in out if p]
 
     def match(self, query: str, where: Column | None = None) -> DataFrame:
-        """(key..., score): documents that hold all parts of the query, by BM25; less is better, as search engines with negated scores have it."""
+        """(key..., score): documents that hold all parts of the query, by BM25; less is better, as engines with negated scores have it. ``where`` is
+        a condition on the documents' columns; it doesn't change the scores."""
         parts = self._terms(query)
-        docs = self.docs if where is None else self.docs.where(where)
         if not parts:
-            return docs.select(*self.key, F.lit(0.0).alias("score")).where("false")
+            return self.docs.select(*self.key, F.lit(0.0).alias("score")).where("false")
+        words = sorted({w for p in parts for w in p})
+        rows = self.postings.where(F.col("term").isin(words)).groupBy(*self.key, "len").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("m"))
 
-        def starts(p: list[str]) -> Column:
-            last = F.size("t") - len(p)
-            at = F.when(last >= 0, F.sequence(F.lit(1), last + 1)).otherwise(F.array().cast("array<int>"))
-            return F.size(F.filter(at, lambda i: reduce(lambda a, b: a & b, (F.get("t", i - 1 + k) == w for k, w in enumerate(p)))))
+        def frequency(p: list[str]) -> Column:
+            """How often the words of a phrase stand one behind the other."""
+            places = [F.coalesce(F.try_element_at("m", F.lit(w)), F.array().cast("array<int>")) for w in p]
+            return F.size(F.filter(places[0], lambda x: reduce(lambda a, b: a & b, (F.array_contains(c, x + k) for k, c in enumerate(places[1:], 1)), F.lit(True))))
 
-        total = self.lengths.agg(F.count("*").alias("docs"), F.avg("len").alias("average"))
-        n_docs, average = total.select("docs").scalar(), total.select("average").scalar()
-        hits = self.docs.select(*self.key, F.size("t").alias("len"), *(starts(p).alias(f"tf{i}") for i, p in enumerate(parts))).where(F.lit(False) | reduce(lambda a, b: a | b, (F.array_contains("t", p[0]) for p in parts)))
+        hits = rows.select(*self.key, "len", *(frequency(p).alias(f"tf{i}") for i, p in enumerate(parts)))
         df = hits.agg(*(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(parts))))
+        n_docs, average = F.lit(self.stats.select("n_docs").scalar()), F.lit(self.stats.select("average").scalar())
         score = F.lit(0.0)
         for i in range(len(parts)):
-            found = F.lit(df.select(f"df{i}").scalar())
-            idf = F.log((F.lit(n_docs) - found + 0.5) / (found + 0.5))
+            found, tf = F.lit(df.select(f"df{i}").scalar()), F.col(f"tf{i}")
+            idf = F.log((n_docs - found + 0.5) / (found + 0.5))
             idf = F.when(idf <= 0, F.lit(LEAST_IDF)).otherwise(idf)
-            tf = F.col(f"tf{i}")
-            score = score - idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.lit(average)))
-        rows = hits.where(reduce(lambda a, b: a & b, (F.col(f"tf{i}") > 0 for i in range(len(parts)))))
-        rows = rows.select(*self.key, F.round(score, 9).alias("score"))
-        return rows if where is None else rows.join(docs.select(*self.key), self.key, "left_semi")
+            score = score - idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / average))
+        all_met = reduce(lambda a, b: a & b, (F.col(f"tf{i}") > 0 for i in range(len(parts))))
+        rows = hits.where(all_met).select(*self.key, F.round(score, 9).alias("score"))
+        return rows if where is None else rows.join(self.docs.where(where).select(*self.key), self.key, "left_semi")
 
     def top(self, query: str, k: int = 30, where: Column | None = None) -> DataFrame:
         return self.match(query, where).orderBy("score", *self.key).limit(k)

@@ -43,7 +43,7 @@ def _index(spark: SparkSession, d: str, stemmed: bool = False) -> Index:
 @query(f"with {_DOCS}, x as (select {_KEY}, unnest(t) as term from docs), p as (select term, {_KEY}, count(*) as tf from x group by all) select term, count(*) as docs, sum(tf)::bigint as occurrences, max(tf) as most from p group by term")
 def search_index(spark: SparkSession, d: str) -> DataFrame:
     """Terms of the index (F1)."""
-    return _index(spark, d).postings().groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("occurrences"), F.max("tf").alias("most"))
+    return _index(spark, d).postings.groupBy("term").agg(F.count("*").alias("docs"), F.sum("tf").alias("occurrences"), F.max("tf").alias("most"))
 
 
 @query(_bm25([["risk"], ["doubles"], ["fatigue"]]) + f" order by score, {_KEY} limit 30")
