@@ -62,6 +62,8 @@ TRIGGER = r"[<&\\`$]|\[\[|\{\{|\{\||''|(?m)^=[^\n]*=[ \t]*$"
 
 #: How many times markup may be escaped within markup.
 MAX_ESCAPES = 8
+#: Depth from which elements are leaves: their marks are residue like others, only what they hold isn't below them any more.
+MAX_DEPTH = 100
 
 
 @dataclass
@@ -75,18 +77,15 @@ class Node:
     residue: float = 0.0
 
 
-def _brace(text: str, at: int) -> int:
-    """Behind the brace that closes the one at ``at``, or -1."""
-    depth = 0
-    for i in range(at, len(text)):
-        c = text[i]
-        if c == "{":
-            depth += 1
-        elif c == "}":
-            depth -= 1
-            if not depth:
-                return i + 1
-    return -1
+def _braces(text: str) -> dict[int, int]:
+    """Of each brace that is closed: its place, and the place behind the one that closes it."""
+    open_at, out = [], {}
+    for m in re.finditer(r"[{}]", text):
+        if m.group() == "{":
+            open_at.append(m.start())
+        elif open_at:
+            out[open_at.pop()] = m.end()
+    return out
 
 
 def _lex(text: str, lo: int, hi: int) -> Iterator[tuple[str, re.Match]]:
@@ -110,7 +109,7 @@ _CLOSED = {"fence", "code", "display", "formula", "comment", "wtable", "template
 def parse(text: str, is_table: bool = False) -> Node:
     """The tree of a text; the root spans it all. An element without an end, or an end without a beginning, is a leaf."""
     root = Node("root", 0, len(text), (0, len(text)))
-    _fill(text, root)
+    _fill(text, root, _braces(text))
     stripped = text.strip()
     tops = root.children
     if is_table and len(tops) == 1 and tops[0].name == "table" and text[tops[0].start : tops[0].end] == stripped:
@@ -118,7 +117,7 @@ def parse(text: str, is_table: bool = False) -> Node:
     return root
 
 
-def _fill(text: str, top: Node, deep: int = 0) -> None:
+def _fill(text: str, top: Node, braces: dict[int, int], deep: int = 0) -> None:
     lo, hi = top.inner
     stack = [top]
     skip = lo
@@ -134,19 +133,20 @@ def _fill(text: str, top: Node, deep: int = 0) -> None:
             elif kind not in ("template", "wtable") and m.end() - m.start() > 2:
                 node.inner = (m.start() + 1, m.end() - 1)
             if node.inner and deep < 20:
-                _fill(text, node, deep + 1)
+                _fill(text, node, braces, deep + 1)
             here.append(node)
         elif kind == "open":
             name = m.group("oname").lower()
             node = Node("element", m.start(), m.end(), name=name)
             here.append(node)
-            if name not in _VOID and not m.group().endswith("/>"):
+            if name not in _VOID and not m.group().endswith("/>") and len(stack) < MAX_DEPTH:
                 node.inner = (m.end(), m.end())
                 stack.append(node)
         elif kind == "env":
-            node = Node("env", m.start(), m.end(), (m.end(), m.end()), m.group("en"))
+            node = Node("env", m.start(), m.end(), (m.end(), m.end()) if len(stack) < MAX_DEPTH else None, m.group("en"))
             here.append(node)
-            stack.append(node)
+            if node.inner:
+                stack.append(node)
         elif kind in ("close", "endenv"):
             name, what = (m.group("cname").lower(), "element") if kind == "close" else (m.group("xn"), "env")
             at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].kind == what and stack[i].name == name), 0)
@@ -165,11 +165,11 @@ def _fill(text: str, top: Node, deep: int = 0) -> None:
             end, inner = m.end(), None
             while end < hi and text[end] == "[" and (close := text.find("]", end, hi)) > 0:
                 end = close + 1
-            while end < hi and text[end] == "{" and 0 < (close := _brace(text, end)) <= hi:
+            while end < hi and text[end] == "{" and 0 < (close := braces.get(end, 0)) <= hi:
                 inner, end = (end + 1, close - 1), close
             node = Node("command", m.start(), end, inner, m.group().lstrip("~").lstrip("\\").rstrip("*"))
             if inner and deep < 20:
-                _fill(text, node, deep + 1)
+                _fill(text, node, braces, deep + 1)
             skip = end
             here.append(node)
         else:

@@ -31,6 +31,7 @@ GLYPH_EDITS = [
 SPAN = 2
 #: How many times more frequent than a word its reading must be: for words with a sign or digit among the letters, and for others.
 RATIO_MIXED, RATIO_LETTERS = 1, 5
+LONGEST_WORD = 64
 #: Least similarity of contexts for an edit among letters.
 LEAST_SIMILARITY = 0.01
 _WORD = r"[\p{L}\p{N}|!+$@]++(?:-[\p{L}\p{N}|!+$@]++)*+"
@@ -156,7 +157,8 @@ def corrections(blocks: DataFrame, words: DataFrame, counts: DataFrame) -> DataF
     known = counts.select("word", F.col("n").alias("n_word"))
     # Only letters with a sign or digit, and words of three letters or more, are looked at.
     letters = F.length(F.regexp_replace("word", r"[^\p{L}]", ""))
-    candidates = words.where((letters >= 1) & (F.length("word") >= 2)).where(F.when(F.col("word").rlike(r"^\p{L}+$"), letters >= 3).otherwise(True))
+    # Longer runs of letters aren't words, and have too many readings.
+    candidates = words.where((letters >= 1) & F.length("word").between(2, LONGEST_WORD)).where(F.when(F.col("word").rlike(r"^\p{L}+$"), letters >= 3).otherwise(True))
     links = candidates.mapInArrow(_variants, "word STRING, reading STRING, edits INT").join(counts.select(F.col("word").alias("reading"), F.col("n").alias("n_reading")), "reading")
     links = links.join(known, "word", "left").withColumn("n_word", F.coalesce("n_word", F.lit(0)))
     mixed = ~F.col("word").rlike(r"^\p{L}+$")
