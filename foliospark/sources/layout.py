@@ -62,10 +62,11 @@ def register(spark: SparkSession) -> None:
 
 
 def read_source_files(spark: SparkSession, folder: str) -> DataFrame:
-    """(path, sha256, size, error) of source files: empty ones and those that aren't print files are kept apart by ``error``."""
+    """(path, sha256, size, error) of source files; encrypted ones and those that aren't print files are kept apart by ``error``. Empty files give
+    no row: Spark has no split for them."""
     files = spark.read.format("binaryFile").load(folder)
     head = F.decode(F.substring("content", 1, 5), "iso-8859-1")
-    error = F.when(F.col("length") == 0, "empty").when(head != "%PDF-", "unknown format").when(F.locate("/Encrypt", F.decode(F.substring("content", -2048, 2048), "iso-8859-1")) > 0, "encrypted")
+    error = F.when(head != "%PDF-", "unknown format").when(F.locate("/Encrypt", F.decode(F.substring("content", -2048, 2048), "iso-8859-1")) > 0, "encrypted")
     return files.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), error.alias("error"))
 
 
