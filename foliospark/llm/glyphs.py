@@ -130,11 +130,11 @@ def normalise(df: DataFrame, column: str, out: str, keep: bool = False) -> DataF
     plain = df.where(text.isNull() | ~needs_mapping(text)).select(*cols, text.alias(out))
     h1, h2 = (k.alias(f"__{n}") for k, n in zip(_keys(text), ("h1", "h2")))
     other = df.where(needs_mapping(text)).select(*cols, h1, h2)
-    f = forms(df, column).select("h1", "h2", F.col("form").alias("__form"))
+    f = forms(df, column).select(F.col("h1").alias("__f1"), F.col("h2").alias("__f2"), F.col("form").alias("__form"))
     if keep:
         ensure_checkpoint_dir(df.sparkSession)
         f = f.checkpoint()
-    other = other.join(f, (F.col("__h1") == f.h1) & (F.col("__h2") == f.h2)).select(*cols, F.col("__form").alias(out))
+    other = other.join(f, (F.col("__h1") == F.col("__f1")) & (F.col("__h2") == F.col("__f2"))).select(*cols, F.col("__form").alias(out))
     return plain.unionByName(other)
 
 

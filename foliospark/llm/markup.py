@@ -325,7 +325,7 @@ class MarkupModel:
             out = _render(text, root, root.inner)
             if out == text:
                 break
-            text = re.sub(r"[ \t]+\n", "\n", re.sub(r"\n{3,}", "\n\n", out)).strip("\n")
+            text = re.sub(r"[ \t]+(?=\n|$)", "", re.sub(r"\n{3,}", "\n\n", out)).strip("\n")
         return text
 
 
