@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foliospark.functions import tables as T
 from foliospark.functions.text import anchor, fingerprint, yaml_quoted
 from foliospark.operators.quality import CHAPTER, current_chapters
-from foliospark.operators.structure import by_ord, heading_paths
+from foliospark.operators.structure import by_ord, with_paths
 
 # Raised and lowered characters.
 RAISED = ("0123456789+-=()ni−", "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁼⁽⁾ⁿⁱ⁻")
@@ -52,7 +52,7 @@ def chapter_markdown(items: DataFrame, chapters: DataFrame, books: DataFrame) ->
 
 def source_map(items: DataFrame) -> DataFrame:
     """One entry for each item: where it comes from, and hashes of what it holds."""
-    rows = items.where("md is not null and md <> ''").join(heading_paths(items), [*CHAPTER, "ord"])
+    rows = with_paths(items).where("md is not null and md <> ''")
     raw = F.coalesce("raw", F.lit(""))
     return rows.select(
         *CHAPTER, "ord", "block_id", F.col("kind").alias("type"), "section_id", F.col("page").alias("source_page"), *(F.bround(c, 1).alias(c) for c in ("x0", "y0", "x1", "y1")), "path",

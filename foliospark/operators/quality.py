@@ -17,12 +17,13 @@ def chapter_of(block_id: Column) -> Column:
 
 
 def sources(blocks: DataFrame) -> DataFrame:
-    """(book_id, chapter, block_id, page, text) of the blocks, repeated rows once."""
-    return blocks.where("raw_text is not null").select("book_id", chapter_of(F.col("block_id")).alias("chapter"), "block_id", "page", F.col("raw_text").alias("text")).distinct()
+    """(book_id, chapter, block_id, page, text) of the blocks, repeated rows once; partitioned by chapter, as counts per chapter need it."""
+    rows = blocks.where("raw_text is not null").select("book_id", chapter_of(F.col("block_id")).alias("chapter"), "block_id", "page", F.col("raw_text").alias("text"))
+    return rows.repartition(*CHAPTER).distinct()
 
 
 def outputs(out_items: DataFrame) -> DataFrame:
-    return out_items.where("md is not null").select("book_id", "chapter", "ord", "kind", "page", F.col("md").alias("text")).distinct()
+    return out_items.where("md is not null").select("book_id", "chapter", "ord", "kind", "page", F.col("md").alias("text")).repartition(*CHAPTER).distinct()
 
 
 def bag(rows: DataFrame, tokens: Column, name: str) -> DataFrame:

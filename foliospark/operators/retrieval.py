@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.functions.text import anchor, for_retrieval
 from foliospark.operators.quality import CHAPTER
-from foliospark.operators.structure import by_ord, heading_paths
+from foliospark.operators.structure import by_ord, with_paths
 
 MAX_CHARS = 1800
 # Endings and names of diseases, endings of drugs, symptoms.
@@ -21,7 +21,7 @@ SYMPTOMS = [
 
 def sections(items: DataFrame) -> DataFrame:
     """items with ``path`` and ``section``: a running number of sections, each begun by a heading or another section id."""
-    rows = items.where("md is not null and kind not in ('chapter_title', 'footnote')").join(heading_paths(items), [*CHAPTER, "ord"])
+    rows = with_paths(items).where("md is not null and kind not in ('chapter_title', 'footnote')")
     begins = (F.col("kind") == "heading") | (F.lag("section_id").over(by_ord()).eqNullSafe(F.col("section_id")) == F.lit(False)) | F.lag("ord").over(by_ord()).isNull()
     rows = rows.withColumn("begins", begins.cast("int"))
     return rows.withColumn("section", F.sum("begins").over(by_ord()))

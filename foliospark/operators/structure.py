@@ -20,16 +20,17 @@ CROSS_REFERENCE = r"(?:^|[^A-Za-z0-9_])((Chapter|Chap\.|Table|Fig\.|Figure)[\t-\
 
 
 def ordered_items(out_items: DataFrame) -> DataFrame:
-    """The assembled items, repeated rows once."""
-    return out_items.select("book_id", "chapter", "ord", "kind", "md", "page", "x0", "y0", "x1", "y1", "block_id", "raw", "cleaned", "confidence", "level", "section_id").distinct()
+    """The assembled items, repeated rows once; partitioned by chapter, as all that follows needs it."""
+    rows = out_items.select("book_id", "chapter", "ord", "kind", "md", "page", "x0", "y0", "x1", "y1", "block_id", "raw", "cleaned", "confidence", "level", "section_id")
+    return rows.repartition(*CHAPTER).distinct()
 
 
 def by_ord() -> Window:
     return Window.partitionBy(*CHAPTER).orderBy("ord")
 
 
-def heading_paths(items: DataFrame) -> DataFrame:
-    """(book_id, chapter, ord, path): the headings above each item. A heading of a level counts until one of a lesser level comes."""
+def with_paths(items: DataFrame) -> DataFrame:
+    """``items`` with ``path``: the headings above each item. A heading of a level counts until one of a lesser level comes."""
     title = F.regexp_extract("md", r"^#{1,6} ([^\n]*)", 1)
     rows = items.withColumn("h", F.when((F.col("kind") == "heading") & (F.col("level") > 0), F.col("level"))).withColumn("t", title)
     upto = by_ord().rowsBetween(Window.unboundedPreceding, 0)
@@ -38,7 +39,11 @@ def heading_paths(items: DataFrame) -> DataFrame:
         own = F.last(F.when(F.col("h") == level, F.struct("ord", "t")), ignorenulls=True).over(upto)
         lesser = F.max(F.when(F.col("h") < level, F.col("ord"))).over(upto)
         parts.append(F.when(own.isNotNull() & (lesser.isNull() | (own["ord"] > lesser)), own["t"]))
-    return rows.select(*CHAPTER, "ord", F.array_compact(F.array(*parts)).alias("path"))
+    return rows.select(*(F.col(c) for c in items.columns), F.array_compact(F.array(*parts)).alias("path"))
+
+
+def heading_paths(items: DataFrame) -> DataFrame:
+    return with_paths(items).select(*CHAPTER, "ord", "path")
 
 
 def section_ids(heads: DataFrame, books: DataFrame) -> DataFrame:

@@ -121,7 +121,7 @@ terms as (select distinct * from (
 
 def _terms(spark: SparkSession, d: str) -> DataFrame:
     items = S.ordered_items(table(spark, d, "out_items"))
-    rows = items.where("md is not null").join(S.heading_paths(items), ["book_id", "chapter", "ord"])
+    rows = S.with_paths(items).where("md is not null")
     last = F.when(F.size("path") > 0, F.element_at("path", -1)).otherwise("")
     return V.index_terms(rows.select("book_id", "chapter", "ord", last.alias("heading"), F.col("md").alias("text")))
 

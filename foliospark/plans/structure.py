@@ -49,8 +49,7 @@ _SLUG70 = "trim(left(lower(trim(regexp_replace(regexp_replace(array_to_string(pa
 def section_ids(spark: SparkSession, d: str) -> DataFrame:
     """Stable ids of sections."""
     items = _items(spark, d)
-    heads = S.heading_paths(items).join(items.where("kind = 'heading'").select("book_id", "chapter", "ord"), ["book_id", "chapter", "ord"])
-    return S.section_ids(heads, table(spark, d, "books"))
+    return S.section_ids(S.with_paths(items).where("kind = 'heading'"), table(spark, d, "books"))
 
 
 @query(
