@@ -13,7 +13,7 @@ from foliospark.operators import structure as S
 from foliospark.operators.lines import running_margin_lines, unique_lines
 from foliospark.plans.layout import BODY, LINES
 from foliospark.plans.quality import CURRENT, HEADS, ISSUES
-from foliospark.plans.registry import query
+from foliospark.plans.registry import joined, query
 from foliospark.plans.structure import ITEMS, PATHS
 from foliospark.plans.text import _MARGIN
 from foliospark.session import table
@@ -54,12 +54,12 @@ _FP = f"left(sha256(lower({_strip(f'''regexp_replace(coalesce(cleaned, md), '{_W
 
 
 @query(
-    f"""with {PATHS} select book_id, chapter, ord, block_id, kind as type, section_id, page as source_page, round_even(x0, 1) as x0, round_even(y0, 1) as y0, round_even(x1, 1) as x1, round_even(y1, 1) as y1, path, {_FP} as fingerprint,
+    f"""with {PATHS} select book_id, chapter, ord, block_id, kind as type, section_id, page as source_page, round_even(x0, 1) as x0, round_even(y0, 1) as y0, round_even(x1, 1) as x1, round_even(y1, 1) as y1, array_to_string(path, '|') as path, {_FP} as fingerprint,
     round_even(confidence, 2) as confidence, case when coalesce(raw, '') = '' then '' else left(sha256(raw), 12) end as raw_hash from items join paths using (book_id, chapter, ord) where md is not null and md <> ''"""
 )
 def source_map(spark: SparkSession, d: str) -> DataFrame:
     """Where each item comes from (K4)."""
-    return A.source_map(S.ordered_items(table(spark, d, "out_items")))
+    return joined(A.source_map(S.ordered_items(table(spark, d, "out_items"))), "path")
 
 
 @query(
@@ -80,12 +80,13 @@ def book_index(spark: SparkSession, d: str) -> DataFrame:
     k as (select book_id, {_MARGIN} as margin, count(distinct page) as pages from l where (y0 + y1) / 2 < 64.0 or (y0 + y1) / 2 > 736.0 group by 1, 2),
     m as (select book_id, list_sort(list(distinct margin)) as running_headers from k join n using (book_id) where margin <> '' and pages >= greatest(2, floor(0.4 * n)) group by 1),
     h as (select book_id, list_sort(list(distinct level)) as levels_seen from heads group by 1)
-    select book_id, body as body_font_size, coalesce(running_headers, []) as running_headers, coalesce(levels_seen, []) as levels_seen from body left join m using (book_id) left join h using (book_id)"""
+    select book_id, body as body_font_size, coalesce(array_to_string(running_headers, '|'), '') as running_headers, coalesce(array_to_string(list_transform(levels_seen, lambda x: x::varchar), '|'), '') as levels_seen from body left join m using (book_id) left join h using (book_id)"""
 )
 def book_memory(spark: SparkSession, d: str) -> DataFrame:
     """What later conversions of a book may use."""
     pages = table(spark, d, "page_lines")
-    return A.memory(running_margin_lines(unique_lines(pages)), Y.body_size(pages), Q.headings(table(spark, d, "blocks")))
+    m = A.memory(running_margin_lines(unique_lines(pages)), Y.body_size(pages), Q.headings(table(spark, d, "blocks")))
+    return joined(joined(m, "running_headers"), "levels_seen")
 
 
 @query()

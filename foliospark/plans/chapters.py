@@ -10,7 +10,7 @@ from foliospark.operators import chapters as C
 from foliospark.operators.quality import current_chapters
 from foliospark.plans.layout import BLOCKS, BODY, LINES
 from foliospark.plans.quality import CURRENT
-from foliospark.plans.registry import query
+from foliospark.plans.registry import joined, query
 from foliospark.session import table
 
 #: An outline made of the chapters (level 1, numbered titles for two books in three) and of their headings (level 2).
@@ -80,12 +80,12 @@ vfin as (select *, case when trimmed then following - 1 else e end as end_page f
 
 @query(
     f"""with {_VALID} select book_id, number, title, start_page, end_page, least(confidence, case when twice then 0.4 end, case when end_page < start_page then 0.3 end) as confidence,
-    list_filter([case when trimmed then 'end page trimmed to next chapter start' end, case when twice then 'duplicate chapter number' end, case when end_page < start_page then 'invalid page range' end], lambda x: x is not null) as notes from vfin"""
+    array_to_string(list_filter([case when trimmed then 'end page trimmed to next chapter start' end, case when twice then 'duplicate chapter number' end, case when end_page < start_page then 'invalid page range' end], lambda x: x is not null), '|') as notes from vfin"""
 )
 def chapter_validate(spark: SparkSession, d: str) -> DataFrame:
     """Chapters with trimmed ends and confidence."""
     cur = current_chapters(table(spark, d, "chapters")).withColumnRenamed("chapter", "number")
-    return C.validate(cur, _books(spark, d))
+    return joined(C.validate(cur, _books(spark, d)), "notes")
 
 
 _FORM = r"(?i)^[\t-\r ]*(?:chapter|ch\.?)[\t-\r ]+([0-9]{1,4})(?:[^0-9A-Za-z_]|$)[\t-\r .:\-–—]*(.*)$"

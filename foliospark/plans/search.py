@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foliospark.operators import retrieval as V
 from foliospark.operators import structure as S
 from foliospark.operators.search import Index, searchable
-from foliospark.plans.registry import query
+from foliospark.plans.registry import joined, query
 from foliospark.plans.structure import ITEMS, PATHS
 from foliospark.session import table
 
@@ -80,11 +80,12 @@ _SECTIONS = f"""{PATHS}, srows as (select *, (kind = 'heading' or coalesce(secti
 sections as (select *, sum(begins) over (partition by book_id, chapter order by ord)::bigint as section from srows)"""
 
 
-@query(f"with {_SECTIONS} select book_id, chapter, section, count(*) as n, min(ord) as first_ord, min(page) as first_page, max(page) as last_page, arg_min(path, ord) as path from sections group by all")
+@query(f"with {_SECTIONS} select book_id, chapter, section, count(*) as n, min(ord) as first_ord, min(page) as first_page, max(page) as last_page, array_to_string(arg_min(path, ord), '|') as path from sections group by all")
 def rag_sections(spark: SparkSession, d: str) -> DataFrame:
     """Sections for retrieval."""
     rows = V.sections(S.ordered_items(table(spark, d, "out_items")))
-    return rows.groupBy("book_id", "chapter", "section").agg(F.count("*").alias("n"), F.min("ord").alias("first_ord"), F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.min_by("path", "ord").alias("path"))
+    rows = rows.groupBy("book_id", "chapter", "section").agg(F.count("*").alias("n"), F.min("ord").alias("first_ord"), F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.min_by("path", "ord").alias("path"))
+    return joined(rows, "path")
 
 
 _CHUNKS = f"""{_SECTIONS}, body as (select *, length(t) as n, row_number() over (partition by book_id, chapter, section order by ord) as i from (select *, {_clean('md')} as t from sections where kind <> 'heading') where t <> ''),
@@ -94,7 +95,7 @@ fold as (select book_id, chapter, section, ord, i, n as size, 1 as chunk from bo
 
 
 @query(
-    f"""with recursive {_CHUNKS} select book_id, chapter, section, chunk, list(ord order by ord) as ords, sum(b.n)::bigint as n_chars, list_sort(list(distinct page)) as pages,
+    f"""with recursive {_CHUNKS} select book_id, chapter, section, chunk, string_agg(ord::varchar, '|' order by ord) as ords, sum(b.n)::bigint as n_chars, array_to_string(list_transform(list_sort(list(distinct page)), lambda x: x::varchar), '|') as pages,
     case when bool_and(kind = 'reference') then 'reference' when bool_and(kind = 'table') then 'table' else 'text' end as content_type, md5(string_agg(t, chr(10) || chr(10) order by ord)) as body_hash
     from fold f join body b using (book_id, chapter, section, ord) group by all"""
 )
@@ -102,7 +103,8 @@ def rag_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of sections for retrieval."""
     c = V.chunks(S.ordered_items(table(spark, d, "out_items")))
     body = F.when(F.size("path") > 0, F.substr("text", F.length(F.array_join("path", " > ")) + 3)).otherwise(F.col("text"))
-    return c.select("book_id", "chapter", "section", "chunk", "ords", "n_chars", "pages", "content_type", F.md5(body).alias("body_hash"))
+    c = c.select("book_id", "chapter", "section", "chunk", "ords", "n_chars", "pages", "content_type", F.md5(body).alias("body_hash"))
+    return joined(joined(c, "ords"), "pages")
 
 
 @query()

@@ -11,7 +11,7 @@ from foliospark.operators import structure as S
 from foliospark.operators.quality import current_chapters
 from foliospark.plans.layout import BLOCKS, BODY, LINES
 from foliospark.plans.quality import CURRENT
-from foliospark.plans.registry import query
+from foliospark.plans.registry import joined, query
 from foliospark.session import table
 
 ITEMS = "items as (select distinct book_id, chapter, ord, kind, md, page, x0, y0, x1, y1, block_id, raw, cleaned, confidence, level, section_id from out_items)"
@@ -32,10 +32,10 @@ def _pages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "page_lines")
 
 
-@query(f"with {PATHS} select * from paths")
+@query(f"with {PATHS} select book_id, chapter, ord, array_to_string(path, '|') as path from paths")
 def heading_paths(spark: SparkSession, d: str) -> DataFrame:
     """Headings above each item."""
-    return S.heading_paths(_items(spark, d))
+    return joined(S.heading_paths(_items(spark, d)), "path")
 
 
 _SLUG70 = "trim(left(lower(trim(regexp_replace(regexp_replace(array_to_string(path[greatest(len(path) - 1, 1):], '-'), '[^\\x{0}-\\x{7F}]', '', 'g'), '[^a-zA-Z0-9]+', '-', 'g'), '-')), 70), '-')"
@@ -72,12 +72,12 @@ def list_groups(spark: SparkSession, d: str) -> DataFrame:
     w as (select *, lag(kind) over o as pk, lag(md) over o as pm from items window o as (partition by book_id, chapter order by ord)),
     f as (select *, coalesce(kind = 'paragraph' and pk = 'paragraph' and regexp_matches(md, '^[a-zà-öø-ÿ]') and not contains(md, chr(10)) and not contains(pm, chr(10)) and not regexp_matches(rtrim(pm), '[.!?:;)\]"''”’]$'), false) as goes_on from w),
     g as (select *, sum(case when goes_on then 0 else 1 end) over (partition by book_id, chapter order by ord) as island from f)
-    select book_id, chapter, min(ord) as first_ord, count(*) as n, list(ord order by ord) as ords from g group by book_id, chapter, island having count(*) > 1"""
+    select book_id, chapter, min(ord) as first_ord, count(*) as n, string_agg(ord::varchar, '|' order by ord) as ords from g group by book_id, chapter, island having count(*) > 1"""
 )
 def paragraph_merge(spark: SparkSession, d: str) -> DataFrame:
     """Paragraphs that go on in the next item (W11). The tables hold none, so every third one loses its full stop and the next begins in lower case."""
     md = F.when(F.col("ord") % 3 == 0, F.regexp_replace("md", "[.]$", "")).when(F.col("ord") % 3 == 1, F.concat(F.lower(F.left("md", F.lit(1))), F.substr("md", F.lit(2)))).otherwise(F.col("md"))
-    return S.paragraph_merge(_items(spark, d).withColumn("md", md))
+    return joined(S.paragraph_merge(_items(spark, d).withColumn("md", md)), "ords")
 
 
 _CALLOUT = S.CALLOUT.replace("'", "''")
