@@ -258,9 +258,16 @@ class Repair:
         self.occurrences = self.texts.select("field_name", "book_id", "block_id", F.explode(F.array_distinct(F.flatten(F.transform(_words(flat), lambda w: F.split(w, "-"))))).alias("word"))
         words = self.occurrences.select("word").union(self.breaks.select(F.col("joined").alias("word"))).distinct()
         self.corrections = corrections(unique, words, self.counts).checkpoint()
+        self._divided: DataFrame | None = None
 
     def divided(self) -> DataFrame:
-        """Breaks whose word has no hyphen of its own: the joined word, or its reading, is more frequent than the compound."""
+        """Breaks whose word has no hyphen of its own: the joined word, or its reading, is more frequent than the compound. Several results need
+        them, so they are kept."""
+        if self._divided is None:
+            self._divided = self._divide().checkpoint()
+        return self._divided
+
+    def _divide(self) -> DataFrame:
         n = self.counts
         compound = F.concat_ws("-", "l", "r")
         rows = self.breaks.withColumn("compound", compound).join(self.corrections.select(F.col("word").alias("joined"), "reading"), "joined", "left")
