@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The forms in which references are written.
@@ -16,8 +16,10 @@ RANGE = r"^([0-9]+)[-‐‑–—−]([0-9]+)$"
 CHAPTER = r"(?:^|[^A-Za-z])(?:Chapters?|Chap\.)[     ]*([0-9]{1,9})"
 NUMBERED = r"(?:^|[^A-Za-z])(?:Tables?|Figures?|Figs?\.)[     ]*([0-9]{1,9})\.[0-9]"
 
-#: A range of more numbers isn't a range of references; its two ends count.
+#: Of a range of more numbers, ``cited_numbers`` has only the two ends: it's one array.
 LONGEST_RANGE = 10_000
+#: So many numbers of a range are made at once.
+CHUNK = 32_768
 
 
 def prose(md: Column) -> Column:
@@ -27,22 +29,44 @@ def prose(md: Column) -> Column:
     return md
 
 
-def cited_numbers(text: Column) -> Column:
-    """Numbers cited in square brackets, alone, in lists and in ranges: array of int, repeated ones once."""
+def cited_ranges(text: Column) -> Column:
+    """What is cited in square brackets: array of (lo, hi), repeated ones once. A number alone is a range of one; the two ends of a range that
+    goes down are two numbers."""
     groups = F.regexp_extract_all(text, F.lit(CITATION), F.lit(1))
     parts = F.flatten(F.transform(groups, lambda g: F.split(F.regexp_replace(g, "[  ]", ""), "[,;]")))
 
-    def expand(p: Column) -> Column:
+    def pair(lo: Column, hi: Column) -> Column:
+        return F.struct(lo.alias("lo"), hi.alias("hi"))
+
+    def bounds(p: Column) -> Column:
         lo, hi = (F.regexp_extract(p, RANGE, i).try_cast("int") for i in (1, 2))
-        ends = F.array(lo, hi)
+        one = p.try_cast("int")
         return (
-            F.when(~p.rlike("[^0-9]"), F.array(p.try_cast("int")))
-            .when(lo.isNull() | hi.isNull(), F.transform(F.split(p, "[^0-9]+"), lambda x: x.try_cast("int")))
-            .when((lo <= hi) & (hi - lo < LONGEST_RANGE), F.sequence(lo, F.greatest(lo, F.least(hi, lo + LONGEST_RANGE))))
-            .otherwise(ends)
+            F.when(~p.rlike("[^0-9]"), F.array(pair(one, one)))
+            .when(lo.isNull() | hi.isNull(), F.transform(F.split(p, "[^0-9]+"), lambda x: pair(x.try_cast("int"), x.try_cast("int"))))
+            .when(lo <= hi, F.array(pair(lo, hi)))
+            .otherwise(F.array(pair(lo, lo), pair(hi, hi)))
         )
 
-    return F.array_distinct(F.filter(F.flatten(F.transform(parts, expand)), lambda x: x.isNotNull()))
+    return F.array_distinct(F.filter(F.flatten(F.transform(parts, bounds)), lambda r: r["lo"].isNotNull()))
+
+
+def cited_numbers(text: Column) -> Column:
+    """Numbers cited in square brackets, alone, in lists and in ranges: array of int, repeated ones once. Of a range of more than
+    LONGEST_RANGE only the ends; ``cited_ranges`` and ``explode_range`` give all."""
+
+    def expand(r: Column) -> Column:
+        lo, hi = r["lo"], r["hi"]
+        return F.when(hi - lo < LONGEST_RANGE, F.sequence(lo, F.least(hi, lo + LONGEST_RANGE))).otherwise(F.array(lo, hi))
+
+    return F.array_distinct(F.flatten(F.transform(cited_ranges(text), expand)))
+
+
+def explode_range(df: DataFrame, lo: str, hi: str, no: str) -> DataFrame:
+    """A row for each number of each row's range, as ``no`` in place of ``lo`` and ``hi``; no array is longer than a chunk, however wide the
+    range."""
+    chunks = df.withColumn("__at", F.explode(F.sequence(lo, hi, F.lit(CHUNK))))
+    return chunks.withColumn(no, F.explode(F.sequence("__at", F.least(F.col(hi), F.col("__at") + (CHUNK - 1))))).drop(lo, hi, "__at")
 
 
 def chapter_numbers(text: Column) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.functions.references import chapter_numbers, cited_numbers, prose
+from foliospark.functions.references import chapter_numbers, cited_ranges, explode_range, prose
 
 
 def orphans(refs: DataFrame, parents: DataFrame, keys: list[str], at: str = "at", since: str = "added_at", until: str = "removed_at") -> DataFrame:
@@ -30,10 +30,12 @@ def item_references(out_items: DataFrame) -> DataFrame:
     reference list is meant, and the number itself for chapters. Items of kind reference are the list and name nothing."""
     items = out_items.where("md is not null and (kind is null or kind <> 'reference')").where(F.col("md").rlike("[0-9]"))
     text = prose(F.col("md"))
+    named_chapters = F.transform(chapter_numbers(F.col("text")), lambda x: F.struct(x.alias("lo"), x.alias("hi")))
     named = items.select("book_id", "chapter", "ord", F.col("written_at").alias("at"), text.alias("text")).select(
-        "book_id", "chapter", "ord", "at", F.map_from_arrays(F.array(F.lit("chapter_refs"), F.lit("chapters")), F.array(cited_numbers(F.col("text")), chapter_numbers(F.col("text")))).alias("m")
+        "book_id", "chapter", "ord", "at", F.map_from_arrays(F.array(F.lit("chapter_refs"), F.lit("chapters")), F.array(cited_ranges(F.col("text")), named_chapters)).alias("m")
     )
-    rows = named.select("book_id", "chapter", "ord", "at", F.explode("m").alias("target_table", "numbers")).select("book_id", "chapter", "ord", "at", "target_table", F.explode("numbers").alias("target_no"))
+    ranges = named.select("book_id", "chapter", "ord", "at", F.explode("m").alias("target_table", "ranges")).select("book_id", "chapter", "ord", "at", "target_table", F.explode("ranges").alias("r"))
+    rows = explode_range(ranges.select("book_id", "chapter", "ord", "at", "target_table", "r.lo", "r.hi"), "lo", "hi", "target_no")
     return rows.withColumn("target_chapter", F.when(F.col("target_table") == "chapters", F.col("target_no")).otherwise(F.col("chapter"))).distinct()
 
 

@@ -36,6 +36,15 @@ def test_found(spark):
     assert rows[("chapter_refs", "2024-01")] == (7, 4) and rows[("chapters", "2024-01")] == (3, 2)
 
 
+def test_all_numbers_of_a_wide_range(spark):
+    given = tables(spark, [("b", 1, 1, "paragraph", "[1-20000, 7]", day(4), None, None), ("b", 1, 2, "paragraph", "[5–100004]", day(4), None, None)])
+    got = [(r.ord, r.target_no) for r in found(*given).collect()]
+    # 1 and 2 hold.
+    assert len(got) == 19998 + 100000 and set(got) == {(1, n) for n in range(3, 20001)} | {(2, n) for n in range(5, 100005)}
+    (row,) = report(*given).collect()
+    assert (row.n_refs, row.n_orphans) == (120000, 119998)
+
+
 def test_empty(spark):
     items, refs, chapters = tables(spark, [])
     assert found(items, refs, chapters).count() == 0 and report(items, refs, chapters).count() == 0
