@@ -23,15 +23,26 @@ from pyspark.sql import functions as F
 
 from foliospark.session import ship
 
-# Element names of HTML; those without content; those that part blocks.
+# Element names of HTML, those without content, those that part blocks. The first are the standard's, obsolete ones too, and those
+# of wiki texts; then those of MathML, and those of SVG that aren't words of their own.
 _ELEMENTS = (
-    "a abbr address article aside audio b big blockquote body br button canvas caption center cite code col colgroup dd del details dfn div dl dt em "
-    "embed fieldset figcaption figure font footer form h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label legend li link main map mark "
-    "meta nav noscript object ol option p param picture pre progress q ref references nowiki gallery s samp script section select small source span strike strong style sub summary sup svg "
-    "table tbody td template textarea tfoot th thead time title tr tt u ul var video wbr"
+    "a abbr acronym address applet area article aside audio b base basefont bdi bdo bgsound big blink blockquote body br button canvas caption center cite code "
+    "col colgroup command content data datalist dd del details dfn dialog dir div dl dt element em embed fencedframe fieldset figcaption figure font footer form "
+    "frame frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html i iframe image img input ins isindex kbd keygen label legend li link listing main map mark "
+    "marquee math menu menuitem meta meter multicol nav nextid nobr noembed noframes noscript object ol optgroup option output p param picture plaintext portal "
+    "pre progress q rb rbc references ref rp rt rtc ruby nowiki gallery s samp script search section select selectedcontent shadow slot small source spacer span "
+    "strike strong style sub summary sup svg table tbody td template textarea tfoot th thead time title tr track tt u ul var video wbr xmp "
+    "annotation annotation-xml maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle "
+    "msub msubsup msup mtable mtd mtext mtr munder munderover semantics "
+    "circle clippath defs ellipse foreignobject g lineargradient path polygon polyline radialgradient rect textpath tspan"
 ).split()
-_VOID = {"br", "hr", "img", "input", "meta", "link", "col", "wbr", "source", "param", "embed"}
-_BLOCK = {"p", "div", "section", "article", "header", "footer", "main", "aside", "nav", "address", "figure", "figcaption", "center", "details", "summary", "dl", "dd", "dt", "body", "html", "head", "form", "fieldset"}
+#: Names with a namespace. A prefix of one letter can't be the scheme of a link in angle brackets; a longer one is none if it's known, if an
+#: attribute follows, or in an end tag.
+_SPACED = r"[a-z]:[a-z][\w.-]*|(?:st\d|mml|math|svg|html|xhtml|epub|xsl|xsi|rdf|tei|jats|xlink|mc|wp|pic|dc|fb|ce|sb):[a-z][\w.-]*"
+_SPACED_OPEN = _SPACED + r"|[a-z][\w-]+:[a-z][\w.-]*(?=\s+[\w:-]+\s*=)"
+_SPACED_CLOSE = r"[a-z][\w-]*:[a-z][\w.-]*"
+_VOID = {"area", "base", "basefont", "bgsound", "br", "col", "embed", "frame", "hr", "image", "img", "input", "isindex", "keygen", "link", "meta", "nextid", "param", "source", "spacer", "track", "wbr"}
+_BLOCK = {"p", "div", "section", "article", "header", "footer", "main", "aside", "nav", "address", "figure", "figcaption", "center", "details", "summary", "dl", "dd", "dt", "body", "html", "head", "form", "fieldset", "dialog", "search", "hgroup", "frameset", "noframes", "marquee"}
 
 _LEX = re.compile(
     rf"""(?P<fence>^[ \t>]*(?P<f>```+|~~~+)[^\n]*\n(?:.*?\n)?[ \t>]*(?P=f)[`~]*(?![`~\w])|^[ \t>]*(?:```+|~~~+)[^\n]*\n.*\Z)
@@ -40,8 +51,8 @@ _LEX = re.compile(
     |(?P<formula>(?<![\\$])\$(?=[^\s$])[^$\n]*?(?<=[^\s\\])\$(?!\d))
     |(?P<comment><!--.*?(?:-->|\Z))
     |(?P<anchor><a\s+(?:id|name)\s*=\s*[^<>]*>\s*</a>)
-    |(?P<close></(?P<cname>{"|".join(_ELEMENTS)})\s*>)
-    |(?P<open><(?P<oname>{"|".join(_ELEMENTS)})(?:\s[^<>]*|/)?>)
+    |(?P<close></(?P<cname>{"|".join(_ELEMENTS)}|{_SPACED_CLOSE})\s*>)
+    |(?P<open><(?P<oname>{"|".join(_ELEMENTS)}|{_SPACED_OPEN})(?:\s[^<>]*|/)?>)
     |(?P<doctype><![A-Za-z][^<>]*>)
     |(?P<entity>&(?:\#\d{{1,7}}|\#[xX][0-9A-Fa-f]{{1,6}}|[A-Za-z][A-Za-z0-9]{{1,31}});)
     |(?P<wtable>^\{{\|.*?^\|\}})
@@ -60,8 +71,6 @@ _LEX = re.compile(
 TRIGGER = r"[<&\\`$]|\[\[|\{\{|\{\||''|(?m)^=[^\n]*=[ \t]*$"
 
 
-#: How many times markup may be escaped within markup.
-MAX_ESCAPES = 8
 #: Depth from which elements are leaves: their marks are residue like others, only what they hold isn't below them any more.
 MAX_DEPTH = 100
 
@@ -319,8 +328,10 @@ class MarkupModel:
         return sum(n.residue > 0.5 for n in _walk(self.mark(parse(text, is_table))) if n.kind != "root")
 
     def clean(self, text: str, is_table: bool = False) -> str:
-        """Clean Markdown. Markup that was written in entities comes to light when they are resolved, so the result is cleaned again."""
-        for _ in range(MAX_ESCAPES):
+        """Clean Markdown. Markup that was written in entities comes to light when they are resolved, so the result is cleaned until nothing changes."""
+        seen: set[int] = set()
+        while (h := hash(text)) not in seen:
+            seen.add(h)
             root = self.mark(parse(text, is_table))
             out = _render(text, root, root.inner)
             if out == text:
@@ -424,16 +435,16 @@ def _convert(text: str, n: Node) -> str:
             return _wrap(_EMPHASIS[n.name], inner)
         if n.name == "li":
             return "\n- " + inner.strip()
-        if n.name in ("ul", "ol"):
+        if n.name in ("ul", "ol", "menu", "dir"):
             if n.name == "ol":
                 numbers = iter(range(1, 1 << 30))
                 inner = re.sub(r"^- ", lambda _: f"{next(numbers)}. ", inner, flags=re.M)
             return "\n" + inner.strip("\n") + "\n"
-        if n.name == "pre":
+        if n.name in ("pre", "listing", "xmp", "plaintext"):
             return "\n\n```\n" + inner.strip("\n") + "\n```\n\n"
         if n.name == "blockquote":
             return "\n\n" + "\n".join("> " + x for x in inner.strip().split("\n")) + "\n\n"
-        if n.name == "img":
+        if n.name in ("img", "image"):
             alt = re.search(r'alt\s*=\s*"([^"]*)"', raw)
             src = re.search(r'src\s*=\s*"([^"]*)"', raw)
             return f"![{alt.group(1) if alt else ''}]({src.group(1)})" if src else ""

@@ -50,6 +50,20 @@ def test_residue(text, table_kind, residue, clean):
         assert MODEL.count(cleaned, table_kind) == 0
 
 
+def test_all_elements_and_namespaces():
+    for name in "acronym area base bdi bdo data dialog math menu meter mfrac mi output rp rt ruby slot track o:p st1:place w:r mml:math".split():
+        assert MODEL.count(f"word <{name}>x</{name}> word") > 0 and MODEL.clean(f"word <{name}>x</{name}> word").split()[0] == "word", name
+        assert "<" not in MODEL.clean(f"word <{name}>x</{name}> word"), name
+    assert MODEL.clean("a <o:p></o:p>b <ns:item id=\"1\">c</ns:item> <ruby>d<rp>(</rp><rt>e</rt><rp>)</rp></ruby>") == "a b c d(e)"
+    for plain in ("see <https://x.org/a>, <mailto:a@b.c>, <urn:isbn:1>, <doi:abc> and <word>", "if a <b:2 or c> d", "`<o:p>` stays"):
+        assert MODEL.count(plain) == 0 and MODEL.clean(plain) == plain
+
+
+def test_markup_escaped_many_times():
+    for times in (1, 8, 9, 40):
+        assert MODEL.clean("word &" + "amp;" * times + "lt;b&" + "amp;" * times + "gt;x&" + "amp;" * times + "lt;/b&" + "amp;" * times + "gt;") == "word **x**", times
+
+
 def test_found_and_clean_on_rows(spark):
     items = spark.createDataFrame([("b", "1", None, "paragraph", 1), ("b", "2", "<b>x</b>", None, 1), ("b", "2", "<b>x</b>", None, 1), ("b", "3", "plain", "list", 1), (None, None, "", "list", 1)], "book_id STRING, block_id STRING, md STRING, kind STRING, residue INT")
     blocks = spark.createDataFrame([("b", "1", "<table></table>", "table"), ("b", "2", "<table></table>", "list")], "book_id STRING, block_id STRING, markdown STRING, block_type STRING")
