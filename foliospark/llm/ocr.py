@@ -220,8 +220,9 @@ def running(texts: DataFrame) -> DataFrame:
 
 
 def breaks(texts: DataFrame) -> DataFrame:
-    """(field_name, book_id, block_id, l, r, joined, far, tail): word parts around a hyphen that may divide a word. At line ends of raw
-    texts, and before a blank or inside a word of cleaned texts; ``far``: the rest stands behind one more line or page number."""
+    """(field_name, book_id, block_id, l, r, far, name, joined): word parts around a hyphen that may divide a word. At line ends of raw texts,
+    and before a blank or inside a word of cleaned texts; ``far``: the rest stands behind one more line or page number; ``name``: the rest
+    begins with a capital after a small letter."""
     page = F.col("page").cast("string")
     flat = F.regexp_replace("text", F.col("title"), " ")
     # What is left of a running line: a page number with its signs.
@@ -235,7 +236,7 @@ def breaks(texts: DataFrame) -> DataFrame:
 
     def pairs(text: Column, pattern: str, far: bool) -> Column:
         l, r = (F.regexp_extract_all(text, F.lit(pattern), F.lit(i)) for i in (1, 2))
-        return F.zip_with(l, r, lambda a, b: F.struct(F.lower(a).alias("l"), F.lower(b).alias("r"), F.lit(far).alias("far")))
+        return F.zip_with(l, r, lambda a, b: F.struct(F.lower(a).alias("l"), F.lower(b).alias("r"), F.lit(far).alias("far"), (a.rlike(r"\p{Ll}$") & b.rlike(r"^\p{Lu}")).alias("name")))
 
     found = F.when(F.col("field_name") == "raw_text", F.concat(pairs(body, at_end, False), pairs(body, over, True))).otherwise(
         F.concat(pairs(F.col("text"), loose, False), pairs(flat, loose, True), pairs(F.col("text"), tight, False))
@@ -244,6 +245,10 @@ def breaks(texts: DataFrame) -> DataFrame:
     return rows.where(F.col("l").rlike(r"\p{L}") & F.col("r").rlike(r"\p{L}")).withColumn("joined", F.concat("l", "r"))
 
 
+def _head(compound: str) -> Column:
+    return F.substring_index(compound, "-", 1)
+
+
 class Repair:
     """Faults of scanned blocks and their repair. Corpus counts come from all blocks."""
 
@@ -256,13 +261,13 @@ class Repair:
         # Words of the body; parts of divided words are no words, the joined ones are.
         flat = F.regexp_replace(F.array_join("kept", "\n"), rf"{_BREAK}\s++[\p{{L}}\p{{N}}|!+$@]++", " ")
         self.occurrences = self.texts.select("field_name", "book_id", "block_id", F.explode(F.array_distinct(F.flatten(F.transform(_words(flat), lambda w: F.split(w, "-"))))).alias("word"))
-        words = self.occurrences.select("word").union(self.breaks.select(F.col("joined").alias("word"))).distinct()
+        words = self.occurrences.select("word").union(self.breaks.select(F.explode(F.array("joined", "l", _head("r"))).alias("word"))).distinct()
         self.corrections = corrections(unique, words, self.counts).checkpoint()
         self._divided: DataFrame | None = None
 
     def divided(self) -> DataFrame:
-        """Breaks whose word has no hyphen of its own: the joined word, or its reading, is more frequent than the compound. Several results need
-        them, so they are kept."""
+        """Breaks whose word has no hyphen of its own: the joined word, or its reading, is more frequent than the compound; where neither is
+        known, ``_by_parts`` decides. Several results need them, so they are kept."""
         if self._divided is None:
             self._divided = self._divide().checkpoint()
         return self._divided
@@ -275,7 +280,23 @@ class Repair:
         rows = rows.join(n.select(F.col("word").alias("reading"), F.col("n").alias("nr")), "reading", "left")
         rows = rows.join(n.select(F.col("word").alias("compound"), F.col("n").alias("nc")), "compound", "left")
         joined = F.greatest(F.coalesce("nj", F.lit(0)), F.coalesce("nr", F.lit(0)))
-        return rows.where((joined > 0) & (joined > F.coalesce("nc", F.lit(0)))).select("field_name", "book_id", "block_id", "l", "r", "far", F.coalesce("reading", "joined").alias("whole"), "reading")
+        rows = rows.withColumn("nj", joined).withColumn("nc", F.coalesce("nc", F.lit(0))).checkpoint()
+        known = rows.where((F.col("nj") > 0) & (F.col("nj") > F.col("nc")))
+        return known.union(self._by_parts(rows)).select("field_name", "book_id", "block_id", "l", "r", "far", F.coalesce("reading", "joined").alias("whole"), "reading")
+
+    def _by_parts(self, rows: DataFrame) -> DataFrame:
+        """The rows with an unknown word and compound that are divided by their parts: at a line end of a raw text one of them is no word, part of
+        a compound or misread word. The same break in the block's cleaned text is divided with it. Parts of one letter and names are compounds,
+        and a break whose rest is known behind a running line is decided there."""
+        key = ["field_name", "book_id", "block_id"]
+        new = (F.col("nj") == 0) & (F.col("nc") == 0)
+        open_ = rows.where(new & (F.col("field_name") == "raw_text") & ~F.col("far") & ~F.col("name") & (F.length("l") > 1) & (F.length(_head("r")) > 1))
+        open_ = open_.join(rows.where(~new).select(*key, "l").distinct(), [*key, "l"], "left_anti").select("book_id", "block_id", "l", "r")
+        parts = open_.select("book_id", "block_id", "l", "r", F.explode(F.array("l", _head("r"))).alias("part")).where(F.col("part").rlike(r"^\p{L}+$"))
+        words = self.counts.select(F.explode(F.split("word", "-")).alias("part")).union(self.corrections.select("word"))
+        strange = parts.join(words, "part", "left_anti").select("book_id", "block_id", "l", "r").distinct()
+        near = new & ((F.col("field_name") == "cleaned_text") | ~F.col("far"))
+        return rows.where(near).join(strange, ["book_id", "block_id", "l", "r"], "left_semi").select(*rows.columns)
 
     def misread(self) -> DataFrame:
         """(word, field_name, book_id, block_id, reading) of the misread words; parts of divided words are none."""

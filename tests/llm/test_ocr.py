@@ -60,6 +60,24 @@ def test_repaired(repair):
     assert got[6] == "The night sweats of patients" and got[7] == CASES[7][0]
 
 
+def test_rare_words_that_occur_only_divided(spark):
+    cases = [
+        ("Signs of xantho-\nchromia here", "Signs of xantho- chromia here"),
+        ("Curve of Kaplan-\nMeier here", None),
+        ("Signs of night-\nrecovery here", "Signs of night-recovery here"),
+        ("Signs of xanthelas-\nma here", None),
+        ("Care of mem-\nFoot of page\nbrane here", None),
+        ("Signs of low-\nhistology here", None),
+        ("A v-\nplasty here", None),
+    ]
+    empty = "book_id STRING, number INT, title STRING"
+    r = O.Repair(blocks(spark, cases), spark.createDataFrame([], "book_id STRING, title STRING"), spark.createDataFrame([], empty))
+    got = {(int(x.block_id[-3:]), x.field_name) for x in r.found().where("fault = 'hyphen'").collect()}
+    assert got == {(0, "raw_text"), (0, "cleaned_text"), (3, "raw_text"), (4, "raw_text")}
+    texts = {int(x.block_id[-3:]): x.text for x in r.repaired().collect() if x.block_id.startswith("ch002")}
+    assert texts[0] == "Signs of xanthochromia here" and texts[1] == "Curve of Kaplan-Meier here" and texts[2] == "Signs of night-recovery here"
+
+
 def test_empty(spark):
     empty = spark.createDataFrame([], BLOCKS)
     books = spark.createDataFrame([], "book_id STRING, title STRING")
