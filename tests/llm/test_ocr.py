@@ -89,3 +89,40 @@ def test_empty(spark):
 def test_variants():
     assert O.variants("n1ght")["night"] == 1 and O.variants("medu11a")["medulla"] == 2 and O.variants("lirnits")["limits"] == 1
     assert "abc" not in O.variants("abc")
+
+
+CLAY = ["Pots of wet clay stand near the kiln.", "He dug the clay from a deep bank.", "A brick of clay is fired for hours."]
+DAY = ["Take one tablet each day with food.", "On the third day of treatment she slept.", "Every day of treatment he takes food."]
+MORE = ["Wash the wound with water before sleep.", "Most patients of the ward slept well.", "Water and food are given in the ward."]
+
+
+def test_real_words_are_read_in_their_context(spark):
+    cases = [("On the third clay of treatment he slept.", "Every clay of treatment she takes food."), ("Pots of wet clay stand near the kiln.", "He dug the clay from a deep bank."), ("On the third day of treatment she slept.", None), ("On the third clay of treatment\nhe saw pots of wet clay stand", None)]
+    rows = [("b", f"ch001-p0001-b{i:04d}", "paragraph", 1, i, (CLAY + DAY + MORE)[i % 9], None, False, None, None) for i in range(900)]
+    rows += [("b", f"ch002-p0007-b{i:04d}", "paragraph", 7, i, raw, cleaned, True, "clash", "clash") for i, (raw, cleaned) in enumerate(cases)]
+    none = spark.createDataFrame([], "book_id STRING, title STRING"), spark.createDataFrame([], "book_id STRING, number INT, title STRING")
+    df = spark.createDataFrame(rows, BLOCKS)
+    r = O.Repair(df, *none)
+    got = {(int(x.block_id[-4:]), x.field_name) for x in r.found().where("fault = 'misread'").collect()}
+    assert got == {(0, "raw_text"), (0, "cleaned_text"), (3, "raw_text")}
+    texts = {int(x.block_id[-4:]): x.text for x in r.repaired().collect()}
+    assert texts[0] == "On the third day of treatment he slept." and texts[1] == cases[1][0]
+    assert texts[3] == "On the third day of treatment he saw pots of wet clay stand"
+    # Without the vectors no count tells them apart.
+    assert O.Repair(df, *none, vectors=False).found().where("fault = 'misread'").count() == 0
+
+
+def test_readings_at_any_length(spark):
+    stem = "".join(chr(97 + (7 * i * i + i) % 26) for i in range(60))
+    words = ["n1ght", "medu11a", stem[:30] + "rn" + stem[30:50] + "1" + stem[50:], stem[:45] + "m", "x" * 20000 + "1", "1l" * 3000]
+    known = ["night", "medulla", stem[:30] + "m" + stem[30:50] + "l" + stem[50:], stem[:45] + "in", "x" * 20000 + "l", "x" * 20000, "il" * 3000]
+    got = {tuple(r) for r in O.readings(spark.createDataFrame([(w,) for w in words], "word STRING"), spark.createDataFrame([(w,) for w in known], "word STRING")).collect()}
+    assert {(w, r, O.edits_between(w, r)) for w in words for r in known if O.edits_between(w, r)} == got
+    assert {(w[:5], n) for w, _, n in got} == {("n1ght", 1), ("medu1", 2), (stem[:5], 2), (stem[:5], 1), ("xxxxx", 1)}
+
+
+def test_edits_between_as_variants():
+    for w in ("n1ght", "medu11a", "lirnits", "clay", "hoiirs", "c1iff", "vvindovv"):
+        for r, n in O.variants(w).items():
+            assert O.edits_between(w, r) == n, (w, r)
+    assert O.edits_between("night", "night") == 0 and O.edits_between("night", "nigh") is None
