@@ -5,16 +5,21 @@ tokens are code points, since the problem asks for runs of code points. The wind
 ``min_chars``), and of the windows that start in any ``min_chars - WINDOW + 1`` consecutive places only the one of least hash is shuffled
 (winnowing). That loses nothing: a common run of ``min_chars`` holds all of those windows in either text, so both texts choose the same.
 
-1. Every distinct text is a class (64-bit hash of the text), so that copies are never compared with each other.
-2. The chosen windows are counted by hash; hashes met in one class only are dropped. The others are a small materialised table.
+1. Every distinct text is a class (the first 128 bits of its SHA-256), so that copies are never compared with each other.
+2. The texts are hashed once; each class keeps the chosen windows as two arrays. Windows are counted by hash; hashes met in one class only
+   are dropped. The others are a small materialised table.
 3. Hashes of up to ``HOT`` rows give candidate pairs of classes with their anchor places; the two texts are compared around the
    anchors, which gives the maximal common runs.
 4. Hashes of more rows (a notice in a third of all documents) aren't paired on a short window: all windows of ``min_chars`` code points
-   over those anchors are hashed and counted, so that the work stays linear in the text until the pairs themselves are asked for.
+   over those anchors are hashed and counted, so that the work stays linear in the text until the pairs themselves are asked for. Here no
+   texts are compared, so each window has a second hash, modulo two primes at bases drawn anew in each run: whatever the texts, two different
+   windows of one first hash agree in it with a chance below 1e-13. Windows that the same classes hold are one group, and a large group
+   is split over many tasks before its classes are paired.
 """
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,6 +62,29 @@ class RollingHash:
         return h
 
 
+#: Two primes below 2**31.
+_PRIMES = (2147483629, 2147483587)
+
+
+def _powers_mod(base: int, n: int, p: int) -> np.ndarray:
+    """1, base, base**2 and so on modulo p, doubled in length at each step."""
+    out = np.ones(1, np.int64)
+    while len(out) < n:
+        out = np.concatenate([out, out * pow(base, len(out), p) % p])
+    return out[:n]
+
+
+def prime_windows(codes: np.ndarray, width: int, bases: tuple[int, int]) -> np.ndarray:
+    """62 bits of each window: its value as a polynomial at each base, modulo each prime."""
+    out = np.zeros(max(0, len(codes) - width + 1), np.int64)
+    for base, p in zip(bases, _PRIMES):
+        total = np.zeros(len(codes) + 1, np.int64)
+        np.cumsum((codes.astype(np.int64) + 1) * _powers_mod(base, len(codes), p) % p, out=total[1:])
+        h = (total[width:] - total[:-width]) % p * _powers_mod(pow(base, -1, p), len(out), p) % p
+        out = (out << 31) | h
+    return out
+
+
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
 
@@ -103,7 +131,8 @@ def _scan(min_chars: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roll = RollingHash(_CHUNK)
         for batch in batches:
-            for cls, base, off, text in _chunks(batch.column(0).to_pylist(), batch.column(1).to_pylist(), min_chars - 1):
+            n, found = batch.num_rows, []
+            for row, base, off, text in _chunks(list(range(n)), batch.column(1).to_pylist(), min_chars - 1):
                 codes = _codes(text)
                 h = roll.windows(codes, window)
                 valid = np.zeros(len(codes) + 1, np.int8)  # places where a whole run of min_chars of one text begins
@@ -113,15 +142,16 @@ def _scan(min_chars: int, window: int):
                 np.add.at(valid, ends[fits] - min_chars + 1, -1)
                 at = winnow(h, np.cumsum(valid)[:-1][: len(h)] > 0, width)
                 which = np.searchsorted(base, at, side="right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[at].view(np.int64)), pa.array(cls[which]), pa.array((at - base[which] + off[which]).astype(np.int32))], names=["fp", "cls", "pos"]
-                )
+                found.append((row[which], h[at].view(np.int64), (at - base[which] + off[which]).astype(np.int32)))
+            rows, fps, places = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 3
+            cuts = np.searchsorted(rows, np.arange(n + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(cuts, pa.array(fps)), pa.ListArray.from_arrays(cuts, pa.array(places.astype(np.int32)))], names=["cls", "fps", "places"])
 
     return run
 
 
-def _run_windows(min_chars: int, window: int):
-    """Hashes of all windows of min_chars code points that cover one of the given anchors."""
+def _run_windows(min_chars: int, window: int, bases: tuple[int, int]):
+    """Both hashes of all windows of min_chars code points that cover one of the given anchors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,9 +163,8 @@ def _run_windows(min_chars: int, window: int):
                     want[max(0, p + window - min_chars)] += 1
                     want[min(p, len(h) - 1) + 1] -= 1
                 at = np.flatnonzero(np.cumsum(want)[:-1] > 0)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h[at].view(np.int64)), pa.array(np.full(len(at), cls, np.int64)), pa.array(at.astype(np.int32))], names=["wh", "cls", "start"]
-                )
+                second = prime_windows(codes, min_chars, bases)
+                yield pa.RecordBatch.from_arrays([pa.array(h[at].view(np.int64)), pa.array(second[at]), pa.array([cls] * len(at), pa.binary()), pa.array(at.astype(np.int32))], names=["wh", "wv", "cls", "start"])
 
     return run
 
@@ -175,11 +204,24 @@ def _runs(min_chars: int, window: int):
                     if left + right >= min_chars:
                         out.append((ca, cb, pa_ - left, pb - left, left + right))
             cols = list(zip(*out)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))], names=["cls_a", "cls_b", "start_a", "start_b", "length"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int32()))], names=["cls_a", "cls_b", "start_a", "start_b", "length"])
 
     return run
 
 
+#: Members of a group that one task pairs with all of the group.
+_SPLIT = 256
+
+
+def pairs_within(members: DataFrame, group: str, member: str) -> DataFrame:
+    """(a, b), a < b: the pairs of members of each group. ``members``: the group, its number of members ``n``, and the member. A large group is split: each
+    of its parts meets the whole group in a task of its own."""
+    parts = F.ceil(F.col("n") / _SPLIT).cast("int")
+    a = members.select(F.col(group).alias("ga"), F.pmod(F.xxhash64(member), parts).cast("int").alias("part"), F.col(member).alias("a"))
+    b = members.select(F.col(group).alias("gb"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("part_b"), F.col(member).alias("b"))
+    return a.join(b, (F.col("ga") == F.col("gb")) & (F.col("part") == F.col("part_b")) & (F.col("a") < F.col("b"))).select("a", "b")
+
+
 class SharedSpans:
     """Spans of at least ``min_chars`` code points that stand in more than one record, character for character.
 
@@ -195,14 +237,16 @@ class SharedSpans:
         ensure_checkpoint_dir(spark)
         self.min_chars = min_chars
         text = F.col(text_col)
-        long = df.where(F.length(text) >= min_chars).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("cls"), text.alias("text"))
+        cls = F.unhex(F.left(F.sha2(F.encode(text, "UTF-8"), 256), F.lit(32)))
+        long = df.where(F.length(text) >= min_chars).select(F.col(id_col).alias("id"), cls.alias("cls"), text.alias("text"))
         self.members = long.select("cls", "id", F.length("text").alias("n"))
         self._texts = long.select("cls", "text")
-        scan = self._texts.mapInArrow(_scan(min_chars, window), "fp LONG, cls LONG, pos INT")
-        counts = scan.groupBy("fp").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.count("*").alias("n"))
+        scan = self._texts.mapInArrow(_scan(min_chars, window), "cls BINARY, fps ARRAY<LONG>, places ARRAY<INT>").checkpoint()
+        counts = scan.select("cls", F.explode("fps").alias("fp")).groupBy("fp").agg(F.min("cls").alias("a"), F.max("cls").alias("b"), F.count("*").alias("n"))
         repeated = counts.where("a <> b").select("fp", (F.col("n") > hot).alias("hot")).checkpoint()
         n, n_hot = repeated.agg(F.count("*"), F.count_if("hot")).first()
-        rows = scan.join(F.broadcast(repeated) if n <= BROADCAST_ROWS else repeated, "fp").distinct().checkpoint()
+        chosen = scan.select("cls", F.explode(F.arrays_zip("fps", "places")).alias("w")).select("cls", F.col("w.fps").alias("fp"), F.col("w.places").alias("pos"))
+        rows = chosen.join(F.broadcast(repeated) if n <= BROADCAST_ROWS else repeated, "fp").distinct().checkpoint()
         self._cold = self._cold_runs(rows.where("not hot"), min_chars, window)
         self._windows = self._hot_windows(rows.where("hot"), min_chars, window) if n_hot else None
 
@@ -215,22 +259,30 @@ class SharedSpans:
         pairs = a.join(b, (a.fp == b.fp) & (a.cls_a < b.cls_b)).groupBy("cls_a", "cls_b").agg(F.collect_set(F.struct("pa", "pb")).alias("anchors"))
         texts = self._text_of(rows.select("cls").distinct())
         both = pairs.join(texts.toDF("cls_a", "text_a"), "cls_a").join(texts.toDF("cls_b", "text_b"), "cls_b")
-        return both.select("cls_a", "cls_b", "anchors", "text_a", "text_b").mapInArrow(_runs(min_chars, window), "cls_a LONG, cls_b LONG, start_a INT, start_b INT, length INT")
+        return both.select("cls_a", "cls_b", "anchors", "text_a", "text_b").mapInArrow(_runs(min_chars, window), "cls_a BINARY, cls_b BINARY, start_a INT, start_b INT, length INT")
 
     def _hot_windows(self, rows: DataFrame, min_chars: int, window: int) -> DataFrame:
         anchors = rows.groupBy("cls").agg(F.collect_set("pos").alias("anchors"))
-        found = self._text_of(anchors.select("cls")).join(anchors, "cls").mapInArrow(_run_windows(min_chars, window), "wh LONG, cls LONG, start INT")
+        bases = tuple(secrets.randbelow(p - 3) + 2 for p in _PRIMES)
+        found = self._text_of(anchors.select("cls")).join(anchors, "cls").mapInArrow(_run_windows(min_chars, window, bases), "wh LONG, wv LONG, cls BINARY, start INT")
         found = found.checkpoint()
-        shared = found.groupBy("wh").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("wh")
-        return found.join(shared, "wh", "left_semi")
+        shared = found.groupBy("wh", "wv").agg(F.min("cls").alias("a"), F.max("cls").alias("b")).where("a <> b").select("wh", "wv")
+        return found.join(shared, ["wh", "wv"], "left_semi")
+
+    def _hot_groups(self) -> DataFrame:
+        """(g, cls): the classes under each hot window, windows under the same classes once. g stands for a set of classes: their number and
+        two sums of hashes."""
+        w = self._windows.select("wh", "wv", "cls").distinct()
+        wide = [F.sum(F.xxhash64(F.lit(i), "cls").cast("decimal(20,0)")).alias(f"s{i}") for i in (1, 2)]
+        sets = w.groupBy("wh", "wv").agg(F.count("*").alias("n"), *wide)
+        first = sets.groupBy("n", "s1", "s2").agg(F.min(F.struct("wh", "wv")).alias("g")).select("g", "n")
+        return w.join(first.select(F.col("g.wh").alias("wh"), F.col("g.wv").alias("wv"), "n"), ["wh", "wv"]).select(F.struct("wh", "wv").alias("g"), "n", "cls")
 
     def class_pairs(self) -> DataFrame:
         """(cls_a, cls_b): different texts with a common span."""
         pairs = self._cold.select("cls_a", "cls_b")
         if self._windows is not None:
-            w = self._windows.select("wh", "cls").distinct()
-            a, b = w.toDF("wh", "cls_a"), w.toDF("wh_b", "cls_b")
-            pairs = pairs.union(a.join(b, (F.col("wh") == F.col("wh_b")) & (F.col("cls_a") < F.col("cls_b"))).select("cls_a", "cls_b"))
+            pairs = pairs.union(pairs_within(self._hot_groups(), "g", "cls").toDF("cls_a", "cls_b"))
         return pairs.distinct()
 
     def pairs(self) -> DataFrame:
@@ -238,8 +290,8 @@ class SharedSpans:
         m = self.members.select("cls", "id").distinct()
         a, b = m.toDF("cls_a", "doc_x"), m.toDF("cls_b", "doc_y")
         across = self.class_pairs().join(a, "cls_a").join(b, "cls_b").select(F.least("doc_x", "doc_y").alias("doc_a"), F.greatest("doc_x", "doc_y").alias("doc_b"))
-        copies = a.join(b, (F.col("cls_a") == F.col("cls_b")) & (F.col("doc_x") < F.col("doc_y"))).select("doc_x", "doc_y")
-        return across.union(copies)
+        sizes = m.groupBy("cls").agg(F.count("*").alias("n")).where("n > 1")
+        return across.union(pairs_within(m.join(sizes, "cls"), "cls", "id").toDF("doc_a", "doc_b"))
 
     def intervals(self) -> DataFrame:
         """(cls, start, end): maximal intervals of each class that stand in another class, code points from 0, end excluded."""

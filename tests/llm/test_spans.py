@@ -73,6 +73,42 @@ def test_long_texts_are_cut_with_an_overlap(spark, monkeypatch):
     assert all(b - a == (1 << 9) - 39 for a, b in zip(starts, starts[1:]))
 
 
+def test_windows_of_one_first_hash_are_told_apart(spark, monkeypatch):
+    """A first hash that takes all windows for equal leaves it to the second one."""
+    from foliospark.llm import spans
+
+    monkeypatch.setattr(spans, "_SPLIT", 4)
+    docs = made()
+    df = spark.createDataFrame(docs, "doc_id LONG, text STRING").repartition(3)
+    code = spans._run_windows(40, 20, (12345, 67891))
+
+    def same_first(batches):
+        import pyarrow as pa
+
+        for b in code(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([1] * b.num_rows, pa.int64()), *b.columns[1:]], names=b.schema.names)
+
+    monkeypatch.setattr(spans, "_run_windows", lambda *a: same_first)
+    s = spans.SharedSpans(df, min_chars=40, window=20, hot=3)
+    pairs, shared = brute(docs, 40)
+    assert {tuple(r) for r in s.pairs().collect()} == pairs
+    assert {r.id: r.shared_chars for r in s.report().collect()} == shared
+
+
+def test_prime_windows():
+    import numpy as np
+
+    from foliospark.llm import spans
+
+    codes = spans._codes("abcabcabdabcé\U0001f9ba" * 40)
+    h = spans.prime_windows(codes, 5, (98765, 43210))
+    by = {}
+    for i, x in enumerate(h.tolist()):
+        by.setdefault(x, set()).add(codes[i : i + 5].tobytes())
+    assert all(len(v) == 1 for v in by.values()) and len(by) == len({codes[i : i + 5].tobytes() for i in range(len(codes) - 4)})
+    assert spans.prime_windows(codes[:3], 5, (7, 9)).size == 0 and h.dtype == np.int64
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id LONG, text STRING")
     s = SharedSpans(df)
