@@ -56,11 +56,12 @@ def atoms(text: str, limit: int) -> tuple[list[int], list[int]]:
 
 def split(text: str, max_chars: int, overlap: int) -> list[tuple[int, int]]:
     """(start, end) of the pieces in code points. Each is at most ``max_chars`` long and, but for the first, begins ``overlap`` before the
-    end of the one before it. An overlap that leaves no room is cut down to half of the limit. A text within the limit is one piece."""
+    end of the one before it. An overlap of the limit or more leaves no room and is cut to one less than the limit. A text within the limit is
+    one piece."""
     if len(text) <= max_chars:
         return [(0, len(text))]
     max_chars = max(1, max_chars)
-    overlap = max(0, min(overlap, max_chars // 2))
+    overlap = max(0, min(overlap, max_chars - 1))
     ends, strength = atoms(text, max_chars - overlap)
     n = len(ends)
     start = [0, *ends[:-1]]
@@ -135,7 +136,7 @@ def found(out_items: DataFrame, blocks: DataFrame, limits: DataFrame) -> DataFra
 
 def pieces(out_items: DataFrame, blocks: DataFrame, limits: DataFrame) -> DataFrame:
     """(field_name, book_id, block_id, piece_no, start, end, piece): every text in pieces within its limit; most texts are one piece. Null
-    texts have none; repeated rows of one key and text count once."""
+    texts have none; repeated rows of one key and text count once; several texts of one key each have their pieces."""
     rows = _sources(out_items, blocks, limits).where("text is not null")
     whole = rows.where("max_chars is null or length(text) <= max_chars").select(*_KEYS, F.lit(1).alias("piece_no"), F.lit(0).alias("start"), F.length("text").alias("end"), F.col("text").alias("piece"))
-    return whole.union(split_oversized(rows, _KEYS, "text", "max_chars", "overlap_chars")).dropDuplicates([*_KEYS, "piece_no", "start", "end"])
+    return whole.union(split_oversized(rows, _KEYS, "text", "max_chars", "overlap_chars")).distinct()

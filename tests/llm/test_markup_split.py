@@ -86,12 +86,28 @@ TEXTS = ["word " * 900, "A sentence here. " * 300, "x" * 5000, "\n\n".join("para
 def test_pieces(limit, overlap):
     for text in TEXTS:
         pieces = P.split(text, limit, overlap)
-        real = max(0, min(overlap, limit // 2))
+        real = max(0, min(overlap, limit - 1))
         assert pieces[0][0] == 0 and pieces[-1][1] == len(text)
         assert all(0 < e - s <= limit for s, e in pieces)
         assert all(b[0] == a[1] - real for a, b in zip(pieces, pieces[1:]))
 
 
+@pytest.mark.parametrize("limit", [2, 7, 40])
+def test_every_overlap_below_the_limit_is_kept(limit):
+    text = "One two. Three, four\n\nfive - six " * 4
+    for overlap in range(limit):
+        pieces = P.split(text, limit, overlap)
+        assert pieces[0][0] == 0 and pieces[-1][1] == len(text) and all(0 < e - s <= limit for s, e in pieces)
+        assert all(b[0] == a[1] - overlap and b[1] > a[1] for a, b in zip(pieces, pieces[1:])), overlap
+
+
+def test_several_texts_of_one_key(spark):
+    items = spark.createDataFrame([("b", "1", "x" * 20, "list"), ("b", "1", "y" * 20, "list"), ("b", "1", "y" * 20, "list")], "book_id STRING, block_id STRING, md STRING, kind STRING")
+    blocks = spark.createDataFrame([], "book_id STRING, block_id STRING, markdown STRING, block_type STRING")
+    limits = spark.createDataFrame([("list", 10, 0)], "kind STRING, max_chars INT, overlap_chars INT")
+    assert sorted(r.piece[0] for r in P.pieces(items, blocks, limits).collect()) == ["x", "x", "y", "y"]
+
+
 def test_cuts_at_the_strongest_boundaries():
     text = "\n\n".join("First sentence here. Second one there." for _ in range(12))
     assert all(text[e - 2 : e] == "\n\n" for _, e in P.split(text, 200, 0)[:-1])
