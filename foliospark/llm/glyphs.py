@@ -9,13 +9,13 @@ The mapping has one row for each code point that Unicode decomposes or gives a c
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliospark.session import ensure_checkpoint_dir
 
 # Letters of other scripts that look like a Latin letter, each behind the letter it looks like.
 LOOK_ALIKES = {
@@ -54,6 +54,25 @@ def _one(c: str) -> str:
     return "".join(_SCRIPT.get(x, x) for x in unicodedata.normalize("NFD", c))
 
 
+_EMOJI = re.compile("[\U0001F000-\U0001FAFF\u2600-\u27BF](?:[\uFE0F\U0001F3FB-\U0001F3FF]|\u200D[\U0001F000-\U0001FAFF\u2600-\u27BF])*")
+
+
+def form_of(text: str) -> str:
+    """The form of one text, for operators that have it in Python anyway; emoji stay as they are."""
+    if text.isascii() and not _CONTROL.search(text):
+        return text
+    out, at = [], 0
+    for m in _EMOJI.finditer(text):
+        out += [unicodedata.normalize("NFC", "".join(map(_known_one, text[at : m.start()]))), m.group()]
+        at = m.end()
+    return "".join(out) + unicodedata.normalize("NFC", "".join(map(_known_one, text[at:])))
+
+
+_CONTROL = re.compile(r"[\t\x0b\x0c]")
+_known_one = lru_cache(1 << 16)(_one)
+
+
+@lru_cache(1)
 def mapping_rows() -> list[tuple[str, int, str, int]]:
     """(code point, number, part, combining class) for every code point that isn't its own form, and for every mark. Hangul stays."""
     rows = []
@@ -67,6 +86,7 @@ def mapping_rows() -> list[tuple[str, int, str, int]]:
     return rows
 
 
+@lru_cache(1)
 def composition_rows() -> list[tuple[str, str]]:
     """(starter and ordered marks, composed code point) for every code point that canonical composition makes. Hangul stays."""
     rows = []
@@ -89,7 +109,7 @@ def needs_mapping(text: Column) -> Column:
     return text.rlike(rf"[^{_PLAIN[1:-1]}]")
 
 
-def _keys(text: Column) -> list[Column]:
+def text_keys(text: Column) -> list[Column]:
     """128 bits that stand for a text."""
     return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit(1), text, F.length(text)).alias("h2")]
 
@@ -98,7 +118,7 @@ def forms(texts: DataFrame, column: str = "text") -> DataFrame:
     """(h1, h2, text, form) for each distinct text of ``column`` that needs a mapping."""
     spark = texts.sparkSession
     text = F.col("text")
-    distinct = texts.select(F.col(column).alias("text")).where(needs_mapping(text)).groupBy(*_keys(text)).agg(F.first("text").alias("text"))
+    distinct = texts.select(F.col(column).alias("text")).where(needs_mapping(text)).groupBy(*text_keys(text)).agg(F.first("text").alias("text"))
     pieces = distinct.select("h1", "h2", F.posexplode(F.regexp_extract_all("text", F.lit(_PIECES), F.lit(1))).alias("pos", "cp"))
     parts = (
         pieces.join(F.broadcast(_mapping(spark)), "cp", "left")
@@ -121,19 +141,14 @@ def forms(texts: DataFrame, column: str = "text") -> DataFrame:
     return distinct.join(built, ["h1", "h2"], "left").select("h1", "h2", "text", F.coalesce("form", F.lit("")).alias("form"))
 
 
-def normalise(df: DataFrame, column: str, out: str, keep: bool = False) -> DataFrame:
-    """``df`` with the column ``out``: the text of ``column`` in its one form; null stays null, a text of invisible characters becomes ''.
-
-    keep: the forms of the distinct texts are materialised, for a result that is read more than once."""
+def normalise(df: DataFrame, column: str, out: str) -> DataFrame:
+    """``df`` with the column ``out``: the text of ``column`` in its one form; null stays null, a text of invisible characters becomes ''."""
     text = F.col(column)
     cols = [F.col(f"`{c}`") for c in df.columns]
     plain = df.where(text.isNull() | ~needs_mapping(text)).select(*cols, text.alias(out))
-    h1, h2 = (k.alias(f"__{n}") for k, n in zip(_keys(text), ("h1", "h2")))
+    h1, h2 = (k.alias(f"__{n}") for k, n in zip(text_keys(text), ("h1", "h2")))
     other = df.where(needs_mapping(text)).select(*cols, h1, h2)
     f = forms(df, column).select(F.col("h1").alias("__f1"), F.col("h2").alias("__f2"), F.col("form").alias("__form"))
-    if keep:
-        ensure_checkpoint_dir(df.sparkSession)
-        f = f.checkpoint()
     other = other.join(f, (F.col("__h1") == F.col("__f1")) & (F.col("__h2") == F.col("__f2"))).select(*cols, F.col("__form").alias(out))
     return plain.unionByName(other)
 
@@ -156,5 +171,5 @@ def found(page_lines: DataFrame, blocks: DataFrame, glossary: DataFrame) -> Data
     cleaned = blocks.select(F.lit("cleaned_text").alias("field_name"), "book_id", "page", "block_seq", F.col("cleaned_text").alias("text"))
     rows = reduce(DataFrame.unionByName, [spans, cleaned]).where(needs_mapping(F.col("text")))
     hits = look_like(rows, glossary).select("h1", "h2", "term_id")
-    rows = rows.select("field_name", "book_id", "page", "block_seq", *_keys(F.col("text")))
+    rows = rows.select("field_name", "book_id", "page", "block_seq", *text_keys(F.col("text")))
     return rows.join(hits, ["h1", "h2"]).select("field_name", "book_id", "page", "block_seq", "term_id").distinct()

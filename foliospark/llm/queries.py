@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from foliospark.session import table
 
@@ -49,6 +50,15 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return found(table(spark, d, "page_lines"), table(spark, d, "chapters"))
 
 
+@query
+def p1_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Every line and title met in more than one page or chapter of a book, with its frequencies inside and outside, and whether it is in excess."""
+    from foliospark.llm.lines import evidence, keyed_units, sources
+
+    rows = evidence(keyed_units(sources(table(spark, d, "page_lines"), table(spark, d, "chapters"))))
+    return rows.drop("a", "b").withColumn("decades", F.round("decades", 6))
+
+
 @query
 def p1_pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages without their repeated lines."""
