@@ -21,13 +21,14 @@ import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliospark.llm.glyphs import normalise
+from foliospark.llm.glyphs import form_of
 from foliospark.session import BROADCAST_ROWS, ensure_checkpoint_dir, ship
 
 # Glyphs that scanners take for each other, as read and as printed.
@@ -57,8 +58,7 @@ PASSED_WORDS = 100_000
 _WORD = r"[\p{L}\p{N}|!+$@]++(?:-[\p{L}\p{N}|!+$@]++)*+"
 #: A word before a hyphen, taken as a whole: no match begins inside a word, so a word is looked at once.
 _BREAK = r"(?<![\p{L}\p{N}|!+$@])([\p{L}\p{N}|!+$@]++)-"
-#: Hyphens and marks that stand at the end of a line; the invisible one would be lost by normalising.
-_LINE_END_MARK = r"[\x{AD}\x{AC}‐‑](?=\s|$)"
+
 
 
 def variants(word: str, edits: int = 2) -> dict[str, int]:
@@ -180,8 +180,15 @@ def readings(words: DataFrame, known: DataFrame) -> DataFrame:
     return short.union(long.join(near, "part").select("word", "reading").distinct().mapInArrow(_check_pairs, _LINK))
 
 
-def _marked(text: Column) -> Column:
-    return F.regexp_replace(text, _LINE_END_MARK, "-")
+def _normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The last column, a text, in its one form; a mark that stands for a hyphen at a line end is one."""
+    for b in batches:
+        texts = [t if t is None or t.isascii() and "\t" not in t else form_of(_PY_MARK.sub("-", t)) for t in b.column(b.num_columns - 1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(texts, pa.string())], names=b.schema.names)
+
+
+def _formed(rows: DataFrame) -> DataFrame:
+    return rows.mapInArrow(_normal, rows.schema)
 
 
 # The same words as _WORD: letters, digits and the signs that stand for letters, without the underscore.
@@ -191,7 +198,9 @@ _PY_MARK = re.compile(r"[\xad\xac‐‑](?=\s|$)")
 _PY_DIVIDED = re.compile(rf"{_GLYPHS}-[ \t]*\n\s*{_GLYPHS}")
 _PY_LINE_END = re.compile(r"-[ \t]*\n")
 #: A word divided before a blank, or a word or part of a compound.
+_PY_PART = re.compile(_GLYPHS)
 _PY_BODY = re.compile(rf"({_GLYPHS})-\s+({_GLYPHS})|({_GLYPHS})")
+_PY_LOOSE = re.compile(rf"(?<![^\W_])(?<![|!+$@])({_GLYPHS})-\s+({_GLYPHS})")
 _PY_OVER = re.compile(rf"(?<![^\W_])(?<![|!+$@])({_GLYPHS})-[ \t]*\n[^\n]*\n\s*({_GLYPHS})")
 _PY_TIGHT = re.compile(rf"(?<![^\W_])(?<![|!+$@-])({_GLYPHS})-({_GLYPHS})(?![^\W_]|[|!+$@-])")
 
@@ -262,56 +271,63 @@ _PAIRS = "word STRING, scanned BOOLEAN, a INT, b INT, k LONG"
 
 
 def _count_pairs(classes: Classes, wanted: frozenset | None):
-    """Counts of pairs of classes up to SPAN places apart (a before b; word null), and of the classes b around each wanted word (a null)."""
+    """Counts of pairs of classes up to SPAN places apart (in either order, a <= b; word null), and of the classes b around each wanted word (a null)."""
+
+    class Known(dict):
+        def __missing__(self, word: str) -> int:
+            self[word] = c = classes(word)
+            return c
+
+    class Numbers(dict):
+        def __missing__(self, word: str) -> int:
+            self[word] = i = len(self)
+            return i
+
+    def out(codes: np.ndarray, k: np.ndarray, words: list[str] | None) -> pa.RecordBatch:
+        high, b = codes // classes.n, codes % classes.n
+        word = pa.nulls(len(codes), pa.string()) if words is None else pa.array(np.array(words, object)[high // 2], pa.string())
+        a = pa.array(high.astype(np.int32)) if words is None else pa.nulls(len(codes), pa.int32())
+        scanned = pa.nulls(len(codes), pa.bool_()) if words is None else pa.array(high % 2 == 1)
+        return pa.RecordBatch.from_arrays([word, scanned, a, pa.array(b.astype(np.int32)), pa.array(k)], names=["word", "scanned", "a", "b", "k"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-
-        def out(pairs, around, words) -> Iterator[pa.RecordBatch]:
-            for (codes, k), of_words in ((_merge(pairs), False), (_merge(around), True)):
-                if len(codes):
-                    high, b = codes // classes.n, codes % classes.n
-                    word = pa.array(np.array(words, object)[high // 2], pa.string()) if of_words else pa.nulls(len(codes), pa.string())
-                    a = pa.nulls(len(codes), pa.int32()) if of_words else pa.array(high.astype(np.int32))
-                    scanned = pa.array(high % 2 == 1) if of_words else pa.nulls(len(codes), pa.bool_())
-                    yield pa.RecordBatch.from_arrays([word, scanned, a, pa.array(b.astype(np.int32)), pa.array(k)], names=["word", "scanned", "a", "b", "k"])
-
-        pairs, around, words, ids = [], [], [], {}
+        known, pairs, around = Known(), [], []
+        numbers = Numbers() if wanted is None else {w: i for i, w in enumerate(wanted)}
         for batch in batches:
-            seq, who = [0] * SPAN, [-1] * SPAN
-            for t, ocr in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for w in _tokens(t):
-                    c = known.get(w)
-                    if c is None:
-                        if len(known) > 300_000:
-                            known.clear()
-                        c = known[w] = classes(w)
-                    seq.append(c)
-                    if wanted is None or w in wanted:
-                        i = ids.get(w)
-                        if i is None:
-                            i = ids[w] = len(words)
-                            words.append(w)
-                        who.append(2 * i + ocr)
-                    else:
-                        who.append(-1)
+            seq, who, sizes = [0] * SPAN, [-1] * SPAN, [SPAN]
+            for t in batch.column(0).to_pylist():
+                words = _tokens(t)
+                seq.extend(map(known.__getitem__, words))
+                who.extend(map(numbers.__getitem__, words) if wanted is None else map(numbers.get, words, repeat(-1)))
                 seq += [0] * SPAN
                 who += [-1] * SPAN
+                sizes.append(len(words) + SPAN)
+            scanned = np.repeat(np.array([False, *batch.column(1).to_pylist()]), sizes)
             x, y = np.array(seq, np.int64), np.array(who, np.int64)
+            y = np.where(y < 0, -1, 2 * y + scanned)
+            near = []
             for d in range(1, SPAN + 1):
-                both = (x[:-d] > 0) & (x[d:] > 0)
-                pairs.append(np.unique((x[:-d] * classes.n + x[d:])[both], return_counts=True))
-                for w, c in ((y[:-d], x[d:]), (y[d:], x[:-d])):
+                a, b = x[:-d], x[d:]
+                both = (a > 0) & (b > 0)
+                pairs.append(np.unique((np.minimum(a, b) * classes.n + np.maximum(a, b))[both], return_counts=True))
+                for w, c in ((y[:-d], b), (y[d:], a)):
                     hit = (w >= 0) & (c > 0)
-                    around.append(np.unique((w * classes.n + c)[hit], return_counts=True))
+                    near.append((w * classes.n + c)[hit])
+            around.append(np.unique(np.concatenate(near), return_counts=True))
             if sum(len(p[0]) for p in pairs) > 2_000_000:
                 pairs = [_merge(pairs)]
             if sum(len(p[0]) for p in around) > 2_000_000:
                 around = [_merge(around)]
                 if len(around[0][0]) > 1_000_000:
-                    yield from out([], around, words)
-                    around, words, ids = [], [], {}
-        yield from out(pairs, around, words)
+                    yield out(*around[0], list(numbers))
+                    around = []
+            if len(known) > 300_000:
+                known = Known()
+            if wanted is None and len(numbers) > 300_000:
+                yield out(*_merge(around), list(numbers))
+                around, numbers = [], Numbers()
+        yield out(*_merge(pairs), None)
+        yield out(*_merge(around), list(numbers))
 
     return run
 
@@ -440,29 +456,32 @@ def _around(text: str, start: int, end: int, classes: Classes) -> list[int]:
     return [0] * (SPAN - len(c[0])) + c[0] + c[1] + [0] * (SPAN - len(c[1]))
 
 
-def _body_words(body: str, flat: str | None, raw: bool) -> Iterator[tuple[str, int, str, int, int]]:
-    """(word, ordinal, text, start, end) of the words and parts of compounds of a body: the ordinal counts the same word. Words that may be divided
-    come joined, with ordinal -1; their parts don't come."""
+def _body_words(body: str) -> Iterator[tuple[str, int, int, int]]:
+    """(word, ordinal, start, end) of the words and parts of compounds of a body; the ordinal counts the same word. Words divided before a blank
+    are left out."""
     seen: Counter = Counter()
     for m in _PY_BODY.finditer(body):
-        w = m.group(3)
-        if w:
+        if w := m.group(3):
             w = w.lower()
             seen[w] += 1
-            yield w, seen[w], body, m.start(), m.end()
-        else:
-            yield (m.group(1) + m.group(2)).lower(), -1, body, m.start(), m.end()
-    for pattern, text in ((_PY_OVER, body),) if raw else ((_PY_TIGHT, body), (_PY_BODY, flat or "")):
-        for m in pattern.finditer(text):
-            if m.group(1):
-                yield (m.group(1) + m.group(2)).lower(), -1, text, m.start(), m.end()
+            yield w, seen[w], m.start(), m.end()
+
+
+def _divided_words(body: str, flat: str | None, raw: bool) -> Iterator[tuple[str, str, int, int]]:
+    """(word, text, start, end): words put together from two parts around a hyphen, and where."""
+    for pattern, text in ((_PY_LOOSE, body), (_PY_OVER, body)) if raw else ((_PY_LOOSE, body), (_PY_TIGHT, body), (_PY_LOOSE, flat or "")):
+        if "-" in text:
+            for m in pattern.finditer(text):
+                yield (m.group(1) + m.group(2)).lower(), text, m.start(), m.end()
 
 
 def _all_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[str] = set()
     for b in batches:
         for field, body, flat in zip(*(b.column(i).to_pylist() for i in range(3))):
-            seen.update(w for w, *_ in _body_words(body, flat, field == "raw_text"))
+            seen.update(_PY_PART.findall(body.lower()))
+            if "-" in body:
+                seen.update(w for w, *_ in _divided_words(body, flat, field == "raw_text"))
         if len(seen) > 300_000:
             yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["word"])
             seen = set()
@@ -473,13 +492,21 @@ def _occurrences(classes: Classes, wanted: frozenset | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows, words, nos, ctx = [], [], [], []
+
+            def add(i: int, w: str, no: int, text: str, start: int, end: int) -> None:
+                if wanted is None or w in wanted:
+                    rows.append(i)
+                    words.append(w)
+                    nos.append(no)
+                    ctx.append(_around(text, start, end, classes))
+
             for i, (field, body, flat) in enumerate(zip(*(b.column(c).to_pylist() for c in (0, 3, 4)))):
-                for w, no, text, start, end in _body_words(body, flat, field == "raw_text"):
-                    if wanted is None or w in wanted:
-                        rows.append(i)
-                        words.append(w)
-                        nos.append(no)
-                        ctx.append(_around(text, start, end, classes))
+                if wanted is None or not wanted.isdisjoint(_PY_PART.findall(body.lower())):
+                    for w, no, start, end in _body_words(body):
+                        add(i, w, no, body, start, end)
+                if "-" in body:
+                    for w, text, start, end in _divided_words(body, flat, field == "raw_text"):
+                        add(i, w, -1, text, start, end)
             at = pa.array(rows, pa.int64())
             yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(3)), pa.array(words, pa.string()), pa.array(nos, pa.int32()), pa.array(ctx, pa.list_(pa.int32()))], names=["field_name", "book_id", "block_id", "word", "no", "contexts"])
 
@@ -517,14 +544,15 @@ def _form(text: Column) -> Column:
 
 def _titles(books: DataFrame, chapters: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(book_id, book_titles) and (book_id, chapter, titles): the words of the titles of each book and of each of its chapters."""
-    b = normalise(books.select("book_id", "title").where("title is not null"), "title", "form").select("book_id", _form(F.col("form")).alias("p")).where("p <> '  '")
-    c = normalise(chapters.select("book_id", "number", "title").where("title is not null"), "title", "form").select("book_id", F.col("number").alias("chapter"), _form(F.col("form")).alias("p")).where("p <> '  '")
+    b = _formed(books.select("book_id", "title").where("title is not null")).select("book_id", _form(F.col("title")).alias("p")).where("p <> '  '")
+    c = _formed(chapters.select("book_id", "number", "title").where("title is not null")).select("book_id", F.col("number").alias("chapter"), _form(F.col("title")).alias("p")).where("p <> '  '")
     return b.groupBy("book_id").agg(F.collect_set("p").alias("book_titles")), c.groupBy("book_id", "chapter").agg(F.collect_set("p").alias("titles"))
 
 
-def _page_form(page: Column) -> Column:
-    """Pattern of a line of nothing but the page number."""
-    return F.concat(F.lit(r"(?i)^[^\p{L}\p{N}]*(?:page[^\p{L}\p{N}]*)?"), F.coalesce(page.cast("string"), F.lit("(?!)")), F.lit(r"[^\p{L}\p{N}]*$"))
+def _is_page(form: Column, page: Column) -> Column:
+    """Whether a line is nothing but the page number."""
+    no = page.cast("string")
+    return F.coalesce(form.isin(F.concat(F.lit(" "), no, F.lit(" ")), F.concat(F.lit(" page "), no, F.lit(" ")), F.concat(F.lit(" page"), no, F.lit(" "))), F.lit(False))
 
 
 def scanned(blocks: DataFrame, books: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -533,17 +561,19 @@ def scanned(blocks: DataFrame, books: DataFrame, chapters: DataFrame) -> DataFra
     running lines. Null texts are left out; repeated rows count once."""
     ocr = blocks.where("ocr").select("book_id", "block_id", "page", "raw_text", "cleaned_text").distinct()
     fields = F.explode(F.array(F.struct(F.lit("raw_text").alias("field_name"), F.col("raw_text").alias("text")), F.struct(F.lit("cleaned_text").alias("field_name"), F.col("cleaned_text").alias("text")))).alias("f")
-    rows = ocr.select("book_id", "block_id", "page", fields).select("f.field_name", "book_id", "block_id", "page", _marked(F.col("f.text")).alias("marked")).where("marked is not null")
-    rows = normalise(rows, "marked", "text").drop("marked").withColumn("chapter", F.regexp_extract("block_id", r"^ch([0-9]+)-", 1).try_cast("int"))
+    rows = _formed(ocr.select("book_id", "block_id", "page", fields).select("f.field_name", "book_id", "block_id", "page", "f.text").where("text is not null")).withColumn("chapter", F.regexp_extract("block_id", r"^ch([0-9]+)-", 1).try_cast("int"))
     b, c = _titles(books, chapters)
     none = F.array().cast("array<string>")
     rows = rows.join(b, "book_id", "left").join(c, ["book_id", "chapter"], "left").withColumn("titles", F.array_union(F.coalesce("book_titles", none), F.coalesce("titles", none)))
 
-    def titled(text: Column) -> Column:
-        return F.exists("titles", lambda t: F.contains(_form(text), t))
+    def titled(form: Column) -> Column:
+        return F.exists("titles", lambda t: F.contains(form, t))
 
-    raw, page_form = F.col("field_name") == "raw_text", _page_form(F.col("page"))
-    rows = rows.withColumn("lines", F.when(raw, F.split("text", "\n"))).withColumn("kept", F.filter("lines", lambda x: ~(titled(x) | F.rlike(x, page_form)))).withColumn("titled", ~raw & titled(F.col("text")))
+    # The forms of lines and texts come first, as what stands inside a lambda is worked out for each of its values.
+    raw = F.col("field_name") == "raw_text"
+    rows = rows.withColumn("lines", F.when(raw, F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("t"), _form(x).alias("f"))))).withColumn("form", F.when(~raw, _form(F.col("text"))))
+    kept = F.filter("lines", lambda x: ~(titled(x["f"]) | _is_page(x["f"], F.col("page"))))
+    rows = rows.withColumn("kept", F.transform(kept, lambda x: x["t"])).withColumn("titled", ~raw & titled(F.col("form")))
     pattern = F.concat(F.lit(r"(?i)(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform("titles", lambda t: F.replace(F.trim(t), F.lit(" "), F.lit(r"[^\p{L}\p{N}]+"))), "|"), F.lit(r")(?![\p{L}\p{N}])"))
     flat = F.when(F.col("titled"), F.regexp_replace("text", pattern, " ")).otherwise(F.col("text"))
     # What is left of a running line: a page number with its signs.
@@ -564,7 +594,7 @@ def running(texts: DataFrame) -> DataFrame:
     cleaned = texts.where("field_name = 'cleaned_text'").join(body, ["book_id", "block_id"], "left")
     page = F.col("page").cast("string")
     plain = F.rlike("body", F.concat(F.lit(r"(?i)(?<![\p{L}\p{N}])page "), page, F.lit(r"(?![\p{L}\p{N}])"))) | F.rlike("body", F.concat(F.lit("(?<=^| )- "), page, F.lit(" -(?= |$)")))
-    lines = F.exists(F.split("body", "\n"), lambda x: F.rlike(x, _page_form(F.col("page"))))
+    lines = F.exists(F.split("body", "\n"), lambda x: _is_page(_form(x), F.col("page")))
     counted = F.contains("body", page) & (plain | lines | (_page_count(F.col("body"), F.col("page")) > F.col("body_count")))
     hit = F.col("titled") | counted
     return raw.where("cut").select("field_name", "book_id", "block_id").union(cleaned.where(hit).select("field_name", "book_id", "block_id")).distinct()
@@ -605,7 +635,7 @@ class Repair:
         self.texts = scanned(blocks, books, chapters).checkpoint()
         self.breaks = breaks(self.texts).checkpoint()
         words = self.texts.select("field_name", "body", "flat").mapInArrow(_all_words, "word STRING").union(self.breaks.select(F.explode(F.array("l", _head("r"))).alias("word"))).distinct()
-        self.links = links(words, self.counts).checkpoint()
+        self.links = links(words.checkpoint(), self.counts).checkpoint()
         self.fixes = self._fixes(blocks, vectors).checkpoint()
         self._divided: DataFrame | None = None
 
