@@ -3,7 +3,11 @@
 Method: a tree-structured graphical model. A text is parsed to a tree of markup nodes (HTML elements and entities, wiki markup, LaTeX
 commands and environments, code, formulas, comments). Each node is either wanted content or residue. Potentials tie the state of a node to
 what it is and to the state of its parent, by the kind of the parent; they are counted from labelled pages. Sum-product messages go from
-the leaves up and from the root down, and give the marginal of each node. Residue is turned into Markdown, all other text stays as it is.
+the leaves up and from the root down, and give the marginal of each node: cells, line breaks and emphasis are content in a table that is
+a whole text, and residue in any other. Residue is turned into Markdown, all other text stays as it is.
+
+Texts are parsed in one walk: what closes a code span or a wiki table is looked up among their ends, so that openers that nothing closes cost
+no more than others.
 
 Most texts hold no character that opens markup; they never leave the JVM.
 """
@@ -12,15 +16,18 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html.entities import html5
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliospark.llm import labelled
 from foliospark.session import ship
 
 # Element names of HTML, those without content, those that part blocks. The first are the standard's, obsolete ones too, and those
@@ -45,8 +52,8 @@ _VOID = {"area", "base", "basefont", "bgsound", "br", "col", "embed", "frame", "
 _BLOCK = {"p", "div", "section", "article", "header", "footer", "main", "aside", "nav", "address", "figure", "figcaption", "center", "details", "summary", "dl", "dd", "dt", "body", "html", "head", "form", "fieldset", "dialog", "search", "hgroup", "frameset", "noframes", "marquee"}
 
 _LEX = re.compile(
-    rf"""(?P<fence>^[ \t>]*(?P<f>```+|~~~+)[^\n]*\n(?:.*?\n)?[ \t>]*(?P=f)[`~]*(?![`~\w])|^[ \t>]*(?:```+|~~~+)[^\n]*\n.*\Z)
-    |(?P<code>(?<!`)(?P<t>`+)(?!`)(?:(?!\n\n).)+?(?<!`)(?P=t)(?!`))
+    rf"""(?P<fence>^[ \t>]*(?P<f>```++|~~~++)[^\n]*+\n(?:.*?\n)?[ \t>]*(?P=f)[`~]*(?![`~\w])|^[ \t>]*(?:```++|~~~++)[^\n]*+\n.*\Z)
+    |(?P<code>(?<!`)`++)
     |(?P<display>\$\$.+?\$\$)
     |(?P<formula>(?<![\\$])\$(?=[^\s$])[^$\n]*?(?<=[^\s\\])\$(?!\d))
     |(?P<comment><!--.*?(?:-->|\Z))
@@ -55,12 +62,12 @@ _LEX = re.compile(
     |(?P<open><(?P<oname>{"|".join(_ELEMENTS)}|{_SPACED_OPEN})(?:\s[^<>]*|/)?>)
     |(?P<doctype><![A-Za-z][^<>]*>)
     |(?P<entity>&(?:\#\d{{1,7}}|\#[xX][0-9A-Fa-f]{{1,6}}|[A-Za-z][A-Za-z0-9]{{1,31}});)
-    |(?P<wtable>^\{{\|.*?^\|\}})
+    |(?P<wtable>^\{{\|)
     |(?P<template>\{{\{{[^{{}}]+\}}\}})
     |(?P<wlink>\[\[(?P<wt>[^\[\]\n]+)\]\](?!\())
     |(?P<wbold>'''(?P<wb>[^'\n]+)''')
     |(?P<wital>''(?P<wi>[^'\n]+)'')
-    |(?P<whead>^(?P<we>={{1,6}})[ \t]*(?P<wh>[^=\n]+?)[ \t]*(?P=we)[ \t]*$)
+    |(?P<whead>^(?P<we>={{1,6}})(?P<wh>[^=\n]+)(?P=we)[ \t]*$)
     |(?P<env>\\begin\{{(?P<en>[A-Za-z]+\*?)\}})
     |(?P<endenv>\\end\{{(?P<xn>[A-Za-z]+\*?)\}})
     |(?P<command>~?\\[A-Za-z]+\*?)
@@ -97,18 +104,44 @@ def _braces(text: str) -> dict[int, int]:
     return out
 
 
-def _lex(text: str, lo: int, hi: int) -> Iterator[tuple[str, re.Match]]:
+class _Ends:
+    """Where code spans and wiki tables of a text end."""
+
+    def __init__(self, text: str):
+        self.ticks: dict[int, list[int]] = {}
+        for m in re.finditer("`+", text):
+            self.ticks.setdefault(m.end() - m.start(), []).append(m.start())
+        self.gaps = [m.start() for m in re.finditer(r"\n(?=\n)", text)]
+        self.tables = [m.end() for m in re.finditer(r"^\|\}", text, re.M)]
+        self.braces = _braces(text)
+
+    def code(self, start: int, end: int) -> int:
+        """End of a code span that these backticks open: the next as many, in the same paragraph; 0 if there are none."""
+        n = end - start
+        runs = self.ticks[n]
+        i = bisect_left(runs, end)
+        gap = bisect_left(self.gaps, end)
+        return runs[i] + n if i < len(runs) and (gap == len(self.gaps) or self.gaps[gap] >= runs[i]) else 0
+
+    def table(self, end: int) -> int:
+        i = bisect_left(self.tables, end + 2)
+        return self.tables[i] if i < len(self.tables) else 0
+
+
+def _lex(text: str, lo: int, hi: int, ends: _Ends) -> Iterator[tuple[str, re.Match, int]]:
+    """(kind, match, end) of the tokens between two places. The receiver may send a place to go on at."""
     at = lo
     while at < hi:
         m = _LEX.search(text, at, hi)
         if not m:
             return
         kind = m.lastgroup if m.lastgroup in _KINDS else next(k for k in _KINDS if m.group(k) is not None)
-        if kind == "entity" and m.group()[1] != "#" and m.group()[1:] not in html5:
+        end = ends.code(m.start(), m.end()) if kind == "code" else ends.table(m.end()) if kind == "wtable" else m.end()
+        if not end or end > hi or (kind == "entity" and m.group()[1] != "#" and m.group()[1:] not in html5):
             at = m.end()
             continue
-        yield kind, m
-        at = m.end()
+        on = yield kind, m, end
+        at = max(end, on or 0)
 
 
 _KINDS = ("fence", "code", "display", "formula", "comment", "anchor", "close", "open", "doctype", "entity", "wtable", "template", "wlink", "wbold", "wital", "whead", "env", "endenv", "command", "escape")
@@ -118,7 +151,9 @@ _CLOSED = {"fence", "code", "display", "formula", "comment", "wtable", "template
 def parse(text: str, is_table: bool = False) -> Node:
     """The tree of a text; the root spans it all. An element without an end, or an end without a beginning, is a leaf."""
     root = Node("root", 0, len(text), (0, len(text)))
-    _fill(text, root, _braces(text))
+    ends, todo = _Ends(text), [root]
+    while todo:
+        _fill(text, todo.pop(), ends, todo)
     stripped = text.strip()
     tops = root.children
     if is_table and len(tops) == 1 and tops[0].name == "table" and text[tops[0].start : tops[0].end] == stripped:
@@ -126,23 +161,41 @@ def parse(text: str, is_table: bool = False) -> Node:
     return root
 
 
-def _fill(text: str, top: Node, braces: dict[int, int], deep: int = 0) -> None:
+#: Length of what opens and closes those whose inside is theirs alone.
+_RIM = {"code": lambda m: (len(m.group()),) * 2, "display": lambda m: (2, 2), "formula": lambda m: (1, 1), "comment": lambda m: (4, 3 if m.group().endswith("-->") else 0), "fence": lambda m: (3, 3)}
+
+
+def _fill(text: str, top: Node, ends: _Ends, todo: list[Node]) -> None:
+    """The nodes inside of one; those that are closed in themselves are put off. Commands hold what their braces hold, and stand on the stack until
+    they end, like elements."""
     lo, hi = top.inner
-    stack = [top]
-    skip = lo
-    for kind, m in _lex(text, lo, hi):
-        if m.start() < skip:
+    stack: list[Node] = [top]
+    open_commands: list[int] = []  # their places in the stack
+    lexer = _lex(text, lo, hi, ends)
+    on = None
+    while True:
+        try:
+            kind, m, end = lexer.send(on)
+        except StopIteration:
+            break
+        on = None
+        while open_commands and m.start() >= stack[open_commands[-1]].inner[1]:
+            _drop(stack, open_commands.pop())
+            stack.pop()
+        if open_commands and end > stack[open_commands[-1]].inner[1]:
+            # What begins in the braces of a command and ends behind them is no token of it.
+            lexer = _lex(text, stack[open_commands[-1]].inner[1], hi, ends)
             continue
         here = stack[-1].children
         if kind in _CLOSED:
-            node = Node(kind, m.start(), m.end(), name=kind)
+            node = Node(kind, m.start(), end, name=kind)
             if kind in ("wlink", "wbold", "wital", "whead"):
-                group = {"wlink": "wt", "wbold": "wb", "wital": "wi", "whead": "wh"}[kind]
-                node.inner = m.span(group)
-            elif kind not in ("template", "wtable") and m.end() - m.start() > 2:
-                node.inner = (m.start() + 1, m.end() - 1)
-            if node.inner and deep < 20:
-                _fill(text, node, braces, deep + 1)
+                node.inner = m.span({"wlink": "wt", "wbold": "wb", "wital": "wi", "whead": "wh"}[kind])
+            elif kind in _RIM:
+                a, b = _RIM[kind](m)
+                node.inner = (min(m.start() + a, end), max(m.start() + a, end - b)) if end - m.start() > a + b else None
+            if node.inner and _group(top) != "verbatim":  # code in code is code
+                todo.append(node)
             here.append(node)
         elif kind == "open":
             name = m.group("oname").lower()
@@ -158,40 +211,46 @@ def _fill(text: str, top: Node, braces: dict[int, int], deep: int = 0) -> None:
                 stack.append(node)
         elif kind in ("close", "endenv"):
             name, what = (m.group("cname").lower(), "element") if kind == "close" else (m.group("xn"), "env")
-            at = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].kind == what and stack[i].name == name), 0)
+            floor = open_commands[-1] if open_commands else 0
+            at = next((i for i in range(len(stack) - 1, floor, -1) if stack[i].kind == what and stack[i].name == name), 0)
             if at:
-                for orphan in stack[at + 1 :]:
-                    orphan.inner = None
-                    parent = stack[stack.index(orphan) - 1]
-                    parent.children += orphan.children
-                    orphan.children = []
-                node = stack[at]
+                _drop(stack, at)
+                node = stack.pop()
                 node.inner, node.end = (node.inner[0], m.start()), m.end()
-                del stack[at:]
             else:
                 here.append(Node("stray", m.start(), m.end(), name=name))
         elif kind == "command":
-            end, inner = m.end(), None
-            while end < hi and text[end] == "[" and (close := text.find("]", end, hi)) > 0:
-                end = close + 1
-            while end < hi and text[end] == "{" and 0 < (close := braces.get(end, 0)) <= hi:
-                inner, end = (end + 1, close - 1), close
-            node = Node("command", m.start(), end, inner, m.group().lstrip("~").lstrip("\\").rstrip("*"))
-            if inner and deep < 20:
-                _fill(text, node, braces, deep + 1)
-            skip = end
+            stop, inner = m.end(), None
+            while stop < hi and text[stop] == "[" and (close := text.find("]", stop, min(hi, stop + 200))) > 0:
+                stop = close + 1
+            while stop < hi and text[stop] == "{" and 0 < (close := ends.braces.get(stop, 0)) <= hi:
+                inner, stop = (stop + 1, close - 1), close
+            node = Node("command", m.start(), stop, inner, m.group().lstrip("~").lstrip("\\").rstrip("*"))
             here.append(node)
+            if inner and len(stack) < MAX_DEPTH:
+                open_commands.append(len(stack))
+                stack.append(node)
+                on = inner[0]
+            else:
+                on = stop
         else:
             here.append(Node({"doctype": "element"}.get(kind, kind), m.start(), m.end(), name=kind))
-    for orphan in stack[:0:-1]:
-        orphan.inner = None
-        parent = stack[stack.index(orphan) - 1]
-        parent.children += orphan.children
-        orphan.children = []
+    _drop(stack, 0)
     for n in _walk(top):
         n.children.sort(key=lambda c: c.start)
 
 
+def _drop(stack: list[Node], at: int) -> None:
+    """Ends what is open above a place of the stack: commands end with their braces, elements without an end become leaves, and what was in
+    them falls to what holds them."""
+    while len(stack) > at + 1:
+        orphan = stack.pop()
+        if orphan.kind != "command":
+            orphan.inner = None
+            stack[-1].children += orphan.children
+            orphan.children = []
+
+
 def _walk(node: Node) -> Iterator[Node]:
     stack = [node]
     while stack:
@@ -214,80 +273,37 @@ def _group(parent: Node) -> str:
     return "root" if parent.kind == "root" else "inner"
 
 
-# Labelled pages: what stands between ⟪ and ⟫ is residue, all other markup is content. The flag marks texts of a table kind.
-LABELLED = [
-    (False, "⟪<p>⟫One ⟪<b>bold</b>⟫ word and a ⟪<span class=\"x\">span</span>⟫.⟪</p>⟫"),
-    (False, "⟪<div>\n<p>Nested <em>text</em></p>\n</div>⟫"),
-    (False, "⟪<ul><li>first</li><li>second</li></ul>⟫ then ⟪<br/>⟫ and ⟪<br>⟫"),
-    (False, "⟪<h3>Title</h3>⟫\nText &lt is no entity, but ⟪&lt;⟫ and ⟪&nbsp;⟫ and ⟪&#8220;⟫ are."),
-    (False, "A line ⟪&amp;⟫ another ⟪&quot;⟫word⟪&#x201D;⟫."),
-    (False, "⟪<table><tr><td>a</td><td>b</td></tr></table>⟫"),
-    (False, "Before\n⟪<table><tr><th>a</th></tr><tr><td><b>b</b></td></tr></table>⟫"),
-    (True, "<table><tr><th>a</th><th></th></tr><tr><td>b</td><td>1</td></tr></table>"),
-    (True, "<table>\n  <tr><th>a &lt; b</th></tr>\n  <tr><td>b<br>c</td></tr>\n</table>"),
-    (True, "<table><thead><tr><th colspan=\"2\">a</th></tr></thead><tbody><tr><td><sup>b</sup></td><td>&amp;</td></tr></tbody></table>"),
-    (True, "| a | b |\n|---|---|\n| ⟪<b>c</b>⟫ | d⟪<br>⟫e |"),
-    (True, "Title\n⟪<table><tr><td>a</td></tr></table>⟫"),
-    (False, "Write `<br>` or `\\item` here, and `&amp;` there."),
-    (False, "```html\n<p>text</p>\n<br>\n```"),
-    (False, "```latex\n\\textbf{word} \\cite{x}\n```\nand ⟪\\textbf{word}⟫"),
-    (False, "```\n{{template}} [[link]] &lt;\n```"),
-    (False, "~~~\n<div>\n~~~"),
-    (False, "Clearance is $\\frac{U \\cdot V}{P}$ by convention, ⟪\\emph{not}⟫ otherwise."),
-    (False, "$$\n\\Delta = \\alpha_{1} - \\beta^{2}\n$$"),
-    (False, "$a &lt; b$ and $\\text{<b>}$"),
-    (False, "## Heading\n<!-- section_id: a-b -->"),
-    (False, "<!-- <p>hidden</p> &amp; \\cite{x} [[y]] -->"),
-    (False, "<a id=\"ref-1\"></a>[1] A name.\n\n<a id=\"ref-2\"></a>[2] Another."),
-    (False, "⟪<a href=\"#top\">up</a>⟫ and ⟪<a href='x'>a ''b''</a>⟫"),
-    (False, "⟪[[page|word]]⟫ and ⟪[[word]]⟫ and ⟪{{main|page}}⟫"),
-    (False, "⟪'''bold'''⟫ and ⟪''italic''⟫"),
-    (False, "⟪== Heading ==⟫\ntext ⟪{{citation needed}}⟫"),
-    (False, "⟪{| class=\"wikitable\"\n|-\n| a || b\n|}⟫"),
-    (False, "⟪\\section{Title}⟫ text ⟪~\\cite{a}⟫, ⟪\\textit{b}⟫, 5⟪\\%⟫, R⟪\\&⟫D"),
-    (False, "⟪\\begin{itemize}\n\\item a\n\\item b\n\\end{itemize}⟫"),
-    (False, "⟪\\begin{equation}\nr = \\frac{a}{b + c}\n\\end{equation}⟫"),
-    (False, "⟪<ref name=\"a\" />⟫ ⟪<font>b</font>⟫ ⟪<u>c</u>⟫ ⟪</div>⟫"),
-    (False, "The Q&A and p < 0.05 and a > b stay; **bold**, `code`, [link](x.md)."),
-]
-
-
-def _labelled() -> Iterator[tuple[Node, set[int]]]:
-    for is_table, page in LABELLED:
-        text, inside, marks = [], False, set()
-        for c in page:
-            if c in "⟪⟫":
-                inside = c == "⟪"
-                continue
-            if inside:
-                marks.add(len(text))
-            text.append(c)
-        yield parse("".join(text), is_table), marks
-
-
 class MarkupModel:
-    """Potentials of content (0) and residue (1), counted from the labelled pages with a pseudo-count.
+    """Potentials of content (0) and residue (1), counted from labelled pages (``labelled.pages``) with a pseudo-count.
 
     ``tie``: how often a node is in a state, given the state of its parent; ``node``: how often a node of that state is of a kind. Both by the
     group of the parent, so that the many cells of a table, likely in either state, say nothing about the table.
     """
 
-    def __init__(self, pseudo: float = 0.1):
+    def __init__(self, sample: Iterable[tuple[bool, str, list[bool]]] | None = None, pseudo: float = 0.1):
         seen: Counter = Counter()
         tied: Counter = Counter()
         states: Counter = Counter()
         kinds = set()
-        for root, marks in _labelled():
-            for parent in _walk(root):
+        for is_table, text, marks in labelled.pages() if sample is None else sample:
+            for parent in _walk(parse(text, is_table)):
                 for c in parent.children:
-                    x, y = int(parent.start in marks and parent.kind != "root"), int(c.start in marks)
+                    x, y = int(parent.kind != "root" and marks[parent.start]), int(marks[c.start])
                     kinds.add(_observed(c))
                     seen[_group(parent), _observed(c), y] += 1
                     states[_group(parent), y] += 1
                     tied[_group(parent), x, y] += 1
         groups = ("verbatim", "table", "inner", "root")
-        self.node = {(g, k): [(seen[g, k, y] + pseudo) / (states[g, y] + pseudo * len(kinds)) for y in (0, 1)] for g in groups for k in kinds}
-        self.tie = {g: [[(tied[g, x, y] + pseudo) / (tied[g, x, 0] + tied[g, x, 1] + 2 * pseudo) for y in (0, 1)] for x in (0, 1)] for g in groups}
+        kinds = sorted(kinds | set(_KINDS) - {"close", "open", "endenv", "doctype"})
+        self.node, self.tie = {}, {}
+        for g in groups:
+            n = [states[g, y] for y in (0, 1)]
+            # A state or kind that the sample hardly shows falls back to what its group shows, so that it speaks for neither side.
+            of_kind = {k: (seen[g, k, 0] + seen[g, k, 1] + pseudo) / (sum(n) + pseudo * len(kinds)) for k in kinds}
+            of_state = [(m + pseudo) / (sum(n) + 2 * pseudo) for m in n]
+            for k in kinds:
+                self.node[g, k] = [(seen[g, k, y] + of_kind[k]) / (n[y] + 1) for y in (0, 1)]
+            self.tie[g] = [[(tied[g, x, y] + of_state[y]) / (tied[g, x, 0] + tied[g, x, 1] + 1) for y in (0, 1)] for x in (0, 1)]
 
     def mark(self, root: Node) -> Node:
         """Sets the marginal of residue of every node. The root is content."""
@@ -340,6 +356,11 @@ class MarkupModel:
         return text
 
 
+@lru_cache(1)
+def trained() -> MarkupModel:
+    return MarkupModel()
+
+
 def _render(text: str, node: Node, span: tuple[int, int]) -> str:
     out, at = [], span[0]
     for c in node.children:
@@ -458,7 +479,7 @@ def _convert(text: str, n: Node) -> str:
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    model = MarkupModel()
+    model = trained()
     for b in batches:
         texts, tables = b.column("__text").to_pylist(), b.column("__table").to_pylist()
         counts, cleaned = [], []
