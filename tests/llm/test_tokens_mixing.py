@@ -1,5 +1,7 @@
+import math
 import os
 
+import numpy as np
 import pytest
 
 from foliospark.llm import mixing as M
@@ -76,6 +78,43 @@ def test_shares_and_repeats(spark):
     assert {(r.doc_id, r.repeats) for r in again} == {(r.doc_id, r.repeats) for r in mix.counts().collect()}
 
 
+def test_draws_are_of_the_document_alone(spark):
+    """Documents keep their numbers when others come: hardly any count changes, and the counts are Poisson."""
+    docs = corpus(spark, {"a": 3000, "b": 300})
+    targets = spark.createDataFrame([("a", 0.7, 6), ("b", 0.3, 6)], "source STRING, target_share DOUBLE, max_repeats INT")
+    new = spark.createDataFrame([(10_000, "word " * 23, "a", None)], docs.schema)
+    one, two = ({r.doc_id: r.repeats for r in M.Mixture(d, targets).counts().collect()} for d in (docs, docs.union(new)))
+    moved = [i for i in set(one) | set(two) if i != 10_000 and one.get(i) != two.get(i)]
+    assert len(moved) <= 12  # the new one is drawn up to six times, and as many copies of others go
+    n = [one.get(i, 0) for i in range(3000)]
+    mean = sum(n) / 3000
+    for k in range(3):
+        expected = 3000 * math.exp(-mean) * mean**k / math.factorial(k)
+        assert abs(n.count(k) - expected) < 5 * math.sqrt(expected) + 1, (k, n.count(k), expected)
+
+
+def test_copies_hold_their_texts(spark):
+    docs = corpus(spark, {"a": 50, "b": 20})
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 3)], "source STRING, target_share DOUBLE, max_repeats INT")
+    mix = M.Mixture(docs, targets)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    counts = {r.doc_id: r.repeats for r in mix.counts().collect()}
+    copies = mix.copies().collect()
+    assert all(r.text == text[r.doc_id] and 1 <= r.copy_no <= r.repeats == counts[r.doc_id] for r in copies)
+    assert len(copies) == sum(counts.values())
+
+
+@pytest.mark.parametrize("cap", [1, 2, 5])
+def test_calibrated_steps_draw_what_is_wanted(cap):
+    r = np.random.default_rng(1)
+    tokens = np.append(r.integers(0, 50, M.BINS) * (r.random(M.BINS) < 0.05), 0).astype(float)
+    above = tokens[::-1].cumsum()[::-1]
+    for share in (0.001, 0.3, 0.9 * cap, cap, 2 * cap):
+        steps = M.calibrate(above, share * above[0], cap)
+        assert abs(M.drawn(above, steps) - min(share, cap) * above[0]) < 1e-6 * above[0] + 50
+    assert M.calibrate(np.zeros(M.BINS + 1), 5, cap) == []
+
+
 def test_fixed_total_is_met_as_far_as_repeats_allow(spark):
     docs = corpus(spark, {"a": 200, "b": 20})
     targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 2)], "source STRING, target_share DOUBLE, max_repeats INT")
