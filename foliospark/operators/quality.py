@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +47,17 @@ def numeric_diff(blocks: DataFrame, out_items: DataFrame) -> DataFrame:
     return diff.join(dosed, CHAPTER, "left").select(*CHAPTER, "token", F.abs(F.col("n_src") - F.col("n_out")).alias("n"), F.when(lost, "MISSING_NUMBER").otherwise("UNEXPECTED_NUMBER").alias("code"), severity.alias("severity"))
 
 
+def changed_numbers(diff: DataFrame, most: int = 5) -> DataFrame:
+    """(book_id, chapter, severity, code, message): a changed number looks like one missing and one unexpected, so chapters with both are named, with the
+    first of each. ``diff`` as ``numeric_diff`` gives it."""
+    def first(code: str) -> Column:
+        return F.slice(F.array_sort(F.collect_set(F.when(F.col("code") == code, F.col("token")))), 1, most)
+
+    rows = diff.groupBy(*CHAPTER).agg(first("MISSING_NUMBER").alias("missing"), first("UNEXPECTED_NUMBER").alias("unexpected")).where("size(missing) > 0 and size(unexpected) > 0")
+    message = F.concat(F.lit("missing "), F.array_join("missing", ", "), F.lit(" / unexpected "), F.array_join("unexpected", ", "))
+    return rows.select(*CHAPTER, F.lit("HIGH").alias("severity"), F.lit("CHANGED_NUMBER").alias("code"), message.alias("message"))
+
+
 def word_recall(blocks: DataFrame, out_items: DataFrame) -> DataFrame:
     """(book_id, chapter, lost, total, ratio, severity): share of source words that the output lacks."""
     diff = bag_difference(bag(sources(blocks), word_tokens(F.col("text")), "n_src"), bag(outputs(out_items), word_tokens(F.col("text")), "n_out"))
@@ -56,24 +66,22 @@ def word_recall(blocks: DataFrame, out_items: DataFrame) -> DataFrame:
     return sums.select(*CHAPTER, "lost", "total", F.round(ratio, 6).alias("ratio"), F.when(ratio > 0.05, "CRITICAL").when(ratio > 0.01, "HIGH").otherwise("NONE").alias("severity"))
 
 
-def _reconcile(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One chapter: a word only in the output cancels one missing word that it begins with and one that it ends in; the first split counts."""
-    gap = dict(zip(pdf["token"], pdf["n_src"] - pdf["n_out"]))
-    freed = 0
-    for word in sorted(w for w, n in gap.items() if n < 0):
-        cut = next((i for i in range(3, len(word) - 2) if gap.get(word[:i], 0) > 0 and gap.get(word[i:], 0) > 0), 0)
-        if cut:
-            for part in (word[:cut], word[cut:]):
-                gap[part] -= 1
-            freed += 2
-    lost = sum(n for n in gap.values() if n > 0)
-    return pd.DataFrame([{"book_id": pdf["book_id"].iloc[0], "chapter": pdf["chapter"].iloc[0], "freed": freed, "lost": lost}])
-
-
 def reconcile_split_words(diff: DataFrame) -> DataFrame:
-    """(book_id, chapter, freed, lost): missing words after words divided in the source are matched with the whole words of the output. Only
-    words of different counts travel, so a group holds the differences of one chapter."""
-    return diff.where("n_src <> n_out").groupBy(*CHAPTER).applyInPandas(_reconcile, "book_id STRING, chapter INT, freed LONG, lost LONG")
+    """(book_id, chapter, freed, lost): missing words after words divided in the source are matched with the whole words of the output. A word only in
+    the output takes back one missing word that it begins with and one that it ends in, at its first cut of which both are missing. A missing word is
+    taken back as often as it is missing, for the first words in alphabetical order. Only words of different counts travel."""
+    gaps = diff.where("n_src <> n_out").select(*CHAPTER, "token", (F.col("n_src") - F.col("n_out")).alias("gap"))
+    missing = gaps.where("gap > 0")
+    whole = gaps.where((F.col("gap") < 0) & (F.length("token") >= 6)).select(*CHAPTER, F.col("token").alias("word"))
+    cuts = whole.withColumn("cut", F.explode(F.sequence(F.lit(3), F.length("word") - 3)))
+    cuts = cuts.withColumn("l", F.left("word", F.col("cut"))).withColumn("r", F.substr("word", F.col("cut") + 1))
+    both = cuts.join(missing.toDF(*CHAPTER, "l", "gap_l"), [*CHAPTER, "l"]).join(missing.toDF(*CHAPTER, "r", "gap_r"), [*CHAPTER, "r"])
+    first = both.groupBy(*CHAPTER, "word").agg(F.min_by(F.struct("l", "r", "gap_l", "gap_r"), "cut").alias("x")).select(*CHAPTER, "word", "x.*")
+    parts = first.select(*CHAPTER, "word", F.explode(F.array(F.struct(F.col("l").alias("part"), F.col("gap_l").alias("gap"), F.lit(1).alias("side")), F.struct(F.col("r").alias("part"), F.col("gap_r").alias("gap"), F.lit(2).alias("side")))).alias("p")).select(*CHAPTER, "word", "p.*")
+    rank = F.row_number().over(Window.partitionBy(*CHAPTER, "part").orderBy("word", "side"))
+    taken = parts.withColumn("fits", (rank <= F.col("gap")).cast("int")).groupBy(*CHAPTER, "word").agg(F.min("fits").alias("fits")).groupBy(*CHAPTER).agg((2 * F.sum("fits")).alias("freed"))
+    lost = gaps.groupBy(*CHAPTER).agg(F.sum(F.greatest("gap", F.lit(0))).alias("missing")).join(taken, CHAPTER, "left").withColumn("freed", F.coalesce("freed", F.lit(0)))
+    return lost.select(*CHAPTER, "freed", (F.col("missing") - F.col("freed")).alias("lost"))
 
 
 def citation_check(out_items: DataFrame) -> DataFrame:

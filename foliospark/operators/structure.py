@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -162,24 +161,68 @@ def resolve(refs: DataFrame, converted: DataFrame) -> DataFrame:
     return rows.withColumn("link", F.when(F.col("file").isNotNull(), F.concat(F.lit("["), "text", F.lit("]("), "file", anchor, F.lit(")")))).drop("__b", "__c", "file")
 
 
-def _match_captions(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One chapter: each figure takes the nearest free caption of its page, up to three items on, then two back; each table the free one right
-    before or behind it. A caption is taken once, so earlier items choose first."""
-    pdf = pdf.sort_values("ord").reset_index(drop=True)
-    taken: set[int] = set()
-    out = []
-    for i, r in pdf.iterrows():
-        if r["kind"] not in ("figure", "table"):
-            continue
-        near = [i + 1, i + 2, i + 3, i - 1, i - 2] if r["kind"] == "figure" else [i - 1, i + 1]
-        start = "Fig" if r["kind"] == "figure" else "Table"
-        j = next((j for j in near if 0 <= j < len(pdf) and j not in taken and pdf.at[j, "kind"] == "caption" and str(pdf.at[j, "md"]).startswith(start) and (start == "Table" or pdf.at[j, "page"] == r["page"])), None)
-        if j is not None:
-            taken.add(j)
-        out.append({"book_id": r["book_id"], "chapter": r["chapter"], "ord": r["ord"], "kind": r["kind"], "caption_ord": None if j is None else int(pdf.at[j, "ord"])})
-    return pd.DataFrame(out, columns=["book_id", "chapter", "ord", "kind", "caption_ord"]).astype({"caption_ord": "Int64"})
+#: Places of the captions that a figure and a table may take, the nearest first: figures look three items on, then two back, tables to their
+#: neighbours.
+NEAR = {"figure": (1, 2, 3, -1, -2), "table": (-1, 1)}
 
 
 def match_captions(items: DataFrame) -> DataFrame:
-    """(book_id, chapter, ord, kind, caption_ord): figures and tables with their captions. Greedy in reading order; a group is one chapter."""
-    return items.select(*CHAPTER, "ord", "kind", "md", "page").groupBy(*CHAPTER).applyInPandas(_match_captions, "book_id STRING, chapter INT, ord INT, kind STRING, caption_ord LONG")
+    """(book_id, chapter, ord, kind, caption_ord): figures and tables with their captions. Each takes the nearest free one, figures on their own page
+    only; a caption is taken once, so earlier items choose first. The choices are a fold over the figures and tables of a chapter."""
+    rows = items.select(*CHAPTER, "ord", "kind", "md", "page")
+    w = by_ord()
+
+    def candidate(kind: str, k: int) -> Column:
+        at = {c: (F.lead(c, k) if k > 0 else F.lag(c, -k)).over(w) for c in ("ord", "kind", "md", "page")}
+        fits = (at["kind"] == "caption") & at["md"].startswith("Fig" if kind == "figure" else "Table")
+        return F.when(fits & (at["page"] == F.col("page")) if kind == "figure" else fits, at["ord"])
+
+    choices = F.when(F.col("kind") == "figure", F.array(*(candidate("figure", k) for k in NEAR["figure"]))).when(F.col("kind") == "table", F.array(*(candidate("table", k) for k in NEAR["table"])))
+    rows = rows.withColumn("choices", F.array_compact(choices)).where("kind in ('figure', 'table')")
+    lists = rows.groupBy(*CHAPTER).agg(F.array_sort(F.collect_list(F.struct("ord", "kind", "choices"))).alias("l"))
+
+    def step(taken: Column, x: Column) -> Column:
+        """``taken`` has a caption, or -1, for each item so far."""
+        return F.concat(taken, F.array(F.coalesce(F.get(F.array_except(x["choices"], taken), F.lit(0)), F.lit(-1))))
+
+    lists = lists.withColumn("taken", F.aggregate("l", F.array().cast("array<int>"), step))
+    pairs = lists.select(*CHAPTER, F.explode(F.arrays_zip("l", "taken")).alias("x"))
+    return pairs.select(*CHAPTER, "x.l.ord", "x.l.kind", F.nullif(F.col("x.taken"), F.lit(-1)).alias("caption_ord"))
+
+
+def figure_numbers(items: DataFrame) -> DataFrame:
+    """(book_id, chapter, ord, kind, caption_ord, number, file): the number of each figure and table from its caption, else from its place among those of
+    its kind in the chapter; and the name of its file, with a suffix where a name is taken."""
+    pairs = match_captions(items)
+    md = items.select(*CHAPTER, F.col("ord").alias("caption_ord"), "md")
+    rows = pairs.join(md, [*CHAPTER, "caption_ord"], "left")
+    no = F.nullif(F.regexp_extract("md", CAPTION, 3), F.lit("")).cast("int")
+    of_caption = F.concat(F.regexp_extract("md", CAPTION, 2).cast("int"), F.when(no.isNotNull(), F.format_string("_%02d", no)).otherwise(""))
+    place = F.row_number().over(Window.partitionBy(*CHAPTER, "kind").orderBy("ord"))
+    numbered = F.col("md").isNotNull() & ((F.col("kind") == "figure") | no.isNotNull())
+    rows = rows.withColumn("number", F.when(numbered, of_caption).otherwise(F.format_string("%d_%02d", "chapter", place)))
+    n = F.row_number().over(Window.partitionBy(*CHAPTER, "kind", "number").orderBy("ord"))
+    file = F.concat("kind", F.lit("_"), "number", F.when(n > 1, F.concat(F.lit("_"), n)).otherwise(""), F.when(F.col("kind") == "figure", ".png").otherwise(".md"))
+    return rows.select(*CHAPTER, "ord", "kind", "caption_ord", "number", file.alias("file"))
+
+
+def caption_issues(items: DataFrame) -> DataFrame:
+    """(book_id, chapter, severity, code, page, n): figures without a caption, figure captions without a figure, and chapters with more captions than
+    figures or tables."""
+    pairs = match_captions(items)
+    pages = items.select(*CHAPTER, "ord", "page")
+    caps = items.where("kind = 'caption'").select(*CHAPTER, "ord", "page", F.when(F.col("md").startswith("Fig"), "figure").when(F.col("md").startswith("Table"), "table").alias("what"))
+    taken = pairs.where("caption_ord is not null").select(*CHAPTER, F.col("caption_ord").alias("ord"))
+    lone = pairs.where("kind = 'figure' and caption_ord is null").join(pages, [*CHAPTER, "ord"]).select(*CHAPTER, F.lit("MEDIUM").alias("severity"), F.lit("FIGURE_NO_CAPTION").alias("code"), "page", F.lit(1).cast("long").alias("n"))
+    loose = caps.where("what = 'figure'").join(taken, [*CHAPTER, "ord"], "left_anti").select(*CHAPTER, F.lit("MEDIUM"), F.lit("CAPTION_NO_FIGURE"), "page", F.lit(1).cast("long"))
+    had = pairs.groupBy(*CHAPTER, F.col("kind").alias("what")).agg(F.count("*").alias("had"))
+    want = caps.where("what is not null").groupBy(*CHAPTER, "what").agg(F.count("*").alias("want")).join(had, [*CHAPTER, "what"], "left").withColumn("n", F.col("want") - F.coalesce("had", F.lit(0))).where("n > 0")
+    counts = want.select(*CHAPTER, F.lit("HIGH"), F.concat(F.upper("what"), F.lit("_COUNT")), F.lit(None).cast("int"), "n")
+    return lone.union(loose).union(counts)
+
+
+def equal_boxes(items: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(book_id, chapter, ord, block_id): table items and the table blocks with the same box on their page."""
+    box = ["x0", "y0", "x1", "y1"]
+    b = blocks.where("block_type = 'table'").select("book_id", "page", *box, "block_id").distinct()
+    return items.where("kind = 'table'").select(*CHAPTER, "ord", "page", *box).join(b, ["book_id", "page", *box]).select(*CHAPTER, "ord", "block_id")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliospark.operators import layout as Y
 from foliospark.operators.lines import unique_lines
-from foliospark.plans.registry import query
+from foliospark.plans.registry import joined, query
 from foliospark.session import table
 
 LINES = "l as (select distinct book_id, page, block_seq, line_no, text, x0, y0, x1, y1, size, bold, italic from page_lines where text is not null)"
@@ -112,11 +112,27 @@ def heading_levels(spark: SparkSession, d: str) -> DataFrame:
     return Y.heading_levels(Y.heading_styles(_lines(spark, d)))
 
 
-@query()
+@query(
+    f"""with {BLOCKS}, k as (select book_id, page, block_seq as seq, text, x0, y0, x1, y1, size, case when regexp_matches(text, '^(Figure|Fig\\.) [0-9]') then 'caption' when length(text) > 200 then 'fragment' else 'text' end as kind from b),
+    c0 as (select * from k where kind = 'caption'),
+    c as (select c0.*, greatest(c0.y1 - 330, coalesce((select max(o.y1) from c0 o where o.book_id = c0.book_id and o.page = c0.page and o.seq <> c0.seq and o.y1 <= c0.y0 and least(c0.x1, o.x1) - greatest(c0.x0, o.x0) > 0.5 * least(c0.x1 - c0.x0, o.x1 - o.x0)), c0.y1 - 330)) as low from c0),
+    f as (select c.book_id, c.page, c.seq as cap, f.seq as frag, f.x0, f.y0, f.x1, f.y1, row_number() over (partition by f.book_id, f.page, f.seq order by c.seq) as n from c join k f on f.book_id = c.book_id and f.page = c.page and f.kind = 'fragment' and f.y1 <= c.y1 + 15 and f.y0 >= c.low),
+    g as (select book_id, page, cap, min(x0) as x0, min(y0) as y0, max(x1) as x1, max(y1) as y1, count(*)::int as fragments from f where n = 1 group by all having max(x1) - min(x0) >= 40 and max(y1) - min(y0) >= 10),
+    sz as (select book_id, page, round_even(size * 2, 0) / 2 as s, sum(length(text)) as n from k where kind in ('text', 'caption') group by all), body as (select book_id, page, arg_max(s, (n, -s)) as body from sz group by all),
+    t as (select g.book_id, g.page, g.cap, t.seq, t.text, t.x0, t.y0, row_number() over (partition by t.book_id, t.page, t.seq order by g.cap) as n
+      from g join c on c.book_id = g.book_id and c.page = g.page and c.seq = g.cap join body on body.book_id = g.book_id and body.page = g.page join k t on t.book_id = g.book_id and t.page = g.page and t.kind = 'text'
+      where t.y1 <= c.y1 + 15 and t.x0 >= g.x0 - 50 and t.x1 <= (case when c.x0 >= g.x1 - 5 then greatest(g.x1, c.x1) + 5 else g.x1 + 15 end) and not (t.x0 >= c.x0 - 1 and t.y0 >= c.y0 - 1 and t.y1 <= c.y1 + 1)
+      and (t.y0 >= g.y0 - 12 or (t.y0 >= g.y0 - 30 and (t.size < body * 0.95 or (t.y1 - t.y0 < 14 and t.y0 > c.low))))),
+    q as (select *, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') as ls from t where n = 1),
+    pt as (select book_id, page, cap, round_even(y0 / 4, 0) as ry, x0, seq, case when len(list_filter(ls, lambda x: regexp_matches(x, '^[•●▪■◦·‣○]'))) > 0
+      then list_transform(string_split(regexp_replace(array_to_string(ls, chr(10)), chr(10) || '([•●▪■◦·‣○])', chr(1) || '\\1', 'g'), chr(1)), lambda x: replace(regexp_replace(x, '^[•●▪■◦·‣○][\t-\r ]*', ''), chr(10), ' ')) else [array_to_string(ls, ' ')] end as parts from q),
+    lab as (select book_id, page, cap, array_to_string(flatten(list(parts order by ry, x0, seq)), '|') as labels from pt group by all)
+    select g.book_id, g.page, g.cap as caption_seq, g.fragments, coalesce(labels, '') as labels from g left join lab using (book_id, page, cap) where labels is not null or fragments >= 3"""
+)
 def composite_figures(spark: SparkSession, d: str) -> DataFrame:
     """Figures made of fragments and labels (J12, T7): captions of the pages, with the text blocks around them as fragments and labels."""
     b = Y.blocks_of(_lines(spark, d)).select("book_id", "page", F.col("block_seq").alias("seq"), "text", "x0", "y0", "x1", "y1", "size")
     kind = F.when(F.col("text").rlike("^(Figure|Fig\\.) [0-9]"), "caption").when(F.length("text") > 200, "fragment").otherwise("text")
     b = b.withColumn("kind", kind)
     pages = b.where("kind = 'caption'").select("book_id", "page").distinct()
-    return Y.composite_figures(b.join(pages, ["book_id", "page"], "left_semi"))
+    return joined(Y.composite_figures(b.join(pages, ["book_id", "page"], "left_semi")), "labels")

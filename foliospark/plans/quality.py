@@ -69,6 +69,16 @@ def numeric_fingerprint_diff(spark: SparkSession, d: str) -> DataFrame:
     return Q.numeric_diff(*_t(spark, d, "blocks", "out_items"))
 
 
+@query(
+    f"""with {SRC}, {OUT}, {NUMERIC} select book_id, chapter, 'HIGH' as severity, 'CHANGED_NUMBER' as code,
+      'missing ' || array_to_string(list_sort(list(distinct token) filter (where code = 'MISSING_NUMBER'))[1:5], ', ') || ' / unexpected ' || array_to_string(list_sort(list(distinct token) filter (where code = 'UNEXPECTED_NUMBER'))[1:5], ', ') as message
+    from numeric_issues group by book_id, chapter having count(*) filter (where code = 'MISSING_NUMBER') > 0 and count(*) filter (where code = 'UNEXPECTED_NUMBER') > 0"""
+)
+def changed_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Chapters in which numbers seem to have been changed."""
+    return Q.changed_numbers(Q.numeric_diff(*_t(spark, d, "blocks", "out_items")))
+
+
 @query(f"with {SRC}, {OUT}, {RECALL} select * from recall")
 def word_recall(spark: SparkSession, d: str) -> DataFrame:
     """Words of the source that the output lost."""
@@ -84,7 +94,16 @@ def lost_words(spark: SparkSession, d: str) -> DataFrame:
     return a.exceptAll(b).groupBy("token").agg(F.count("*").alias("lost"))
 
 
-@query()
+@query(
+    f"""with {SRC}, {OUT}, {_bags(_WORDS, 'w')}, gaps as (select book_id, chapter, token, n_src - n_out as gap from wdiff where n_src <> n_out),
+    cuts as (select book_id, chapter, token as word, unnest(range(3, length(token) - 2)) as cut from gaps where gap < 0 and length(token) >= 6),
+    cand as (select c.*, l.token as l, l.gap as gl, r.token as r, r.gap as gr, row_number() over (partition by c.book_id, c.chapter, c.word order by cut) as k from cuts c
+      join gaps l on l.book_id = c.book_id and l.chapter = c.chapter and l.token = c.word[1:cut] and l.gap > 0 join gaps r on r.book_id = c.book_id and r.chapter = c.chapter and r.token = c.word[cut + 1:] and r.gap > 0),
+    parts as (select book_id, chapter, word, l as part, gl as gap, 1 as side from cand where k = 1 union all select book_id, chapter, word, r, gr, 2 from cand where k = 1),
+    ranked as (select *, row_number() over (partition by book_id, chapter, part order by word, side) as n from parts),
+    fits as (select book_id, chapter, word, min((n <= gap)::int) as fits from ranked group by all), freed as (select book_id, chapter, 2 * sum(fits) as freed from fits group by all)
+    select book_id, chapter, coalesce(freed, 0)::bigint as freed, (missing - coalesce(freed, 0))::bigint as lost from (select book_id, chapter, sum(greatest(gap, 0)) as missing from gaps group by all) left join freed using (book_id, chapter)"""
+)
 def split_word_reconcile(spark: SparkSession, d: str) -> DataFrame:
     """Missing words after words divided in the source are matched with whole ones."""
     blocks, items = _t(spark, d, "blocks", "out_items")

@@ -118,7 +118,12 @@ def footnotes(spark: SparkSession, d: str) -> DataFrame:
     return S.footnotes(_pages(spark, d), Y.body_size(_pages(spark, d)))
 
 
-@query()
+@query(
+    f"""with {ITEMS}, i as (select *, regexp_replace(md, '\\[([0-9]{{1,2}})\\]', '<sup>\\1</sup>', 'g') as m from items where kind in ('paragraph', 'list') and md is not null),
+    n as (select distinct book_id, page, unnest(regexp_extract_all(m, '<sup>([0-9]+)</sup>', 1)) as n from i), ns as (select book_id, page, list(n order by n) as ns from n group by all),
+    f as (select i.*, list_reduce(list_concat([m], ns), lambda t, x: regexp_replace(t, '<sup>' || x || '</sup>', '[^p' || page || 'n' || x || ']')) as linked from i join ns using (book_id, page))
+    select book_id, chapter, ord, linked from f where linked <> m"""
+)
 def footnote_links(spark: SparkSession, d: str) -> DataFrame:
     """Raised numbers linked to the footnotes of their page (J6); raised numbers and notes are derived from citations."""
     items = _items(spark, d).where("kind in ('paragraph', 'list') and md is not null").withColumn("md", F.regexp_replace("md", r"\[([0-9]{1,2})\]", "<sup>$1</sup>"))
@@ -174,19 +179,68 @@ def xref_relink(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(c, ["book_id", "target_chapter"]).select("book_id", "chapter", "ord", "text", "target_chapter", "file")
 
 
-@query()
-def caption_assoc_tables(spark: SparkSession, d: str) -> DataFrame:
-    """Tables with their captions."""
-    return S.match_captions(_items(spark, d)).where("kind = 'table'")
+_NEAR = """nb as (select *, lead(ord, 1) over w as o1, lead(ord, 2) over w as o2, lead(ord, 3) over w as o3, lag(ord, 1) over w as b1, lag(ord, 2) over w as b2 from mi window w as (partition by book_id, chapter order by ord)),
+cap as (select book_id, chapter, ord, page, md from mi where kind = 'caption'),
+want as (select book_id, chapter, ord, kind, page, unnest(case kind when 'figure' then [o1, o2, o3, b1, b2] else [b1, o1] end) as c, unnest(case kind when 'figure' then [1, 2, 3, 4, 5] else [1, 2] end) as pref from nb where kind in ('figure', 'table')),
+may as (select w.book_id, w.chapter, w.ord, list(w.c order by w.pref) as choices from want w join cap on cap.book_id = w.book_id and cap.chapter = w.chapter and cap.ord = w.c
+  where (w.kind = 'figure' and cap.md like 'Fig%' and cap.page = w.page) or (w.kind = 'table' and cap.md like 'Table%') group by all),
+seq as (select n.book_id, n.chapter, n.ord, n.kind, coalesce(choices, []) as choices, row_number() over (partition by n.book_id, n.chapter order by n.ord) as i from nb n left join may using (book_id, chapter, ord) where n.kind in ('figure', 'table')),
+fold as (select book_id, chapter, i, ord, kind, choices[1] as got, [coalesce(choices[1], -1)] as taken from seq where i = 1
+  union all select s.book_id, s.chapter, s.i, s.ord, s.kind, list_filter(s.choices, lambda x: not list_contains(f.taken, x))[1], list_append(f.taken, coalesce(list_filter(s.choices, lambda x: not list_contains(f.taken, x))[1], -1)) from fold f join seq s on s.book_id = f.book_id and s.chapter = f.chapter and s.i = f.i + 1),
+pairs as (select book_id, chapter, ord, kind, got as caption_ord from fold)"""
+#: The item before each figure caption stands for its picture.
+_FIGURES = "mi as (select * replace (case when kind = 'paragraph' and lead(kind) over w = 'caption' and lead(md) over w like 'Fig%' then 'figure' else kind end as kind) from items window w as (partition by book_id, chapter order by ord))"
 
 
-@query()
-def caption_assoc_figures(spark: SparkSession, d: str) -> DataFrame:
-    """Figures with their captions (J4, J10); the item before each figure caption stands for its picture."""
+def _with_figures(spark: SparkSession, d: str) -> DataFrame:
     items = _items(spark, d)
     w = Window.partitionBy("book_id", "chapter").orderBy("ord")
     figure = (F.col("kind") == "paragraph") & (F.lead("kind").over(w) == "caption") & F.lead("md").over(w).startswith("Fig")
-    return S.match_captions(items.withColumn("kind", F.when(figure, "figure").otherwise(F.col("kind")))).where("kind = 'figure'")
+    return items.withColumn("kind", F.when(figure, "figure").otherwise(F.col("kind")))
+
+
+@query(f"with recursive {ITEMS}, mi as (select * from items), {_NEAR} select * from pairs where kind = 'table'")
+def caption_assoc_tables(spark: SparkSession, d: str) -> DataFrame:
+    """Tables with their captions."""
+    return S.match_captions(_items(spark, d)).where("kind = 'table'")
+
+
+@query(f"with recursive {ITEMS}, {_FIGURES}, {_NEAR} select * from pairs where kind = 'figure'")
+def caption_assoc_figures(spark: SparkSession, d: str) -> DataFrame:
+    """Figures with their captions (J4); the item before each figure caption stands for its picture."""
+    return S.match_captions(_with_figures(spark, d)).where("kind = 'figure'")
+
+
+_CAP = r"^[\t-\r ]*(Figure|Fig\.|Table)[\t-\r ]+([0-9]{1,4})(?:[.\-]([0-9]{1,3}))?(?:[^0-9A-Za-z_]|$)"
+
+
+@query(
+    rf"""with recursive {ITEMS}, {_FIGURES}, {_NEAR}, m as (select p.*, c.md, nullif(regexp_extract(c.md, '{_CAP}', 3), '')::int as no, row_number() over (partition by p.book_id, p.chapter, p.kind order by p.ord) as place from pairs p left join cap c on c.book_id = p.book_id and c.chapter = p.chapter and c.ord = p.caption_ord),
+    n as (select book_id, chapter, ord, kind, caption_ord, case when md is not null and (kind = 'figure' or no is not null) then regexp_extract(md, '{_CAP}', 2)::int::varchar || coalesce('_' || lpad(no::varchar, 2, '0'), '') else chapter || '_' || lpad(place::varchar, 2, '0') end as number from m),
+    k as (select *, row_number() over (partition by book_id, chapter, kind, number order by ord) as k from n)
+    select book_id, chapter, ord, kind, caption_ord, number, kind || '_' || number || case when k > 1 then '_' || k else '' end || case kind when 'figure' then '.png' else '.md' end as file from k"""
+)
+def figure_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers and file names of figures and tables (W20, K11); the item before each figure caption stands for its picture."""
+    return S.figure_numbers(_with_figures(spark, d))
+
+
+@query(
+    f"""with recursive {ITEMS}, {_FIGURES}, {_NEAR}, w as (select book_id, chapter, case when md like 'Fig%' then 'figure' when md like 'Table%' then 'table' end as what, count(*) as want from cap group by all),
+    h as (select book_id, chapter, kind as what, count(*) as had from pairs group by all)
+    select p.book_id, p.chapter, 'MEDIUM' as severity, 'FIGURE_NO_CAPTION' as code, mi.page, 1::bigint as n from pairs p join mi using (book_id, chapter, ord) where p.kind = 'figure' and caption_ord is null
+    union all select book_id, chapter, 'MEDIUM', 'CAPTION_NO_FIGURE', page, 1 from cap where md like 'Fig%' and not exists (select 1 from pairs p where p.book_id = cap.book_id and p.chapter = cap.chapter and p.caption_ord = cap.ord)
+    union all select book_id, chapter, 'HIGH', upper(what) || '_COUNT', null, want - coalesce(had, 0) from w left join h using (book_id, chapter, what) where what is not null and want > coalesce(had, 0)"""
+)
+def caption_issues(spark: SparkSession, d: str) -> DataFrame:
+    """Captions and figures or tables that don't find each other (J10); the item before each figure caption stands for its picture."""
+    return S.caption_issues(_with_figures(spark, d))
+
+
+@query(f"with {ITEMS} select i.book_id, i.chapter, i.ord, b.block_id from items i join (select distinct book_id, page, x0, y0, x1, y1, block_id from blocks where block_type = 'table') b using (book_id, page, x0, y0, x1, y1) where i.kind = 'table'")
+def table_boxes(spark: SparkSession, d: str) -> DataFrame:
+    """Table items and the table blocks with the same box."""
+    return S.equal_boxes(_items(spark, d), table(spark, d, "blocks"))
 
 
 @query("select md5(raw) as hash, count(*) as n, arg_min(block_id, (book_id, page, ord)) as kept from (select distinct book_id, block_id, page, ord, raw from out_items where kind = 'callout' and raw is not null) group by 1 having count(*) >= 1")

@@ -31,10 +31,20 @@ def one(spark, value, column):
         (["", "  a  ", "b"], set(), set(), "a b"),
     ],
 )
-def test_join_lines(lines, words, compounds, want):
+def test_join_lines(spark, lines, words, compounds, want):
     # In the fifth case the second hyphen is decided on the joined word, which is no fragment of 'ward'.
-    text, _ = L.join_lines(lines, words | ({"pediatric"} if "atric-" in lines else set()), compounds)
-    assert text == want
+    words = words | ({"pediatric"} if "atric-" in lines else set())
+    blocks = spark.createDataFrame([("b", "1", lines)], "book_id STRING, block STRING, lines ARRAY<STRING>")
+    w = spark.createDataFrame([("b", x) for x in words], "book_id STRING, word STRING")
+    c = spark.createDataFrame([("b", x) for x in compounds], "book_id STRING, compound STRING")
+    assert L.join_blocks(blocks, w, c).first().text == want
+
+
+def test_open_hyphens(spark):
+    blocks = spark.createDataFrame([("b", "1", ["some ab-", "cd text"]), ("b", "2", []), ("b", "3", ["some-", "thing e-", "mail"])], "book_id STRING, block STRING, lines ARRAY<STRING>")
+    none = spark.createDataFrame([], "book_id STRING, word STRING")
+    got = {r.block: (r.text, r.unsure) for r in L.join_blocks(blocks, none, none.toDF("book_id", "compound")).collect()}
+    assert got == {"1": ("some ab-cd text", ["ab-cd"]), "2": ("", []), "3": ("something e-mail", [])}
 
 
 def test_vocabulary_skips_parts_of_divided_words(spark):
@@ -127,6 +137,37 @@ def test_composite_figure(spark):
     assert [tuple(r) for r in Y.composite_figures(df).collect()] == [("b", 1, 3, 1, ["label"])]
 
 
+def test_composite_claims(spark):
+    """Each fragment and label belongs to the first caption that reaches it; bullets of a label part it; a lone fragment without labels is no figure."""
+    rows = [
+        ("caption", "Fig. 1", 50.0, 200.0, 250.0, 210.0, 9.0), ("fragment", "", 60.0, 100.0, 160.0, 150.0, 0.0), ("text", "• one\n• two\nmore", 60.0, 155.0, 100.0, 165.0, 8.0), ("text", "plain\nlabel", 120.0, 155.0, 160.0, 165.0, 8.0),
+        ("caption", "Fig. 2", 50.0, 400.0, 250.0, 410.0, 9.0), ("fragment", "", 60.0, 300.0, 160.0, 350.0, 0.0), ("fragment", "", 60.0, 355.0, 160.0, 360.0, 0.0), ("fragment", "", 60.0, 365.0, 160.0, 380.0, 0.0),
+        ("caption", "Fig. 3", 300.0, 700.0, 500.0, 710.0, 9.0), ("fragment", "", 310.0, 600.0, 400.0, 650.0, 0.0),
+    ]
+    df = spark.createDataFrame([("b", 1, i, *x) for i, x in enumerate(rows)], "book_id STRING, page INT, seq INT, kind STRING, text STRING, x0 DOUBLE, y0 DOUBLE, x1 DOUBLE, y1 DOUBLE, size DOUBLE")
+    assert sorted(tuple(r)[2:] for r in Y.composite_figures(df).collect()) == [(0, 1, ["one", "two more", "plain label"]), (4, 3, [])]
+    assert Y.composite_figures(df.limit(0)).count() == 0
+
+
+def test_numbers_and_files(spark):
+    rows = [
+        (1, "figure", "", 1), (2, "caption", "Figure 2.3 a", 1), (3, "figure", "", 1), (4, "caption", "Fig. 2.3 b", 1), (5, "figure", "", 9), (6, "caption", "Table 2.1 c", 9), (7, "table", "", 9), (8, "table", "", 9), (9, "caption", "Table 5", 9), (10, "caption", "Figure 9", 9),
+    ]
+    items = spark.createDataFrame([("b", 7, *x) for x in rows], "book_id STRING, chapter INT, ord INT, kind STRING, md STRING, page INT")
+    got = {r.ord: (r.number, r.file) for r in S.figure_numbers(items).collect()}
+    assert got == {1: ("2_03", "figure_2_03.png"), 3: ("2_03", "figure_2_03_2.png"), 5: ("7_03", "figure_7_03.png"), 7: ("2_01", "table_2_01.md"), 8: ("7_02", "table_7_02.md")}
+    issues = sorted((r.code, r.page or 0, r.n) for r in S.caption_issues(items).collect())
+    assert issues == [("CAPTION_NO_FIGURE", 9, 1), ("FIGURE_NO_CAPTION", 9, 1)]
+
+
+def test_changed_numbers(spark):
+    blocks = spark.createDataFrame([("b", "ch001-p0001-b001", 1, "dose 2.5 mg of 3"), ("b", "ch002-p0001-b001", 1, "give 7 mg")], "book_id STRING, block_id STRING, page INT, raw_text STRING")
+    items = spark.createDataFrame([("b", 1, 1, "paragraph", 1, "dose 25 mg of 3"), ("b", 2, 1, "paragraph", 1, "give mg")], "book_id STRING, chapter INT, ord INT, kind STRING, page INT, md STRING")
+    diff = Q.numeric_diff(blocks, items)
+    assert sorted((r.chapter, r.code, r.token, r.severity) for r in diff.collect()) == [(1, "MISSING_NUMBER", "2.5", "HIGH"), (1, "UNEXPECTED_NUMBER", "25", "HIGH"), (2, "MISSING_NUMBER", "7", "HIGH")]
+    assert [tuple(r) for r in Q.changed_numbers(diff).collect()] == [("b", 1, "HIGH", "CHANGED_NUMBER", "missing 2.5 / unexpected 25")]
+
+
 def test_footnote_links(spark):
     items = spark.createDataFrame([("b", 1, "a<sup>1</sup> b<sup>1</sup> c<sup>2</sup>")], "book_id STRING, page INT, md STRING")
     notes = spark.createDataFrame([("b", 1, "p1n1"), ("b", 1, "p1s2")], "book_id STRING, page INT, label STRING")
