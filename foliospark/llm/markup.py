@@ -118,8 +118,11 @@ class _Ends:
     def code(self, start: int, end: int) -> int:
         """End of a code span that these backticks open: the next as many, in the same paragraph; 0 if there are none."""
         n = end - start
-        runs = self.ticks[n]
-        i = bisect_left(runs, end)
+        runs = self.ticks.get(n, [])
+        i = bisect_left(runs, start)
+        if i == len(runs) or runs[i] != start:  # a part of a longer run, cut by the place where the walk begins or ends
+            return 0
+        i += 1
         gap = bisect_left(self.gaps, end)
         return runs[i] + n if i < len(runs) and (gap == len(self.gaps) or self.gaps[gap] >= runs[i]) else 0
 

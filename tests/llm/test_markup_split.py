@@ -1,3 +1,4 @@
+import random
 import time
 
 import pytest
@@ -50,6 +51,19 @@ def test_unclosed_markup_takes_linear_time(mark):
     assert time.process_time() - start < 12
 
 
+def test_any_mixture_of_marks_is_parsed():
+    r = random.Random(5)
+    marks = ["`", "``", "```", "````", "~~~", "\n", "\n\n", "$", "$$", "<b>", "</b>", "<!--", "-->", "{|", "|}", "{{", "}}", "[[", "]]", "''", "= ", " =", "\\a{", "}", "\\begin{x}", "\\end{x}", "<td>", "&lt;", "a", " ", "<br"]
+    for n in range(4000):
+        text = "".join(r.choice(marks) for _ in range(r.randint(1, 40)))
+        root = MODEL.mark(U.parse(text, n % 3 == 0))
+        for x in U._walk(root):
+            assert 0 <= x.start <= x.end <= len(text) and 0 <= x.residue <= 1
+            assert all(a.end <= b.start for a, b in zip(x.children, x.children[1:])), text
+            assert not x.inner or all(x.inner[0] <= c.start and c.end <= x.inner[1] for c in x.children), text
+        MODEL.clean(text)
+
+
 def test_commands_at_any_depth():
     for depth in (3, 25, 90):
         assert MODEL.clean("a " + "\\textbf{" * depth + "x" + "}" * depth + " b").replace("*", "") == "a x b"
