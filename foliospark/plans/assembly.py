@@ -89,10 +89,28 @@ def book_memory(spark: SparkSession, d: str) -> DataFrame:
     return joined(joined(m, "running_headers"), "levels_seen")
 
 
-@query()
+_SUP = "⁰¹²³⁴⁵⁶⁷⁸⁹⁺⁻⁼⁽⁾ⁿⁱ⁻"
+_SUB = "₀₁₂₃₄₅₆₇₈₉₊₋₌₍₎"
+
+
+@query(
+    f"""with u as (select distinct book_id, page, block_seq, line_no, spans from page_lines where spans is not null),
+    e as (select book_id, page, block_seq, line_no, i, coalesce(s.text, '') as t, coalesce(s.sup, false) as sup, coalesce(s.sub, false) as sub, coalesce(s.bold, false)::int * 2 + coalesce(s.italic, false)::int as st from (select *, unnest(spans) as s, generate_subscripts(spans, 1) as i from u)),
+    g as (select *, sum((sup or sub)::int) over w as seg, trim(t) = '' as blank from e window w as (partition by book_id, page, block_seq, line_no order by i)),
+    f as (select *, case when sup or sub then -2 else coalesce(last_value(case when not blank and not sup and not sub then st end ignore nulls) over (partition by book_id, page, block_seq, line_no, seg, sup or sub order by i rows between unbounded preceding and current row), -1) end as style from g),
+    k as (select *, case when sup or sub or style is distinct from lag(style) over w or lag(seg) over w is distinct from seg then 1 else 0 end as fresh from f window w as (partition by book_id, page, block_seq, line_no order by i)),
+    n as (select *, sum(fresh) over (partition by book_id, page, block_seq, line_no order by i) as run from k),
+    r as (select book_id, page, block_seq, line_no, run, min(style) as style, bool_or(sup) as sup, bool_or(sub) as sub, string_agg(t, '' order by i) as t from n group by all),
+    m as (select *, trim(t) as core, case style when 3 then '***' when 2 then '**' when 1 then '*' else '' end as mark from r),
+    o as (select *, case when core = '' then t
+      when sup then case when not (regexp_matches(core, '^[0-9, –-]+$') and regexp_matches(core, '[0-9]') and not regexp_matches(core, '^[0-9]$')) and regexp_matches(core, '^[0-9+−=()ni-]+$') then translate(core, '0123456789+-=()ni−', '{_SUP}') else '<sup>' || core || '</sup>' end
+      when sub then case when regexp_matches(core, '^[0-9+=()-]+$') then translate(core, '0123456789+-=()', '{_SUB}') else '<sub>' || core || '</sub>' end
+      else left(t, instr(t, core) - 1) || mark || core || mark || substr(t, instr(t, core) + length(core)) end as x from m)
+    select book_id, page, block_seq, line_no, coalesce(string_agg(x, '' order by run), '') as marked from u left join o using (book_id, page, block_seq, line_no) group by all"""
+)
 def inline_markup(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of several spans with inline marks (P25)."""
-    lines = table(spark, d, "page_lines").where(F.size("spans") > 1).select("book_id", "page", "block_seq", "line_no", "spans").distinct()
+    """Lines with inline marks (P25)."""
+    lines = table(spark, d, "page_lines").where("spans is not null").select("book_id", "page", "block_seq", "line_no", "spans").distinct()
     return lines.select("book_id", "page", "block_seq", "line_no", A.inline_marks(F.col("spans")).alias("marked"))
 
 
