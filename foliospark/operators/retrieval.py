@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliospark.functions.text import anchor, for_retrieval
-from foliospark.operators.quality import CHAPTER
+from foliospark.operators.quality import CHAPTER, current_chapters
 from foliospark.operators.structure import by_ord, with_paths
 
 MAX_CHARS = 1800
-# Endings and names of diseases, endings of drugs, symptoms.
-DISEASE = r"(?:^|[^A-Za-z0-9_])([A-Z]?[a-z]+(?:itis|osis|emia|aemia|pathy|oma|plasia|penia|uria|algia)|[A-Z][a-z]+ (?:syndrome|disease|disorder|deficiency|anemia|fever))(?:[^A-Za-z0-9_]|$)"
-DRUG = r"(?i)(?:^|[^A-Za-z0-9_])([A-Za-z]+(?:mycin|cillin|cycline|azole|vir|statin|pril|sartan|olol|dipine|mab|floxacin|thiazide|prazole|setron|barbital|zepam|caine|parin|sone|solone))(?:[^A-Za-z0-9_]|$)"
+# Endings and names of diseases, endings of drugs, words that aren't terms alone, symptoms.
+DISEASE = r"\b([A-Z]?[a-z]+(?:itis|osis|emia|aemia|pathy|oma|plasia|penia|uria|algia)|[A-Z][a-z]+ (?:syndrome|disease|disorder|deficiency|anemia|fever))\b"
+DRUG = r"(?i)\b([A-Za-z]+(?:mycin|cillin|cycline|azole|vir|statin|pril|sartan|olol|dipine|mab|floxacin|thiazide|prazole|setron|barbital|zepam|caine|parin|sone|solone))\b"
+STOP = ["Syndrome", "Disease", "Disorder"]
 SYMPTOMS = [
     "fever", "cough", "vomiting", "diarrhea", "rash", "pallor", "jaundice", "cyanosis", "dyspnea", "wheezing", "seizure", "headache", "lethargy", "irritability", "failure to thrive", "abdominal pain", "edema", "hepatomegaly",
     "splenomegaly", "tachycardia", "tachypnea", "hypotension", "fatigue", "dehydration", "apnea", "stridor", "hematuria", "bleeding", "bruising", "weight loss",
@@ -53,22 +54,59 @@ def chunks(items: DataFrame, longest: int = MAX_CHARS) -> DataFrame:
     return packed.select(*CHAPTER, "section", "chunk", "section_id", "path", "pages", "ords", refs.alias("refs"), content.alias("content_type"), "n_chars", text.alias("text"))
 
 
-def index_terms(texts: DataFrame) -> DataFrame:
-    """(book_id, category, term, chapter, ord, heading): diseases, drugs and symptoms and where they stand. ``texts``: (book_id, chapter, ord, heading, text).
-    Symptoms are looked for anywhere in a text, also inside words; the list is fixed."""
-    at = ["book_id", "chapter", "ord", "heading"]
-    disease = texts.select(*at, F.explode(F.regexp_extract_all("text", F.lit(DISEASE), F.lit(1))).alias("w")).where(F.length("w") > 5)
-    disease = disease.select(*at, F.lit("diseases").alias("category"), F.when(F.lower("w") == F.col("w"), F.lower("w")).otherwise(F.col("w")).alias("term"))
-    drug = texts.select(*at, F.lit("drugs").alias("category"), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(DRUG), F.lit(1))).alias("term"))
-    seen = F.filter(F.array(*(F.lit(s) for s in SYMPTOMS)), lambda s: F.contains(F.lower("text"), s))
-    symptom = texts.select(*at, F.lit("signs_symptoms").alias("category"), F.explode(seen).alias("term"))
-    return disease.union(drug).union(symptom).select("book_id", "category", "term", "chapter", "ord", "heading").distinct()
+_PLACE = ["chapter", "chapter_title", "section_id", "heading"]
+
+
+def index_places(items: DataFrame, chapters: DataFrame) -> DataFrame:
+    """(book_id, chapter, chapter_title, section_id, heading, title, text): the items with where they stand: their section, its heading or else the
+    chapter's title; title: of a section, for the item that begins it."""
+    rows = with_paths(items).where("md is not null").join(current_chapters(chapters).select(*CHAPTER, F.coalesce("title", F.lit("")).alias("chapter_title")), CHAPTER, "left")
+    chapter_title = F.coalesce("chapter_title", F.lit(""))
+    heading = F.coalesce(F.get("path", F.size("path") - 1), chapter_title)
+    own = F.when(F.col("kind") == "heading", F.regexp_extract("md", r"^#{1,6} ([^\n]*)", 1))
+    return rows.select(*CHAPTER, chapter_title.alias("chapter_title"), F.coalesce("section_id", F.lit("")).alias("section_id"), heading.alias("heading"), own.alias("title"), for_retrieval(F.col("md")).alias("text"))
+
+
+def index_terms(places: DataFrame) -> DataFrame:
+    """(book_id, category, term, chapter, chapter_title, section_id, heading): diseases, drugs, symptoms and topics and the sections they stand in. Words are
+    parted where a letter, digit or underscore meets anything else; symptoms are looked for anywhere in a text, also inside words; topics are the
+    titles of the sections. ``places`` as ``index_places`` gives them. One pass: each text gives its terms as one array."""
+    def terms(category: str, words: Column) -> Column:
+        return F.transform(words, lambda w: F.struct(F.lit(category).alias("category"), w.alias("term")))
+
+    text, low = F.col("text"), F.lower("text")
+    found = F.filter(F.regexp_extract_all(text, F.lit(DISEASE), F.lit(1)), lambda w: (F.length(w) > 5) & ~w.isin(STOP))
+    drugs = F.transform(F.regexp_extract_all(text, F.lit(DRUG), F.lit(1)), F.lower)
+    seen = F.filter(F.array(*(F.lit(w) for w in SYMPTOMS)), lambda w: F.contains(low, w))
+    topics = F.when(F.coalesce("title", F.lit("")) != "", F.array("title")).otherwise(F.array().cast("array<string>"))
+    every = F.array_distinct(F.concat(terms("diseases", found), terms("drugs", drugs), terms("signs_symptoms", seen), terms("topics", topics)))
+    return places.select("book_id", *_PLACE, F.explode(every).alias("x")).select("book_id", "x.category", "x.term", *_PLACE).distinct()
 
 
 def index_lines(terms: DataFrame, most: int = 8) -> DataFrame:
-    """(book_id, category, term, n, line): a line of the navigation index: a term and its first places, with dots if there are more."""
-    k = F.row_number().over(Window.partitionBy("book_id", "category", "term").orderBy("chapter", "ord", "heading"))
-    link = F.concat(F.lit("[Ch "), "chapter", F.lit(": "), "heading", F.lit("](#"), anchor(F.col("heading")), F.lit(")"))
+    """(book_id, category, term, place, n, line): the lines of the navigation indexes: each term and its first sections, with dots if there are more;
+    place: of the line in its index, by the term without regard to case."""
+    k = F.row_number().over(Window.partitionBy("book_id", "category", "term").orderBy(*_PLACE))
+    file = F.format_string("chapters/ch_%03d.md", "chapter")
+    link = F.concat(F.lit("[Ch "), "chapter", F.lit(": "), "heading", F.lit("]("), file, F.lit("#"), anchor(F.col("heading")), F.lit(")"))
     rows = terms.withColumn("k", k).groupBy("book_id", "category", "term").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("k") <= most, F.struct("k", link.alias("link"))))).alias("l"))
     line = F.concat(F.lit("- **"), "term", F.lit("** — "), F.array_join(F.transform("l", lambda x: x["link"]), "; "), F.when(F.col("n") > most, " …").otherwise(""))
-    return rows.select("book_id", "category", "term", "n", line.alias("line"))
+    place = F.row_number().over(Window.partitionBy("book_id", "category").orderBy(F.lower("term"), "term"))
+    return rows.select("book_id", "category", "term", place.alias("place"), "n", line.alias("line"))
+
+
+# The names of the indexes, and what stands above each.
+INDEX_TITLES = {"diseases": "Diseases", "drugs": "Drugs", "signs_symptoms": "Signs & Symptoms", "topics": "Topics"}
+INDEX_HEADER = (
+    "> **Generated navigation index — not part of the original textbook.**\n> Entries link to the chapter and section where the term appears. No factual text is added.\n\n"
+    "_Method: deterministic pattern matching. Verify in the chapter text._\n\n"
+)
+
+
+def index_pages(lines: DataFrame) -> DataFrame:
+    """(book_id, category, page): the index pages, with their lines in order."""
+    title = F.lit(None).cast("string")
+    for k, v in INDEX_TITLES.items():
+        title = F.when(F.col("category") == k, v).otherwise(title)
+    rows = lines.groupBy("book_id", "category").agg(F.array_sort(F.collect_list(F.struct("place", "line"))).alias("l"))
+    return rows.select("book_id", "category", F.concat(F.lit("# "), title, F.lit(" Index\n\n"), F.lit(INDEX_HEADER), F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n")).alias("page"))

@@ -13,7 +13,8 @@ from foliospark.operators import layout as Y
 from foliospark.operators import lines as L
 from foliospark.operators import quality as Q
 from foliospark.operators import structure as S
-from foliospark.operators.search import Index, stem
+from foliospark.operators import retrieval as V
+from foliospark.operators.search import Index, only, stem
 
 
 def one(spark, value, column):
@@ -185,6 +186,45 @@ def test_search(spark, tmp_path):
     assert [r.id for r in index.match("long-term").collect()] == [1]
     assert {r.id for r in index.match("plan long").collect()} == {1, 2}
     assert index.match("   ").count() == 0 and index.match("absent plan").count() == 0
-    index.save(str(tmp_path))
-    assert {r.id for r in Index(docs, ["id"], "body").load(str(tmp_path)).top("plan", 5).collect()} == {1, 2}
+    index.save(str(tmp_path / "one"))
+    assert {r.id for r in Index(docs, ["id"], "body").load(str(tmp_path / "one")).top("plan", 5).collect()} == {1, 2}
     assert index.snippets("term", k=1).first().snippet.count("[[term]]") == 1
+
+
+def test_search_saved_as_unsaved(spark, tmp_path):
+    rows = [("b", 1, 1, "Pain of the knee and the Ménière patient"), ("b", 1, 2, "knee pain, pain"), ("b", 2, 1, "patients complain of pain"), ("b", 2, 2, None), ("c", 1, 1, "no word")]
+    schema = "book_id STRING, chapter INT, ord INT, text STRING"
+    docs, key, unit = spark.createDataFrame(rows, schema), ["book_id", "chapter", "ord"], ["book_id", "chapter"]
+    for stemmed in (False, True):
+        index = Index(docs, key, "text", stemmed)
+        index.save(str(tmp_path / f"s{stemmed}"), unit)
+        saved = Index(docs, key, "text", stemmed).load(str(tmp_path / f"s{stemmed}"), unit)
+        for q in ("pain", "knee pain", '"of pain"', "patient", "meniere", "MÉNIÈRE", "absent"):
+            assert sorted(map(tuple, index.match(q).collect())) == sorted(map(tuple, saved.match(q).collect())), (stemmed, q)
+    assert {tuple(r)[:3] for r in Index(docs, key, "text", True).match("patients").collect()} == {("b", 1, 1), ("b", 2, 1)}
+    assert [tuple(r)[:3] for r in Index(docs, key, "text").match("meniere").collect()] == [("b", 1, 1)]
+
+
+def test_a_chapter_is_replaced_in_the_index(spark, tmp_path):
+    schema, key, unit, folder = "book_id STRING, chapter INT, ord INT, text STRING", ["book_id", "chapter", "ord"], ["book_id", "chapter"], str(tmp_path)
+    old = [("b", 1, 1, "old words of one"), ("b", 1, 2, "old again"), ("b", 2, 1, "words of two")]
+    new = [("b", 1, 1, "new words of one")]
+    Index(spark.createDataFrame(old, schema), key, "text").save(folder, unit)
+    Index(spark.createDataFrame(new, schema), key, "text").save(folder, unit, segment=1)
+    now = spark.createDataFrame(new + old[2:], schema)
+    saved, fresh = Index(now, key, "text").load(folder, unit), Index(now, key, "text")
+    assert saved.match("old").count() == 0
+    for q in ("words", "new", "two"):
+        assert sorted(map(tuple, saved.match(q).collect())) == sorted(map(tuple, fresh.match(q).collect())), q
+
+
+def test_search_filters(spark):
+    docs = spark.createDataFrame([(1, 1, "list", "renal, cardiac", "pain"), (2, 2, "list", "renal", "pain"), (3, 1, "table", None, "pain")], "id INT, chapter INT, kind STRING, specialty STRING, text STRING")
+    index = Index(docs, ["id"], "text")
+    for where, want in ((only(), {1, 2, 3}), (only(chapter=1), {1, 3}), (only(kind="list"), {1, 2}), (only(specialty="cardiac"), {1}), (only(2, "list", "renal"), {2})):
+        assert {r.id for r in index.match("pain", where).collect()} == want
+
+
+def test_neighbouring_terms(spark):
+    places = spark.createDataFrame([("b", 1, "T", "s", "h", None, "hepatitis nephritis arthritis, Wilson disease. Syndrome")], "book_id STRING, chapter INT, chapter_title STRING, section_id STRING, heading STRING, title STRING, text STRING")
+    assert {r.term for r in V.index_terms(places).collect()} == {"hepatitis", "nephritis", "arthritis", "Wilson disease"}
