@@ -31,15 +31,16 @@ def _kinds(spark: SparkSession, d: str, kind: str) -> DataFrame:
     return table(spark, d, "blocks").where(F.col("block_type") == kind).select("book_id", "page", "block_seq", "x0", "y0", "x1", "y1").distinct()
 
 
-@query(
-    f"""with {BLOCKS}, p as (select book_id, page, count(*) filter (where x1 - x0 < 428.4 and x1 <= 330.48) as nl, count(*) filter (where x1 - x0 < 428.4 and x0 >= 281.52) as nr,
-      count(*) filter (where x1 - x0 < 428.4 and x0 < 281.52 and x1 > 330.48) as na, count(*) filter (where x1 - x0 < 428.4) as n,
-      max(x1) filter (where x1 - x0 < 428.4 and x1 <= 330.48) as lx, min(x0) filter (where x1 - x0 < 428.4 and x0 >= 281.52) as rx from b group by all),
-    g as (select b.*, case when nl >= 1 and nr >= 1 and nl + nr >= 3 and na <= greatest(1, floor(n / 10)) and rx - lx >= 8 then (lx + rx) / 2 end as gutter from b join p using (book_id, page)),
-    c as (select *, coalesce(x0 < gutter - 24.48 and x1 > gutter + 24.48, false) as is_full from g),
-    k as (select *, case when gutter is null or is_full then 0 when (x0 + x1) / 2 < gutter then 1 else 2 end as col, sum(is_full::int) over (partition by book_id, page order by y0, x0, block_seq) as band from c)
-    select book_id, page, block_seq, round(gutter, 3) as gutter, col, row_number() over (partition by book_id, page order by band, col, y0, x0, block_seq) - 1 as pos from k"""
-)
+READING = """rp as (select book_id, page, count(*) filter (where x1 - x0 < 428.4 and x1 <= 330.48) as nl, count(*) filter (where x1 - x0 < 428.4 and x0 >= 281.52) as nr,
+  count(*) filter (where x1 - x0 < 428.4 and x0 < 281.52 and x1 > 330.48) as na, count(*) filter (where x1 - x0 < 428.4) as n,
+  max(x1) filter (where x1 - x0 < 428.4 and x1 <= 330.48) as lx, min(x0) filter (where x1 - x0 < 428.4 and x0 >= 281.52) as rx from b group by all),
+rg as (select b.*, case when nl >= 1 and nr >= 1 and nl + nr >= 3 and na <= greatest(1, floor(n / 10)) and rx - lx >= 8 then (lx + rx) / 2 end as gutter from b join rp using (book_id, page)),
+rc as (select *, coalesce(x0 < gutter - 24.48 and x1 > gutter + 24.48, false) as is_full from rg),
+rk as (select *, case when gutter is null or is_full then 0 when (x0 + x1) / 2 < gutter then 1 else 2 end as col, sum(is_full::int) over (partition by book_id, page order by y0, x0, block_seq) as band from rc),
+reading as (select book_id, page, block_seq, round(gutter, 3) as gutter, col, row_number() over (partition by book_id, page order by band, col, y0, x0, block_seq) - 1 as pos from rk)"""
+
+
+@query(f"with {BLOCKS}, {READING} select * from reading")
 def reading_order(spark: SparkSession, d: str) -> DataFrame:
     """Reading order of the blocks of each page."""
     return Y.reading_order(Y.blocks_of(_lines(spark, d)))
