@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,14 +62,70 @@ def source_map(items: DataFrame) -> DataFrame:
     )
 
 
-def book_index(books: DataFrame, chapters: DataFrame, status: DataFrame) -> DataFrame:
-    """(book_id, chapters, page): the index page of each book, a row for each chapter."""
-    rows = current_chapters(chapters).join(status, CHAPTER, "left")
-    line = F.concat(F.lit("| "), "chapter", F.lit(" | "), F.coalesce("title", F.lit("")), F.lit(" | "), "start_page", F.lit("–"), "end_page", F.lit(" | "), F.coalesce("status", F.lit("NOT_STARTED")), F.lit(" |"))
+# Words for the statuses of chapters.
+STATUS_WORDS = {"NOT_STARTED": "Not started", "PROCESSING": "Processing", "PARTIAL": "Partial", "COMPLETED": "Completed", "COMPLETED_WITH_WARNINGS": "Completed with warnings", "REVIEW_REQUIRED": "Review required", "FAILED": "Failed"}
+
+
+def _chapters_of(chapters: DataFrame, status: DataFrame, files: DataFrame) -> DataFrame:
+    """The chapters of each book with their status and Markdown file (null, if not converted). ``files``: (book_id, chapter, sha256) of the converted chapters."""
+    rows = current_chapters(chapters).join(status, CHAPTER, "left").join(files.select(*CHAPTER, "sha256"), CHAPTER, "left").withColumn("status", F.coalesce("status", F.lit("NOT_STARTED")))
+    return rows.withColumn("file", F.when(F.col("sha256").isNotNull(), F.format_string("chapters/ch_%03d.md", "chapter")))
+
+
+def _book(books: DataFrame) -> DataFrame:
+    return books.groupBy("book_id").agg(*(F.max(c).alias(c) for c in ("title", "edition", "slug", "source_sha256", "page_count"))).withColumnRenamed("title", "book_title")
+
+
+def _listed(rows: DataFrame, line: Column) -> DataFrame:
+    """(book_id, chapters, l): the lines of a book's chapters in their order."""
     lists = rows.groupBy("book_id").agg(F.count("*").alias("chapters"), F.array_sort(F.collect_list(F.struct("chapter", line.alias("line")))).alias("l"))
-    book = books.groupBy("book_id").agg(F.max("title").alias("title"), F.max("edition").alias("edition"))
-    head = F.concat(F.lit("# "), F.coalesce("title", F.lit("")), F.when(F.coalesce("edition", F.lit("")) != "", F.concat(F.lit(" — Edition "), "edition")).otherwise(""), F.lit("\n\n| Chapter | Title | Source Pages | Conversion Status |\n|---|---|---|---|\n"))
-    return lists.join(book, "book_id").select("book_id", "chapters", F.concat(head, F.array_join(F.transform("l", lambda x: x["line"]), "\n"), F.lit("\n")).alias("page"))
+    return lists.select("book_id", "chapters", F.transform("l", lambda x: x["line"]).alias("l"))
+
+
+def book_index(books: DataFrame, chapters: DataFrame, status: DataFrame, files: DataFrame, specialty: Column | None = None) -> DataFrame:
+    """(book_id, chapters, page): the index page of each book, a row for each chapter, with a link to its file."""
+    rows = _chapters_of(chapters, status, files)
+    title = F.coalesce("title", F.lit(""))
+    link = F.when(F.col("file").isNull(), "—").otherwise(F.concat(F.lit("["), F.element_at(F.split("file", "/"), -1), F.lit("]("), "file", F.lit(")")))
+    named = F.when(F.col("file").isNull(), title).otherwise(F.concat(F.lit("["), title, F.lit("]("), "file", F.lit(")")))
+    word = F.col("status")
+    for k, v in STATUS_WORDS.items():
+        word = F.when(F.col("status") == k, v).otherwise(word)
+    line = F.format_string("| %d | %s | %s | %d–%d | %s | %s |", "chapter", named, F.coalesce(specialty if specialty is not None else F.lit(""), F.lit("")), "start_page", "end_page", link, word)
+    head = F.concat(F.lit("# "), F.coalesce("book_title", F.lit("")), F.when(F.coalesce("edition", F.lit("")) != "", F.concat(F.lit(" — Edition "), "edition")).otherwise(""), F.lit("\n\n| Chapter | Title | Specialty | Source Pages | Markdown File | Conversion Status |\n|---|---|---|---|---|---|\n"))
+    return _listed(rows, line).join(_book(books), "book_id").select("book_id", "chapters", F.concat(head, F.array_join("l", "\n"), F.lit("\n")).alias("page"))
+
+
+def book_yaml(books: DataFrame, chapters: DataFrame, status: DataFrame, files: DataFrame) -> DataFrame:
+    """(book_id, yaml): what is known of a book, and of each of its chapters."""
+    def quoted(c: str | Column) -> Column:
+        return yaml_quoted(F.coalesce(c, F.lit("")))
+
+    rows = _chapters_of(chapters, status, files)
+    line = F.format_string("  - number: %d\n    title: %s\n    pages: %s\n    status: %s", "chapter", quoted("title"), quoted(F.format_string("%d-%d", "start_page", "end_page")), "status")
+    top = F.format_string("title: %s\nedition: %s\nsource_sha256: %s\npages: %s\nslug: %s\nchapters:\n", quoted("book_title"), quoted("edition"), quoted("source_sha256"), F.coalesce(F.col("page_count").cast("string"), F.lit("null")), quoted("slug"))
+    return _listed(rows, line).join(_book(books), "book_id").select("book_id", F.concat(top, F.array_join("l", "\n"), F.lit("\n")).alias("yaml"))
+
+
+def manifest(books: DataFrame, chapters: DataFrame, status: DataFrame, files: DataFrame) -> DataFrame:
+    """(book_id, n_files, manifest): the chapters of a book and their files as JSON. Time stamps are left out, so that equal input gives equal output."""
+    rows = _chapters_of(chapters, status, files)
+    every = F.array_sort(F.collect_list(F.struct("chapter", "title", "start_page", "end_page", "status")))
+    done = F.array_sort(F.collect_list(F.when(F.col("file").isNotNull(), F.struct("chapter", "file", "sha256", "status"))))
+    lists = rows.groupBy("book_id").agg(every.alias("chapters"), done.alias("chapter_files"))
+    json = F.to_json(F.struct(F.col("book_title").alias("title"), "edition", "source_sha256", F.col("page_count").alias("pages"), "chapters", "chapter_files"), {"ignoreNullFields": "false"})
+    return lists.join(_book(books), "book_id").select("book_id", F.size("chapter_files").alias("n_files"), json.alias("manifest"))
+
+
+def readme(books: DataFrame) -> DataFrame:
+    """(book_id, page): a page that says what is in the folder of a book and how it is written."""
+    title = F.coalesce("book_title", F.lit(""))
+    text = F.concat(
+        F.lit("# "), title, F.lit(" — Markdown Knowledge Base\n\n- **Source book:** "), title, F.when(F.coalesce("edition", F.lit("")) != "", F.concat(F.lit(" (edition "), "edition", F.lit(")"))).otherwise(""), F.lit("\n- **Source SHA-256:** `"), F.coalesce("source_sha256", F.lit("")),
+        F.lit("`\n\n| Path | What it holds |\n|---|---|\n| `00_BOOK_INDEX.md` | chapters and their status |\n| `book.yaml`, `manifest.json` | metadata |\n| `chapters/` | one Markdown file a chapter |\n| `tables/` | tables of more than 40 rows |\n| `source_maps/` | where each item comes from |\n"
+              "| `indexes/` | generated navigation, not part of the book |\n| `rag/chunks.jsonl` | chunks for retrieval |\n| `reports/` | a report on each chapter |\n\nPages begin at `<!-- source_page: N -->`, sections at `<!-- section_id: ... -->`; reference entries carry `<a id=\"ref-N\">`.\n"),
+    )
+    return _book(books).select("book_id", text.alias("page"))
 
 
 def memory(margins: DataFrame, bodies: DataFrame, heads: DataFrame) -> DataFrame:
@@ -141,6 +199,21 @@ def scanned_pages(pages: DataFrame, least_chars: int = 25) -> DataFrame:
     return pages.where((F.col("native_chars") < least_chars) & ((F.col("images") > 0) | (F.col("native_chars") == 0)))
 
 
+#: Makes words out of pictures of pages: (page rows with a picture) -> (book_id, page, block, par, line, word_no, text, conf). None is built in.
+_recogniser: Callable[[DataFrame], DataFrame] | None = None
+
+
+def set_recogniser(f: Callable[[DataFrame], DataFrame] | None) -> None:
+    """Sets what recognises the text of scanned pages; None: they stay without a text."""
+    global _recogniser
+    _recogniser = f
+
+
+def recognise(pages: DataFrame, least_chars: int = 25) -> DataFrame | None:
+    """(book_id, page, text, confidence) of the pages whose text has to be recognised; None without a recogniser."""
+    return None if _recogniser is None else recognised_lines(_recogniser(scanned_pages(pages, least_chars)))
+
+
 def recognised_lines(words: DataFrame) -> DataFrame:
     """(book_id, page, text, confidence): recognised words (block, par, line, word_no, text, conf) as lines; words of negative confidence don't count."""
     ok = words.where("conf >= 0 and trim(text) <> ''")

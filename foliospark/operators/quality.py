@@ -140,8 +140,10 @@ def issues(blocks: DataFrame, out_items: DataFrame, chapters: DataFrame) -> Data
     """(book_id, chapter, severity, code, page, message): everything the checks report."""
     null = F.lit(None).cast("int")
     recall = word_recall(blocks, out_items).where("severity <> 'NONE'")
+    numbers = numeric_diff(blocks, out_items)
     parts = [
-        numeric_diff(blocks, out_items).select(*CHAPTER, "severity", "code", null.alias("page"), F.concat_ws(" ", F.lit("number"), "token").alias("message")),
+        numbers.select(*CHAPTER, "severity", "code", null.alias("page"), F.concat_ws(" ", F.lit("number"), "token").alias("message")),
+        changed_numbers(numbers).select(*CHAPTER, "severity", "code", null, "message"),
         recall.select(*CHAPTER, "severity", F.lit("TEXT_LOSS"), null, F.concat_ws(" ", "lost", F.lit("words lost"))),
         citation_check(out_items).select(*CHAPTER, F.when(F.col("code") == "REFERENCE_NOT_CITED", "LOW").otherwise("MEDIUM"), "code", null, F.concat_ws(" ", "n", F.lit("numbers"))),
         completeness(chapters, blocks).select(*CHAPTER, F.when(F.col("code") == "PAGE_SKIPPED", "CRITICAL").otherwise("LOW"), "code", "page", F.concat_ws(" ", "n_chars", F.lit("characters"))),
@@ -173,3 +175,70 @@ def overview(all_issues: DataFrame, chapters: DataFrame, blocks: DataFrame) -> D
         F.count("*").alias("chapters"), done.alias("done"), F.bround(100 * done / F.count("*")).cast("int").alias("percent"),
         F.sum(F.coalesce("seen", F.lit(0))).alias("pages_done"), F.sum(F.col("end_page") - F.col("start_page") + 1).alias("pages_total"), F.count_if(F.col("confidence") < 0.6).alias("needs_review"),
     )
+
+
+# The sections of a report and the codes they hold, in their order; severities in their order; words for statuses.
+REPORT_SECTIONS = {
+    "Structure": ["HEADING_UNCERTAIN", "HEADING_SKIP", "HYPHEN_KEPT"],
+    "Pages Processed": ["PAGE_SKIPPED", "PAGE_SHORT", "TEXT_LOSS"],
+    "Tables": ["TABLE_COMPLEX", "TABLE_NUMERIC_MISMATCH", "TABLE_COUNT", "TABLE_SEPARATE_FILE"],
+    "Figures": ["FIGURE_NO_CAPTION", "CAPTION_NO_FIGURE", "FIGURE_COUNT", "FIGURE_BROKEN_PATH", "FIGURE_FILE_MISSING", "FIGURE_DUPLICATE"],
+    "OCR": ["OCR_USED", "OCR_NUMERIC_UNVERIFIED"],
+    "Numeric QA": ["MISSING_NUMBER", "CHANGED_NUMBER", "UNEXPECTED_NUMBER"],
+    "Citation QA": ["CITATION_NO_REFERENCE", "REFERENCES_MISSING", "REFERENCE_NOT_CITED"],
+    "Uncertain Text": ["UNCERTAIN_TEXT", "UNREADABLE_PAGE"],
+}
+SEVERITIES = ["CRITICAL", "HIGH", "MEDIUM", "LOW"]
+STATUS_LABELS = {"COMPLETED": "PASS", "COMPLETED_WITH_WARNINGS": "PASS WITH WARNINGS", "REVIEW_REQUIRED": "REVIEW REQUIRED", "FAILED": "FAILED"}
+
+
+def _one_of(value: Column, table: dict) -> Column:
+    out = F.lit(None)
+    for k, v in table.items():
+        out = F.when(value == k, F.lit(v)).otherwise(out)
+    return out
+
+
+def reports(all_issues: DataFrame, blocks: DataFrame, out_items: DataFrame, chapters: DataFrame, books: DataFrame, unresolved: DataFrame | None = None) -> DataFrame:
+    """(book_id, chapter, report): a page on each chapter in sections, every issue in the section of its code, the severe ones first. ``unresolved``:
+    (book_id, chapter, text, page) of cross-references without a target."""
+    code = F.col("code")
+    rank = _one_of(F.col("severity"), {s: i for i, s in enumerate(SEVERITIES)})
+    line = F.concat(F.lit("- **"), "severity", F.lit("** "), "message", F.when(F.col("page").isNull(), "").otherwise(F.format_string(" _(page %d)_", "page")))
+    rows = all_issues.withColumn("rank", rank).withColumn("section", _one_of(code, {c: n for n, codes in REPORT_SECTIONS.items() for c in codes})).withColumn("place", _one_of(code, {c: i for codes in REPORT_SECTIONS.values() for i, c in enumerate(codes)})).withColumn("line", line)
+
+    def text(*order: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, F.coalesce("page", F.lit(0)).alias("page"), "line"))), lambda x: x["line"]), "\n")
+
+    parts = rows.where("section is not null").groupBy(*CHAPTER, "section").agg(text("rank", "place", "message").alias("text"))
+    parts = parts.union(rows.where("rank < 2").groupBy(*CHAPTER).agg(text("rank", "code", "message").alias("text")).select(*CHAPTER, F.lit("review"), "text"))
+    if unresolved is not None:
+        refs = unresolved.withColumn("line", F.format_string("- %s (page %d)", "text", "page")).groupBy(*CHAPTER).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "line"))), lambda x: x["line"]), "\n").alias("text"))
+        parts = parts.union(refs.select(*CHAPTER, F.lit("unresolved"), "text"))
+    maps = parts.groupBy(*CHAPTER).agg(F.map_from_entries(F.collect_list(F.struct("section", "text"))).alias("m"))
+    items = outputs(out_items)
+    n = items.groupBy(*CHAPTER).agg(F.count_if(F.col("kind") == "heading").alias("headings"), F.count_if(F.col("kind") == "table").alias("tables"))
+    refs = items.where("kind = 'reference'").select(*CHAPTER, F.explode(F.regexp_extract_all("text", F.lit(r'<a id="ref-([0-9]+)">'), F.lit(1))).alias("no")).groupBy(*CHAPTER).agg(F.count_distinct("no").alias("refs"))
+    seen = sources(blocks).groupBy(*CHAPTER).agg(F.count_distinct("page").alias("seen"))
+    ocr = blocks.where("ocr").select("book_id", chapter_of(F.col("block_id")).alias("chapter"), "page").groupBy(*CHAPTER).agg(F.array_join(F.array_sort(F.collect_set("page")).cast("array<string>"), ", ").alias("ocr_pages"))
+    book = books.groupBy("book_id").agg(F.max("title").alias("book_title"), F.max("edition").alias("edition"), F.max("source_sha256").alias("sha"))
+    all_rows = current_chapters(chapters).join(chapter_status(all_issues, chapters), CHAPTER).join(severity_counts(all_issues, CHAPTER), CHAPTER, "left").join(maps, CHAPTER, "left")
+    for side in (n, refs, seen, ocr):
+        all_rows = all_rows.join(side, CHAPTER, "left")
+    all_rows = all_rows.join(book, "book_id", "left").na.fill(0, ["critical", "high", "medium", "low", "headings", "tables", "refs", "seen"])
+
+    def part(name: str, none: str = "None.") -> Column:
+        return F.coalesce(F.try_element_at("m", F.lit(name)), F.lit(none))
+
+    def line_of(form: str, *cols: str | Column) -> Column:
+        return F.format_string(form, *cols)
+
+    lines = [
+        line_of("# Conversion Report — Chapter %d: %s", "chapter", F.coalesce("title", F.lit(""))), "", "## Status", line_of("**%s**  (`%s`)", _one_of(F.col("status"), STATUS_LABELS), "status"), "", line_of("Issues: CRITICAL %d · HIGH %d · MEDIUM %d · LOW %d", "critical", "high", "medium", "low"), "",
+        "## Source", line_of("- Book: %s (edition %s)", F.coalesce("book_title", F.lit("")), F.coalesce(F.nullif("edition", F.lit("")), F.lit("n/a"))), line_of("- SHA-256: `%s`", F.coalesce("sha", F.lit(""))), line_of("- Pages: %d–%d", "start_page", "end_page"), line_of("- Chapter detection: %s (confidence %.2f)", F.coalesce("source", F.lit("")), "confidence"), "",
+        "## Structure", line_of("- Headings: %d", "headings"), part("Structure"), "", "## Pages Processed", line_of("- %d of %d pages", "seen", F.col("end_page") - F.col("start_page") + 1), part("Pages Processed"), "",
+        "## Tables", line_of("- Tables extracted: %d", "tables"), part("Tables"), "", "## Figures", part("Figures"), "", "## OCR", line_of("- Pages with recognised text: %s", F.coalesce("ocr_pages", F.lit("none"))), part("OCR"), "",
+        "## Numeric QA", part("Numeric QA", "No numeric differences between source extraction and Markdown."), "", "## Citation QA", line_of("- Reference entries preserved: %d", "refs"), part("Citation QA"), "", "## Uncertain Text", part("Uncertain Text"), "",
+        "## Possible Source Typos", "None detected (the converter never edits source text).", "", "## Unresolved Cross References", part("unresolved"), "", "## Human Review Recommended", part("review", "No."),
+    ]
+    return all_rows.select(*CHAPTER, F.concat(F.concat_ws("\n", *(F.lit(x) if isinstance(x, str) else x for x in lines)), F.lit("\n")).alias("report"))

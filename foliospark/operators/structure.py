@@ -161,6 +161,13 @@ def resolve(refs: DataFrame, converted: DataFrame) -> DataFrame:
     return rows.withColumn("link", F.when(F.col("file").isNotNull(), F.concat(F.lit("["), "text", F.lit("]("), "file", anchor, F.lit(")")))).drop("__b", "__c", "file")
 
 
+def relinked(refs: DataFrame, written: DataFrame, added: DataFrame) -> DataFrame:
+    """``refs`` to other chapters that were added after the item was written, with the ``file`` of the chapter. ``written``: (book_id, chapter, ord, written_at);
+    ``added``: (book_id, target_chapter, added_at), the first time each chapter came."""
+    rows = refs.where("chapter <> target_chapter").join(written, [*CHAPTER, "ord"]).join(added, ["book_id", "target_chapter"]).where("added_at > written_at")
+    return rows.withColumn("file", F.format_string("ch_%03d.md", "target_chapter"))
+
+
 #: Places of the captions that a figure and a table may take, the nearest first: figures look three items on, then two back, tables to their
 #: neighbours.
 NEAR = {"figure": (1, 2, 3, -1, -2), "table": (-1, 1)}

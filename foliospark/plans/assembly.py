@@ -62,17 +62,57 @@ def source_map(spark: SparkSession, d: str) -> DataFrame:
     return joined(A.source_map(S.ordered_items(table(spark, d, "out_items"))), "path")
 
 
+#: A chapter counts as converted if it has items; the hash of its items' Markdown stands for that of its file.
+_FILES = """bk as (select book_id, max(title) as book_title, max(edition) as edition, max(slug) as slug, max(source_sha256) as source_sha256, max(page_count) as page_count from books group by 1),
+fl as (select book_id, chapter, md5(string_agg(md, chr(10) order by ord)) as sha256 from (select distinct book_id, chapter, ord, md from out_items where md is not null) group by all),
+bc as (select c.*, coalesce(status, 'NOT_STARTED') as st, sha256, case when sha256 is not null then 'chapters/ch_' || lpad(chapter::varchar, 3, '0') || '.md' end as file from cur c left join status using (book_id, chapter) left join fl using (book_id, chapter))"""
+_WORD = "case st when 'NOT_STARTED' then 'Not started' when 'PROCESSING' then 'Processing' when 'PARTIAL' then 'Partial' when 'COMPLETED' then 'Completed' when 'COMPLETED_WITH_WARNINGS' then 'Completed with warnings' when 'REVIEW_REQUIRED' then 'Review required' when 'FAILED' then 'Failed' end"
+
+
+def _book_parts(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    chapters, items = table(spark, d, "chapters"), table(spark, d, "out_items")
+    issues = Q.issues(table(spark, d, "blocks"), items, chapters)
+    texts = items.where("md is not null").select("book_id", "chapter", "ord", "md").distinct().groupBy("book_id", "chapter").agg(F.array_sort(F.collect_list(F.struct("ord", "md"))).alias("l"))
+    files = texts.select("book_id", "chapter", F.md5(F.array_join(F.transform("l", lambda x: x["md"]), "\n")).alias("sha256"))
+    return table(spark, d, "books"), chapters, Q.chapter_status(issues, chapters), files
+
+
 @query(
     ISSUES
-    + f""", bk as (select book_id, max(title) as title, max(edition) as edition from books group by 1),
-    r as (select book_id, count(*) as chapters, string_agg('| ' || chapter || ' | ' || coalesce(c.title, '') || ' | ' || start_page || '–' || end_page || ' | ' || coalesce(status, 'NOT_STARTED') || ' |', {_NL} order by chapter) as l from cur c left join status using (book_id, chapter) group by 1)
-    select book_id, chapters, '# ' || coalesce(title, '') || case when coalesce(edition, '') <> '' then ' — Edition ' || edition else '' end || {_NL} || {_NL} || '| Chapter | Title | Source Pages | Conversion Status |' || {_NL} || '|---|---|---|---|' || {_NL} || l || {_NL} as page from r join bk using (book_id)"""
+    + f""", {_FILES}, r as (select book_id, count(*) as chapters, string_agg('| ' || chapter || ' | ' || case when file is null then coalesce(title, '') else '[' || coalesce(title, '') || '](' || file || ')' end || ' |  | ' || start_page || '–' || end_page || ' | '
+      || case when file is null then '—' else '[' || string_split(file, '/')[-1] || '](' || file || ')' end || ' | ' || {_WORD} || ' |', {_NL} order by chapter) as l from bc group by 1)
+    select book_id, chapters, '# ' || coalesce(book_title, '') || case when coalesce(edition, '') <> '' then ' — Edition ' || edition else '' end || {_NL} || {_NL} || '| Chapter | Title | Specialty | Source Pages | Markdown File | Conversion Status |' || {_NL} || '|---|---|---|---|---|---|' || {_NL} || l || {_NL} as page from r join bk using (book_id)"""
 )
 def book_index(spark: SparkSession, d: str) -> DataFrame:
-    """Index page of each book."""
-    chapters = table(spark, d, "chapters")
-    issues = Q.issues(table(spark, d, "blocks"), table(spark, d, "out_items"), chapters)
-    return A.book_index(table(spark, d, "books"), chapters, Q.chapter_status(issues, chapters))
+    """Index page of each book (K7)."""
+    return A.book_index(*_book_parts(spark, d))
+
+
+@query(
+    ISSUES
+    + f""", {_FILES}, r as (select book_id, string_agg('  - number: ' || chapter || {_NL} || '    title: ' || {_yaml('title')} || {_NL} || '    pages: "' || start_page || '-' || end_page || '"' || {_NL} || '    status: ' || st, {_NL} order by chapter) as l from bc group by 1)
+    select book_id, 'title: ' || {_yaml('book_title')} || {_NL} || 'edition: ' || {_yaml('edition')} || {_NL} || 'source_sha256: ' || {_yaml('source_sha256')} || {_NL} || 'pages: ' || coalesce(page_count::varchar, 'null') || {_NL} || 'slug: ' || {_yaml('slug')} || {_NL} || 'chapters:' || {_NL} || l || {_NL} as yaml from r join bk using (book_id)"""
+)
+def book_yaml(spark: SparkSession, d: str) -> DataFrame:
+    """The metadata file of each book (K7)."""
+    return A.book_yaml(*_book_parts(spark, d))
+
+
+@query(
+    ISSUES
+    + f""", {_FILES}, r as (select book_id, list({{'chapter': chapter, 'title': title, 'start_page': start_page, 'end_page': end_page, 'status': st}} order by chapter) as chapters, list({{'chapter': chapter, 'file': file, 'sha256': sha256, 'status': st}} order by chapter) filter (where file is not null) as chapter_files from bc group by 1)
+    select book_id, len(coalesce(chapter_files, [])) as n_files, to_json({{'title': book_title, 'edition': edition, 'source_sha256': source_sha256, 'pages': page_count, 'chapters': chapters, 'chapter_files': coalesce(chapter_files, [])}})::varchar as manifest from r join bk using (book_id)"""
+)
+def book_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """The manifest of each book."""
+    return A.manifest(*_book_parts(spark, d))
+
+
+@query("with bk as (select book_id, max(title) as t, max(edition) as e, max(source_sha256) as sha from books group by 1) select book_id, '# ' || coalesce(t, '') || ' — Markdown Knowledge Base' as first_line, '- **Source book:** ' || coalesce(t, '') || case when coalesce(e, '') <> '' then ' (edition ' || e || ')' else '' end as source_line, '- **Source SHA-256:** `' || coalesce(sha, '') || '`' as sha_line from bk")
+def book_readme(spark: SparkSession, d: str) -> DataFrame:
+    """The read-me page of each book, of which the lines that differ are shown (K7)."""
+    lines = F.split("page", "\n")
+    return A.readme(table(spark, d, "books")).select("book_id", F.get(lines, F.lit(0)).alias("first_line"), F.get(lines, F.lit(2)).alias("source_line"), F.get(lines, F.lit(3)).alias("sha_line"))
 
 
 @query(

@@ -62,13 +62,12 @@ def chapter_bounds(spark: SparkSession, d: str) -> DataFrame:
     return _outline(spark, d).drop("seq")
 
 
-@query(f"select distinct book_id, {_NO} as number, {_TITLE} as clean from (select book_id, 'Ch. ' || number || ' - ' || title as title from chapters where number % 2 = 0 union all select book_id, title from chapters where number % 2 = 1) where title is not null")
+@query(f"select distinct book_id, {_NO} as number, {_TITLE} as clean from (select book_id, 'Ch. ' || number || ' - ' || title as title from chapters where number is not null union all select book_id, title from chapters where number is not null) where title is not null")
 def chapter_titles(spark: SparkSession, d: str) -> DataFrame:
-    """Numbers and titles parted."""
+    """Numbers and titles parted (P31): each title as it is, and with its number before it."""
     ch = table(spark, d, "chapters").where("title is not null and number is not null")
-    title = F.when(F.col("number") % 2 == 0, F.concat(F.lit("Ch. "), "number", F.lit(" - "), "title")).otherwise(F.col("title"))
     number, clean = clean_title(F.col("t"))
-    return ch.select("book_id", title.alias("t")).select("book_id", number.alias("number"), clean.alias("clean")).distinct()
+    return ch.select("book_id", F.explode(F.array(F.concat(F.lit("Ch. "), "number", F.lit(" - "), "title"), "title")).alias("t")).select("book_id", number.alias("number"), clean.alias("clean")).distinct()
 
 
 _VALID = f"""{CURRENT}, bk as (select book_id, max(page_count) as page_count from books group by 1),
@@ -108,20 +107,19 @@ def _with_headings(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"with {_HEADINGS} select * from headings")
 def chapter_patterns(spark: SparkSession, d: str) -> DataFrame:
-    """Chapters that begin with a large heading; those that begin in the middle of a page share it."""
+    """Chapters that begin with a large heading; those that begin in the middle of a page share it."""
     return C.from_headings(_with_headings(spark, d), _books(spark, d))
 
 
 @query(
-    f"""with {_OUTLINE.replace('with ', '')}, o as (select book_id, count(*) as o from outline where right(book_id, 1)::int % 2 = 0 group by 1), {_HEADINGS.replace(CURRENT + ', ', '').replace('bk as (select book_id, max(page_count) as page_count from books group by 1),', '')},
-    h as (select book_id, count(*) as h from headings where right(book_id, 1)::int < 8 group by 1)
+    f"""with {_OUTLINE.replace('with ', '')}, o as (select book_id, count(*) as o from outline group by 1), {_HEADINGS.replace(CURRENT + ', ', '').replace('bk as (select book_id, max(page_count) as page_count from books group by 1),', '')},
+    h as (select book_id, count(*) as h from headings group by 1)
     select book_id, case when coalesce(o, 0) < 2 and coalesce(h, 0) > coalesce(o, 0) then 'heading-pattern' when coalesce(o, 0) > 0 then 'outline' else 'manual' end as source,
       case when coalesce(o, 0) < 2 and coalesce(h, 0) > coalesce(o, 0) then h when coalesce(o, 0) > 0 then o else 1 end as chapters from (select distinct book_id from books) left join o using (book_id) left join h using (book_id)"""
 )
 def chapter_detect(spark: SparkSession, d: str) -> DataFrame:
-    """How the chapters of each book are found (F9); books with an odd number have no outline, some no large headings."""
-    last = F.right("book_id", F.lit(1)).cast("int")
-    return C.detect(_outline(spark, d).where(last % 2 == 0), C.from_headings(_with_headings(spark, d), _books(spark, d)).where(last < 8), _books(spark, d))
+    """How the chapters of each book are found."""
+    return C.detect(_outline(spark, d), C.from_headings(_with_headings(spark, d), _books(spark, d)), _books(spark, d))
 
 
 @query(f"with {CURRENT} select p.book_id, c.chapter as number, p.page from (select distinct book_id, page from page_lines) p join cur c on c.book_id = p.book_id and p.page between c.start_page and c.end_page")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliospark.operators.quality import current_chapters, sources
-from foliospark.plans.quality import CURRENT, SRC
+from foliospark.operators.quality import current_chapters
+from foliospark.plans.quality import CURRENT
 from foliospark.plans.registry import query
 from foliospark.session import table
 from foliospark.streaming import jobs as J
@@ -37,27 +37,33 @@ def job_states(spark: SparkSession, d: str) -> DataFrame:
     return J.states(_events(spark, d))
 
 
-@query(f"with {SRC}, {CURRENT}, w as (select book_id, chapter, unnest(range(start_page, end_page + 1))::int as page from cur where end_page >= start_page) select * from w anti join (select distinct book_id, chapter, page from src where page % 2 = 0) s using (book_id, chapter, page)")
+@query(f"with {CURRENT}, w as (select book_id, chapter, unnest(range(start_page, end_page + 1))::int as page from cur where end_page >= start_page) select * from w anti join (select book_id, chapter, page from out_items group by all having bool_and(loaded_at <= written_at + interval 1 day)) s using (book_id, chapter, page)")
 def resume_pending(spark: SparkSession, d: str) -> DataFrame:
-    """Pages without a saved state (R1, X7); even pages with blocks count as saved."""
+    """Pages without a saved state (R1, X7): those with an item that wasn't loaded within a day of its writing."""
     pages = current_chapters(table(spark, d, "chapters")).where("end_page >= start_page").select("book_id", "chapter", F.explode(F.sequence("start_page", "end_page")).alias("page"))
-    done = sources(table(spark, d, "blocks")).where("page % 2 = 0").select("book_id", "chapter", "page").distinct()
+    done = table(spark, d, "out_items").groupBy("book_id", "chapter", "page").agg(F.expr("bool_and(loaded_at <= written_at + interval 1 day)").alias("saved")).where("saved")
     return J.pending(pages, done, ["book_id", "chapter", "page"])
 
 
-@query(f"with {CURRENT}, p as (select book_id, chapter, case when chapter % 3 = 0 then 'PROCESSING' else 'COMPLETED' end as status from cur) select *, case when status = 'PROCESSING' and chapter % 2 = 1 then 'PARTIAL' else status end as shown from p")
+@query(f"with {CURRENT}, p as (select book_id, chapter, case when source in ('toc', 'manual') then 'PROCESSING' else 'COMPLETED' end as status, confidence from cur) select book_id, chapter, status, case when status = 'PROCESSING' and coalesce(confidence < 0.9, true) then 'PARTIAL' else status end as shown from p")
 def partial_status(spark: SparkSession, d: str) -> DataFrame:
-    """Chapters that stopped halfway (R4); every third is running, the even ones of these are live."""
-    progress = current_chapters(table(spark, d, "chapters")).select("book_id", "chapter", F.when(F.col("chapter") % 3 == 0, "PROCESSING").otherwise("COMPLETED").alias("status"))
-    return J.display_status(progress, progress.where("status = 'PROCESSING' and chapter % 2 = 0"), ["book_id", "chapter"])
+    """Chapters that stopped halfway (R4); those of some sources stand for running ones, the surest of these for live ones."""
+    progress = current_chapters(table(spark, d, "chapters")).select("book_id", "chapter", F.when(F.col("source").isin("toc", "manual"), "PROCESSING").otherwise("COMPLETED").alias("status"), "confidence")
+    return J.display_status(progress, progress.where("status = 'PROCESSING' and confidence >= 0.9"), ["book_id", "chapter"]).drop("confidence")
 
 
-@query("select distinct book_id, source_sha256 from books where right(book_id, 1)::int % 4 <> 0")
+@query("select distinct book_id, source_sha256 from (select book_id, source_sha256 from books union all select 'cases-same', 'aa') where source_sha256 is not null")
 def source_gate(spark: SparkSession, d: str) -> DataFrame:
-    """Books whose source is unchanged (R6); the hash of every fourth was changed."""
-    books = table(spark, d, "books").select("book_id", "source_sha256").distinct()
-    last = F.right("book_id", F.lit(1)).cast("int")
-    return J.source_unchanged(books, books.select("book_id", F.when(last % 4 == 0, F.lit("changed")).otherwise(F.col("source_sha256")).alias("sha256")))
+    """Books whose source is unchanged (R6); with one literal book whose source is the same and one whose source was changed."""
+    books = table(spark, d, "books").select("book_id", "source_sha256").union(spark.createDataFrame([("cases-same", "aa"), ("cases-changed", "bb")], "book_id STRING, source_sha256 STRING")).distinct()
+    return J.source_unchanged(books, books.select("book_id", F.when(F.col("book_id") == "cases-changed", "cc").otherwise(F.col("source_sha256")).alias("sha256")))
+
+
+@query("with l as (select book_id, max(loaded_at) as last_opened from out_items group by 1) select book_id, strftime(last_opened, '%Y-%m-%d %H:%M:%S') as last_opened, row_number() over (order by last_opened desc, book_id) as place from (select distinct book_id from books) join l using (book_id)")
+def recent_books(spark: SparkSession, d: str) -> DataFrame:
+    """Books, the last opened first (T8); the time their items were loaded stands for that of opening."""
+    opened = table(spark, d, "out_items").groupBy("book_id").agg(F.max("loaded_at").alias("last_opened"))
+    return J.recent(table(spark, d, "books").select("book_id").distinct().join(opened, "book_id")).select("book_id", F.date_format("last_opened", "yyyy-MM-dd HH:mm:ss").alias("last_opened"), "place")
 
 
 @query("select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type, count(*) as n, round(sum(value), 4) as value from events group by all")

@@ -17,7 +17,7 @@ BODY = "body as (select book_id, arg_max(s, (n, -s)) as body from (select book_i
 _BULLET = r"^[\t-\r ]*(?:[•●▪■◦·‣○]|[-–—*][\t-\r ])"
 _NUMBERED = r"^[\t-\r ]*[0-9]{1,2}[.)][\t-\r ]+[^\t-\r ]"
 _CAPTION = r"^[\t-\r ]*(Figure|Fig\.|Table)[\t-\r ]+([0-9]{1,4})(?:[.\-]([0-9]{1,3}))?(?:[^0-9A-Za-z_]|$)"
-STYLES = f"""styles as (select book_id, page, block_seq, s as size, upper(t) = t and lower(t) <> t as caps, big from (select *, s >= body * 1.12 as big from
+STYLES = f"""styles as (select book_id, page, block_seq, s as size, upper(t) = t and lower(t) <> t as caps, big, case when big then 0.92::double else 0.8::double end as confidence from (select *, s >= body * 1.12 as big from
   (select *, trim(replace(text, chr(10), ' ')) as t, round_even(size * 2, 0) / 2 as s from b join body using (book_id)))
   where n_lines <= 3 and length(t) between 1 and 160 and not regexp_matches(t, '{_BULLET}') and not (all_italic and not all_bold) and (big or (all_bold and s >= body * 0.98))
   and not regexp_matches(t, '[,;]$') and (big or not regexp_matches(t, '[.]$')) and not regexp_matches(t, '{_CAPTION}') and not regexp_matches(t, '{_NUMBERED}') and (big or (n_lines <= 2 and length(t) <= 100)))"""
@@ -86,7 +86,7 @@ def body_font_size(spark: SparkSession, d: str) -> DataFrame:
 
 @query("select book_id, page, list_sort(list(size))[len(list(size)) // 2 + 1] as median from (select book_id, page, unnest(list_transform(spans, lambda s: s.size)) as size from (select distinct book_id, page, block_seq, line_no, spans from page_lines where spans is not null)) group by all")
 def page_median_size(spark: SparkSession, d: str) -> DataFrame:
-    """Upper median of the span sizes of each page."""
+    """Upper median of the span sizes of each page."""
     return Y.page_median_size(_lines(spark, d))
 
 
@@ -131,7 +131,7 @@ def heading_levels(spark: SparkSession, d: str) -> DataFrame:
     select g.book_id, g.page, g.cap as caption_seq, g.fragments, coalesce(labels, '') as labels from g left join lab using (book_id, page, cap) where labels is not null or fragments >= 3"""
 )
 def composite_figures(spark: SparkSession, d: str) -> DataFrame:
-    """Figures made of fragments and labels (J12, T7): captions of the pages, with the text blocks around them as fragments and labels."""
+    """Figures made of fragments and labels, by the size of most characters of the page (A3, J12, T7): captions of the pages, with the text blocks around them as fragments and labels."""
     b = Y.blocks_of(_lines(spark, d)).select("book_id", "page", F.col("block_seq").alias("seq"), "text", "x0", "y0", "x1", "y1", "size")
     kind = F.when(F.col("text").rlike("^(Figure|Fig\\.) [0-9]"), "caption").when(F.length("text") > 200, "fragment").otherwise("text")
     b = b.withColumn("kind", kind)

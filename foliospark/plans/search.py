@@ -144,7 +144,7 @@ _CASE_ITEMS = [
 ]
 _CASE_SQL = " union all ".join(f"select 'cases', 0, {o}, '{k}', '{md}', 1, 0.0, 0.0, 0.0, 0.0, 'x', null, null, 1.0, case when '{k}' = 'heading' then 2 end, '{sid}'" for o, k, md, sid in _CASE_ITEMS)
 _CASE_PATHS = PATHS.replace("from out_items)", f"from out_items union all {_CASE_SQL} union all select 'cases', 7, 1, 'paragraph', 'A nephrosis without heading', 1, 0.0, 0.0, 0.0, 0.0, 'x', null, null, 1.0, null, 'c-7')", 1)
-_TERMS = f"""{_CASE_PATHS}, {CURRENT.replace("from chapters where number is not null", "from (select book_id, number, title, start_page, end_page, confidence, source, added_at from chapters union all select 'cases', 7, 'Kidneys', 1, 1, 1.0, 'manual', null) where number is not null")},
+_TERMS = f"""{_CASE_PATHS}, {CURRENT.replace("from chapters where number is not null", "from (select book_id, number, title, start_page, end_page, confidence, source, added_at from chapters union all select 'cases', 7, 'Kidneys', 1, 1, 1.0, 'manual', timestamp '2020-01-01') where number is not null")},
 txt as (select i.book_id, i.chapter, coalesce(c.title, '') as chapter_title, coalesce(i.section_id, '') as section_id, coalesce(path[-1], c.title, '') as heading, case when i.kind = 'heading' then regexp_extract(md, '^#{{1,6}} ([^\\n]*)', 1) end as own, {_clean('md')} as text
   from items i join paths using (book_id, chapter, ord) left join cur c on c.book_id = i.book_id and c.chapter = i.chapter where md is not null),
 terms as (select distinct * from (
@@ -159,7 +159,7 @@ def _terms(spark: SparkSession, d: str) -> DataFrame:
     items, chapters = S.ordered_items(table(spark, d, "out_items")), table(spark, d, "chapters")
     rows = [("cases", 0, o, k, md, 2 if k == "heading" else None, sid) for o, k, md, sid in _CASE_ITEMS] + [("cases", 7, 1, "paragraph", "A nephrosis without heading", None, "c-7")]
     cases = spark.createDataFrame(rows, "book_id STRING, chapter INT, ord INT, kind STRING, md STRING, level INT, section_id STRING")
-    title = spark.createDataFrame([("cases", 7, "Kidneys")], "book_id STRING, number INT, title STRING")
+    title = spark.createDataFrame([("cases", 7, "Kidneys")], "book_id STRING, number INT, title STRING").withColumn("added_at", F.lit("2020-01-01").cast("timestamp_ntz"))
     return V.index_terms(V.index_places(items.unionByName(cases, allowMissingColumns=True), chapters.unionByName(title, allowMissingColumns=True)))
 
 

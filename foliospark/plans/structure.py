@@ -66,18 +66,21 @@ def list_groups(spark: SparkSession, d: str) -> DataFrame:
     return S.list_groups(_pages(spark, d))
 
 
+_MERGES = [(1, "paragraph", "A sentence that goes on"), (2, "paragraph", "in the next item and"), (3, "paragraph", "in a third one."), (4, "paragraph", "ends here."), (5, "list", "no end"), (6, "paragraph", "not after a list"), (7, "paragraph", "Äpfel und"), (8, "paragraph", "ähnliches")]
+_MERGE_SQL = ", ".join(f"('cases', 1, {o}, '{k}', '{t}')" for o, k, t in _MERGES)
+
+
 @query(
-    rf"""with items0 as (select distinct book_id, chapter, ord, kind, md, page, x0, y0, x1, y1, block_id, raw, cleaned, confidence, level, section_id from out_items),
-    items as (select * replace (case when ord % 3 = 0 then regexp_replace(md, '[.]$', '') when ord % 3 = 1 then lower(left(md, 1)) || substr(md, 2) else md end as md) from items0),
+    rf"""with items as (select book_id, chapter, ord, kind, md from (select distinct book_id, chapter, ord, kind, md, page, x0, y0, x1, y1, block_id, raw, cleaned, confidence, level, section_id from out_items) union all select * from (values {_MERGE_SQL})),
     w as (select *, lag(kind) over o as pk, lag(md) over o as pm from items window o as (partition by book_id, chapter order by ord)),
     f as (select *, coalesce(kind = 'paragraph' and pk = 'paragraph' and regexp_matches(md, '^[a-zà-öø-ÿ]') and not contains(md, chr(10)) and not contains(pm, chr(10)) and not regexp_matches(rtrim(pm), '[.!?:;)\]"''”’]$'), false) as goes_on from w),
     g as (select *, sum(case when goes_on then 0 else 1 end) over (partition by book_id, chapter order by ord) as island from f)
     select book_id, chapter, min(ord) as first_ord, count(*) as n, string_agg(ord::varchar, '|' order by ord) as ords from g group by book_id, chapter, island having count(*) > 1"""
 )
 def paragraph_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Paragraphs that go on in the next item (W11). The tables hold none, so every third one loses its full stop and the next begins in lower case."""
-    md = F.when(F.col("ord") % 3 == 0, F.regexp_replace("md", "[.]$", "")).when(F.col("ord") % 3 == 1, F.concat(F.lower(F.left("md", F.lit(1))), F.substr("md", F.lit(2)))).otherwise(F.col("md"))
-    return joined(S.paragraph_merge(_items(spark, d).withColumn("md", md)), "ords")
+    """Paragraphs that go on in the next item (W11); with some literal items, since the tables hold none."""
+    cases = spark.createDataFrame([("cases", 1, *x) for x in _MERGES], "book_id STRING, chapter INT, ord INT, kind STRING, md STRING")
+    return joined(S.paragraph_merge(_items(spark, d).select(*cases.columns).union(cases)), "ords")
 
 
 _CALLOUT = S.CALLOUT.replace("'", "''")
@@ -147,36 +150,40 @@ def reference_entries(spark: SparkSession, d: str) -> DataFrame:
 _XREF = S.CROSS_REFERENCE
 XREFS = rf"""{ITEMS}, xr as (select book_id, chapter, ord, page, unnest(regexp_extract_all(md, '{_XREF}', 1)) as text, unnest(regexp_extract_all(md, '{_XREF}', 2)) as kind, unnest(regexp_extract_all(md, '{_XREF}', 3))::int as target_chapter,
   nullif(unnest(regexp_extract_all(md, '{_XREF}', 4)), '')::int as target_no from items where kind in ('paragraph', 'list', 'callout', 'caption') and md is not null),
-{CURRENT}, conv as (select book_id, chapter, 'ch_' || lpad(chapter::varchar, 3, '0') || '.md' as file from cur where chapter % 3 <> 0),
+{CURRENT}, conv as (select book_id, chapter, 'ch_' || lpad(chapter::varchar, 3, '0') || '.md' as file from cur),
 resolved as (select x.*, case when c.file is not null then '[' || x.text || '](' || c.file || case when x.target_no is null or x.kind not in ('Table', 'Fig.', 'Figure') then '' else '#' || case when x.kind = 'Table' then 'table' else 'figure' end || '-' || x.target_chapter || '-' || x.target_no end || ')' end as link
   from xr x left join conv c on c.book_id = x.book_id and c.chapter = x.target_chapter and not (x.target_chapter = x.chapter and x.kind like 'Chap%') where not (x.target_chapter = x.chapter and x.kind not like 'Chap%'))"""
 
 
 def _resolved(spark: SparkSession, d: str) -> DataFrame:
-    cur = current_chapters(table(spark, d, "chapters")).where("chapter % 3 <> 0")
+    cur = current_chapters(table(spark, d, "chapters"))
     conv = cur.select("book_id", "chapter", F.concat(F.lit("ch_"), F.lpad(F.col("chapter").cast("string"), 3, "0"), F.lit(".md")).alias("file"))
     return S.resolve(S.cross_references(_items(spark, d)), conv)
 
 
 @query(f"with {XREFS} select * from resolved where link is not null")
 def xref_resolve(spark: SparkSession, d: str) -> DataFrame:
-    """Cross-references as links to converted chapters (J7); every third chapter counts as not converted."""
+    """Cross-references as links to the chapters of the book."""
     return _resolved(spark, d).where("link is not null")
 
 
 @query(f"with {XREFS} select book_id, chapter as from_chapter, target_chapter, kind, count(*) as n, min(page) as first_page from resolved where link is null group by all")
 def xref_unresolved(spark: SparkSession, d: str) -> DataFrame:
-    """Cross-references to chapters that aren't converted."""
+    """Cross-references to chapters that the book doesn't have."""
     rows = _resolved(spark, d).where("link is null")
     return rows.groupBy("book_id", F.col("chapter").alias("from_chapter"), "target_chapter", "kind").agg(F.count("*").alias("n"), F.min("page").alias("first_page"))
 
 
-@query(f"with {XREFS} select r.book_id, r.chapter, r.ord, r.text, r.target_chapter, 'ch_' || lpad(c.chapter::varchar, 3, '0') || '.md' as file from resolved r join cur c on c.book_id = r.book_id and c.chapter = r.target_chapter where r.link is null and r.chapter <> r.target_chapter")
+@query(
+    f"""with {ITEMS}, xr as (select book_id, chapter, ord, unnest(regexp_extract_all(md, '{_XREF}', 1)) as text, unnest(regexp_extract_all(md, '{_XREF}', 3))::int as target_chapter from items where kind in ('paragraph', 'list', 'callout', 'caption') and md is not null),
+    wr as (select book_id, chapter, ord, min(written_at) as written_at from out_items group by all), c as (select book_id, number as target_chapter, min(added_at) as added_at from chapters where number is not null group by all)
+    select x.book_id, x.chapter, x.ord, x.text, x.target_chapter, 'ch_' || lpad(x.target_chapter::varchar, 3, '0') || '.md' as file from xr x join wr using (book_id, chapter, ord) join c using (book_id, target_chapter) where x.chapter <> x.target_chapter and c.added_at > wr.written_at"""
+)
 def xref_relink(spark: SparkSession, d: str) -> DataFrame:
-    """Cross-references that find their chapter once all are converted."""
-    c = current_chapters(table(spark, d, "chapters")).select("book_id", F.col("chapter").alias("target_chapter"), F.concat(F.lit("ch_"), F.lpad(F.col("chapter").cast("string"), 3, "0"), F.lit(".md")).alias("file"))
-    rows = _resolved(spark, d).where("link is null and chapter <> target_chapter")
-    return rows.join(c, ["book_id", "target_chapter"]).select("book_id", "chapter", "ord", "text", "target_chapter", "file")
+    """Cross-references to chapters that came after the item was written, and find them now."""
+    at = table(spark, d, "out_items").groupBy("book_id", "chapter", "ord").agg(F.min("written_at").alias("written_at"))
+    added = table(spark, d, "chapters").where("number is not null").groupBy("book_id", F.col("number").alias("target_chapter")).agg(F.min("added_at").alias("added_at"))
+    return S.relinked(S.cross_references(_items(spark, d)), at, added).select("book_id", "chapter", "ord", "text", "target_chapter", "file")
 
 
 _NEAR = """nb as (select *, lead(ord, 1) over w as o1, lead(ord, 2) over w as o2, lead(ord, 3) over w as o3, lag(ord, 1) over w as b1, lag(ord, 2) over w as b2 from mi window w as (partition by book_id, chapter order by ord)),
@@ -243,8 +250,8 @@ def table_boxes(spark: SparkSession, d: str) -> DataFrame:
     return S.equal_boxes(_items(spark, d), table(spark, d, "blocks"))
 
 
-@query("select md5(raw) as hash, count(*) as n, arg_min(block_id, (book_id, page, ord)) as kept from (select distinct book_id, block_id, page, ord, raw from out_items where kind = 'callout' and raw is not null) group by 1 having count(*) >= 1")
+@query("select md5(raw) as hash, count(*) as n, arg_min(block_id, (book_id, page, ord)) as kept from (select distinct book_id, block_id, page, ord, raw from out_items where raw is not null) group by 1 having count(*) > 1")
 def figure_dedup(spark: SparkSession, d: str) -> DataFrame:
-    """Contents met more than once; the first stays (W21). The hash of a callout's text stands for that of a picture."""
-    items = table(spark, d, "out_items").where("kind = 'callout' and raw is not null").select("book_id", "block_id", "page", "ord", "raw").distinct()
-    return items.groupBy(F.md5("raw").alias("hash")).agg(F.count("*").alias("n"), F.min_by("block_id", F.struct("book_id", "page", "ord")).alias("kept"))
+    """Contents met more than once; the first stays (W21). The hash of an item's text stands for that of a picture."""
+    items = table(spark, d, "out_items").where("raw is not null").select("book_id", "block_id", "page", "ord", "raw").distinct()
+    return items.groupBy(F.md5("raw").alias("hash")).agg(F.count("*").alias("n"), F.min_by("block_id", F.struct("book_id", "page", "ord")).alias("kept")).where("n > 1")

@@ -235,21 +235,21 @@ def top_repairs(spark: SparkSession, d: str) -> DataFrame:
     r"""select book_id, block_id, regexp_replace('<!-- source_page: ' || page || ' -->' || chr(10) || md, '<!--[\t-\r ]*source_page:[\t-\r ]*([0-9]+)[\t-\r ]*-->', '> **[Trang gốc: \1]**', 'g') as source_view,
     regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(md, '(?m)^> \*\*KEY (POINTS?)\*\*', '> [!key] KEY \1', 'g'), '(?m)^> \*\*CLINICAL (PEARLS?)\*\*', '> [!clinical] CLINICAL \1', 'g'),
       '(?m)^> \*\*IMPORTANT\*\*', '> [!important] IMPORTANT', 'g'), '(?m)^> \*\*SUMMARY\*\*', '> [!summary] SUMMARY', 'g'), '(?m)^> \*\*CONTROVERSIES\*\*', '> [!controversies] CONTROVERSIES', 'g'), '(?m)^> \*\*WARNING\*\*', '> [!warning] WARNING', 'g'), '(?m)^> \*\*NOTE\*\*', '> [!note] NOTE', 'g') as note_view
-    from (select distinct book_id, block_id, page, md from out_items where kind = 'callout')"""
+    from (select distinct book_id, block_id, page, md from out_items)"""
 )
 def view_modes(spark: SparkSession, d: str) -> DataFrame:
-    """Callouts as the source view and the note view show them."""
-    items = table(spark, d, "out_items").where("kind = 'callout'").select("book_id", "block_id", "page", "md").distinct()
+    """Items as the source view and the note view show them."""
+    items = table(spark, d, "out_items").select("book_id", "block_id", "page", "md").distinct()
     marked = F.concat(F.format_string("<!-- source_page: %d -->\n", "page"), "md")
     return items.select("book_id", "block_id", T.view_mode(marked, "source").alias("source_view"), T.view_mode(F.col("md"), "obsidian").alias("note_view"))
 
 
 @query(
     f"""select book_id, block_id, {_strip("regexp_replace(regexp_replace(md, '(?s)<!--.*?-->', '', 'g'), '<a id=\"[^\"]*\"></a>', '', 'g')")} as clean,
-    regexp_replace(md, '<[^>]+>|\\|', ' ', 'g') as words, '"' || replace(replace(md, '\\', '\\\\'), '"', '\\"') || '"' as quoted from (select distinct book_id, block_id, md from out_items where kind in ('heading', 'reference', 'table'))"""
+    regexp_replace(md, '<[^>]+>|\\|', ' ', 'g') as words, '"' || replace(replace(md, '\\', '\\\\'), '"', '\\"') || '"' as quoted from (select distinct book_id, block_id, md from out_items)"""
 )
 def retrieval_text(spark: SparkSession, d: str) -> DataFrame:
     """Markdown as retrieval, table search and front matter take it."""
-    items = table(spark, d, "out_items").where("kind in ('heading', 'reference', 'table')").select("book_id", "block_id", "md").distinct()
+    items = table(spark, d, "out_items").select("book_id", "block_id", "md").distinct()
     md = F.col("md")
     return items.select("book_id", "block_id", T.for_retrieval(md).alias("clean"), T.table_words(md).alias("words"), T.yaml_quoted(md).alias("quoted"))

@@ -25,14 +25,19 @@ class LayoutReader(DataSourceReader):
     without text, so that a bad page is seen and doesn't stop the others."""
 
     def __init__(self, options: dict[str, str]):
-        self.folder = options["path"]
+        self.folder, self.per_task = options["path"], int(options.get("filesPerTask", "256"))
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(os.path.join(self.folder, f)) for f in sorted(os.listdir(self.folder)) if f.endswith(".json")]
+        files = [os.path.join(self.folder, f) for f in sorted(os.listdir(self.folder)) if f.endswith(".json")]
+        return [InputPartition(files[i : i + self.per_task]) for i in range(0, len(files), self.per_task)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
+        for file in partition.value:
+            yield from self._page(file)
+
+    def _page(self, file: str) -> Iterator[tuple]:
         try:
-            with open(partition.value, encoding="utf-8") as f:
+            with open(file, encoding="utf-8") as f:
                 page = json.load(f)
             for b, block in enumerate(page["blocks"], 1):
                 for n, line in enumerate(block["lines"], 1):
@@ -40,11 +45,12 @@ class LayoutReader(DataSourceReader):
                     solid = [s for s in spans if s["text"].strip()]
                     yield (page["book_id"], int(page["page"]), b, n, "".join(s["text"] for s in spans), *map(float, line["bbox"]), max((s["size"] for s in solid), default=0.0), bool(solid) and all(s["bold"] for s in solid), bool(solid) and all(s["italic"] for s in solid), spans)
         except (OSError, ValueError, KeyError, TypeError):
-            yield (os.path.basename(partition.value), None, None, None, None, None, None, None, None, None, None, None, None)
+            yield (os.path.basename(file), None, None, None, None, None, None, None, None, None, None, None, None)
 
 
 class LayoutSource(DataSource):
-    """``spark.read.format("book_layout").load(folder)``: page lines out of layout files. A decoder of page images or print files writes them."""
+    """``spark.read.format("book_layout").load(folder)``: page lines out of layout files on a local or mounted disk. A decoder of page images or print files
+    writes them. ``read_layout`` reads from any file system that Spark knows."""
 
     @classmethod
     def name(cls) -> str:
@@ -57,6 +63,35 @@ class LayoutSource(DataSource):
         return LayoutReader(self.options)
 
 
+PAGE = "book_id STRING, page INT, blocks ARRAY<STRUCT<lines: ARRAY<STRUCT<bbox: ARRAY<DOUBLE>, spans: ARRAY<STRUCT<text: STRING, size: DOUBLE, bold: BOOLEAN, italic: BOOLEAN, sup: BOOLEAN, sub: BOOLEAN>>>>>>"
+
+
+def read_layout(spark: SparkSession, folder: str) -> DataFrame:
+    """Page lines out of layout files, with the columns of ``LINES``: Spark lists the files and puts many of them into a task. A file that can't be read gives
+    one line without text, named after it."""
+    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json").withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    pages = files.withColumn("p", F.from_json("value", PAGE))
+    good = F.col("p.book_id").isNotNull() & F.col("p.page").isNotNull() & F.col("p.blocks").isNotNull()
+    blocks = pages.where(good).select("p.book_id", "p.page", F.posexplode("p.blocks").alias("b", "block"))
+    lines = blocks.select("book_id", "page", (F.col("b") + 1).alias("block_seq"), F.posexplode("block.lines").alias("n", "line"))
+    spans = F.transform("line.spans", lambda s: F.struct(s["text"].alias("text"), s["size"].alias("size"), *(F.coalesce(s[k], F.lit(False)).alias(k) for k in ("bold", "italic", "sup", "sub"))))
+    lines = lines.select("book_id", "page", "block_seq", (F.col("n") + 1).alias("line_no"), F.col("line.bbox").alias("box"), spans.alias("spans"))
+    solid = F.filter("spans", lambda s: F.btrim(s["text"]) != "")
+    styled = [((F.size(solid) > 0) & (F.size(F.filter(solid, lambda s: s["bold"])) == F.size(solid))).alias("bold"), ((F.size(solid) > 0) & (F.size(F.filter(solid, lambda s: s["italic"])) == F.size(solid))).alias("italic")]
+    rows = lines.select(
+        "book_id", "page", "block_seq", "line_no", F.array_join(F.transform("spans", lambda s: s["text"]), "").alias("text"), *(F.get("box", F.lit(i)).alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))),
+        F.coalesce(F.array_max(F.transform(solid, lambda s: s["size"])), F.lit(0.0)).alias("size"), *styled, "spans",
+    )
+    bad = pages.where(~F.coalesce(good, F.lit(False))).select(F.col("file").alias("book_id"))
+    return rows.unionByName(bad, allowMissingColumns=True)
+
+
+def write_tables(tables: DataFrame, small: str, large: str) -> None:
+    """Analysed tables (book_id, block_id, large, markdown): those of more than 40 rows go to files of their own, a folder for each book."""
+    for big, path in ((False, small), (True, large)):
+        tables.where(F.col("large") == F.lit(big)).select("book_id", "block_id", "markdown").repartition("book_id").sortWithinPartitions("book_id", "block_id").write.mode("overwrite").partitionBy("book_id").json(path)
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(LayoutSource)
 

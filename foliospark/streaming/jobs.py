@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from foliospark.session import ensure_checkpoint_dir
+
 # What each kind of event does to a job.
 COMMANDS = {"signup": "submit", "view": "start", "click": "pause", "purchase": "finish", "error": "cancel"}
 #: state and command -> state; other commands change nothing. A paused job starts again; a finished or cancelled one only by a new submit.
@@ -60,6 +62,18 @@ def source_unchanged(books: DataFrame, found: DataFrame) -> DataFrame:
     return books.join(found.select("book_id", F.col("sha256").alias("__found")), "book_id").where(F.col("source_sha256") == F.col("__found")).drop("__found")
 
 
+def recent(books: DataFrame) -> DataFrame:
+    """``books`` (book_id, last_opened) with ``place``, the last opened first. One row a book; the list of books is what is asked for, so it is ranked as a whole,
+    by range partitions: the number within a range, and the books of the ranges before."""
+    ensure_checkpoint_dir(books.sparkSession)
+    parts = books.repartitionByRange(F.desc("last_opened"), F.col("book_id")).withColumn("part", F.spark_partition_id()).checkpoint()
+    sizes = parts.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy(F.desc("last_opened"), "book_id"))
+    return parts.withColumn("within", within).join(F.broadcast(sizes), "part").withColumn("place", F.col("before") + F.col("within")).drop("part", "before", "within")
+
+
 def read_events(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int = 8) -> DataFrame:
     """A folder of event files as a stream. Times without a zone count as the session's."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
