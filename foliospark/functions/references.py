@@ -16,23 +16,24 @@ RANGE = r"^([0-9]+)[-‐‑–—−]([0-9]+)$"
 CHAPTER = r"(?:^|[^A-Za-z])(?:Chapters?|Chap\.)[     ]*([0-9]{1,9})"
 NUMBERED = r"(?:^|[^A-Za-z])(?:Tables?|Figures?|Figs?\.)[     ]*([0-9]{1,9})\.[0-9]"
 
-#: Of a range of more numbers, ``cited_numbers`` has only the two ends: it's one array.
-LONGEST_RANGE = 10_000
 #: So many numbers of a range are made at once.
 CHUNK = 32_768
 
 
 def prose(md: Column) -> Column:
-    """Markdown without code, formulas and link targets; link labels stay."""
-    for pattern, by in ((FENCED, " "), (CODE, " "), (DISPLAY, " "), (FORMULA, " "), (LINK_TARGET, "]")):
-        md = F.regexp_replace(md, pattern, by)
+    """Markdown without code, formulas and link targets; link labels stay. A text is searched only for what its marks say it may hold."""
+    for mark, patterns, by in (("`", (FENCED, CODE), " "), ("$", (DISPLAY, FORMULA), " "), ("](", (LINK_TARGET,), "]")):
+        plain = md
+        for pattern in patterns:
+            plain = F.regexp_replace(plain, pattern, by)
+        md = F.when(F.contains(md, F.lit(mark)), plain).otherwise(md)
     return md
 
 
 def cited_ranges(text: Column) -> Column:
     """What is cited in square brackets: array of (lo, hi), repeated ones once. A number alone is a range of one; the two ends of a range that
     goes down are two numbers."""
-    groups = F.regexp_extract_all(text, F.lit(CITATION), F.lit(1))
+    groups = F.when(F.contains(text, F.lit("[")), F.regexp_extract_all(text, F.lit(CITATION), F.lit(1))).when(text.isNotNull(), F.array().cast("array<string>"))
     parts = F.flatten(F.transform(groups, lambda g: F.split(F.regexp_replace(g, "[  ]", ""), "[,;]")))
 
     def pair(lo: Column, hi: Column) -> Column:
@@ -51,17 +52,6 @@ def cited_ranges(text: Column) -> Column:
     return F.array_distinct(F.filter(F.flatten(F.transform(parts, bounds)), lambda r: r["lo"].isNotNull()))
 
 
-def cited_numbers(text: Column) -> Column:
-    """Numbers cited in square brackets, alone, in lists and in ranges: array of int, repeated ones once. Of a range of more than
-    LONGEST_RANGE only the ends; ``cited_ranges`` and ``explode_range`` give all."""
-
-    def expand(r: Column) -> Column:
-        lo, hi = r["lo"], r["hi"]
-        return F.when(hi - lo < LONGEST_RANGE, F.sequence(lo, F.least(hi, lo + LONGEST_RANGE))).otherwise(F.array(lo, hi))
-
-    return F.array_distinct(F.flatten(F.transform(cited_ranges(text), expand)))
-
-
 def explode_range(df: DataFrame, lo: str, hi: str, no: str) -> DataFrame:
     """A row for each number of each row's range, as ``no`` in place of ``lo`` and ``hi``; no array is longer than a chunk, however wide the
     range."""
@@ -71,5 +61,8 @@ def explode_range(df: DataFrame, lo: str, hi: str, no: str) -> DataFrame:
 
 def chapter_numbers(text: Column) -> Column:
     """Chapter numbers named by Chapter N, Table N.M and Figure N.M: array of int, repeated ones once."""
-    found = F.concat(*(F.regexp_extract_all(text, F.lit(p), F.lit(1)) for p in (CHAPTER, NUMBERED)))
+    none = F.array().cast("array<string>")
+    named = F.when(F.contains(text, F.lit("Chap")), F.regexp_extract_all(text, F.lit(CHAPTER), F.lit(1))).otherwise(none)
+    numbered = F.when(F.contains(text, F.lit("Table")) | F.contains(text, F.lit("Fig")), F.regexp_extract_all(text, F.lit(NUMBERED), F.lit(1))).otherwise(none)
+    found = F.when(text.isNotNull(), F.concat(named, numbered))
     return F.array_distinct(F.filter(F.transform(found, lambda x: x.try_cast("int")), lambda x: x.isNotNull()))

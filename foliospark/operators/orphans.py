@@ -1,8 +1,9 @@
 """References to records that do not exist (problem 6).
 
-Method: the distinct non-null foreign keys are anti-joined with the keys of the parent table, valid at the time of the reference, and the
-orphans are joined back to the references for counts per table and period. Every join has an equality on the whole key, so it's hashed or
-sorted by key whatever the size of a book; the validity interval is a residual condition.
+Method: the distinct non-null foreign keys are anti-joined with the keys of the parent table, and joined back to the references for the orphans
+and their counts per table and period. A key of the parents holds for a time; the few times of each key that is met are joined back with it,
+so a reference is an orphan if its key is absent or doesn't hold at the time of the reference. Every join has an equality on the whole key,
+so it's hashed or sorted by key whatever the size of a book.
 """
 
 from __future__ import annotations
@@ -11,18 +12,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliospark.functions.references import chapter_numbers, cited_ranges, explode_range, prose
+from foliospark.session import ensure_checkpoint_dir
 
 
-def orphans(refs: DataFrame, parents: DataFrame, keys: list[str], at: str = "at", since: str = "added_at", until: str = "removed_at") -> DataFrame:
-    """The rows of ``refs`` for whose key no row of ``parents`` holds at the time ``at``: from ``since`` on, before ``until`` (null: still).
+def resolved(refs: DataFrame, parents: DataFrame, keys: list[str], at: str = "at", since: str = "added_at", until: str = "removed_at") -> DataFrame:
+    """The rows of ``refs`` with ``orphan``: no row of ``parents`` holds for their key at the time ``at``: from ``since`` on, before ``until`` (null: still).
+
+    References with a null in their key or time refer to nothing and are left out. Repeated rows of either side count once. ``refs`` is
+    materialised, since its keys are asked for before its rows."""
+    ensure_checkpoint_dir(refs.sparkSession)
+    refs = refs.dropna(subset=[*keys, at]).distinct().checkpoint()
+    wanted = refs.select(*keys).distinct()
+    known = parents.dropna(subset=[*keys, since]).join(wanted, keys, "left_semi").groupBy(*keys).agg(F.collect_set(F.struct(F.col(since).alias("since"), F.col(until).alias("until"))).alias("__times"))
+    absent = wanted.join(known, keys, "left_anti").withColumn("__times", F.lit(None).cast(known.schema["__times"].dataType))
+    holds = F.exists("__times", lambda t: (t["since"] <= F.col(at)) & (t["until"].isNull() | (F.col(at) < t["until"])))
+    return refs.join(absent.unionByName(known), keys).withColumn("orphan", F.col("__times").isNull() | ~holds).drop("__times")
 
-    References with a null in their key or time refer to nothing and are never orphans. Repeated rows of either side count once.
-    """
-    refs = refs.dropna(subset=[*keys, at]).distinct()
-    p = parents.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col(since).alias("__since"), F.col(until).alias("__until")).distinct()
-    on = [F.col(k) == F.col(f"__{k}") for k in keys]
-    holds = (F.col("__since") <= F.col(at)) & (F.col("__until").isNull() | (F.col(at) < F.col("__until")))
-    return refs.join(p, [*on, holds], "left_anti")
+
+def orphans(refs: DataFrame, parents: DataFrame, keys: list[str], at: str = "at", since: str = "added_at", until: str = "removed_at") -> DataFrame:
+    """The rows of ``refs`` that are orphans, as ``resolved`` has it."""
+    return resolved(refs, parents, keys, at, since, until).where("orphan").drop("orphan")
 
 
 def item_references(out_items: DataFrame) -> DataFrame:
@@ -57,9 +66,6 @@ def found(out_items: DataFrame, chapter_refs: DataFrame, chapters: DataFrame) ->
 def report(out_items: DataFrame, chapter_refs: DataFrame, chapters: DataFrame) -> DataFrame:
     """(target_table, month, n_refs, n_orphans, orphan_share): references and orphans by target table and month of writing. Tables and
     months without references have no row."""
-    refs = item_references(out_items).dropna(subset=[*_KEYS, "at"])
-    by = ["target_table", F.date_format("at", "yyyy-MM").alias("month")]
-    lost = orphans(refs, parent_keys(chapter_refs, chapters), _KEYS).groupBy(*by).agg(F.count("*").alias("n_orphans"))
-    total = refs.groupBy(*by).agg(F.count("*").alias("n_refs"))
-    n = F.coalesce("n_orphans", F.lit(0))
-    return total.join(lost, ["target_table", "month"], "left").select("target_table", "month", "n_refs", n.alias("n_orphans"), F.round(n / F.col("n_refs"), 6).alias("orphan_share"))
+    rows = resolved(item_references(out_items), parent_keys(chapter_refs, chapters), _KEYS)
+    counts = rows.groupBy("target_table", F.date_format("at", "yyyy-MM").alias("month")).agg(F.count("*").alias("n_refs"), F.count_if("orphan").alias("n_orphans"))
+    return counts.withColumn("orphan_share", F.round(F.col("n_orphans") / F.col("n_refs"), 6))

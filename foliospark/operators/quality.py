@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliospark.functions.references import cited_numbers, prose
+from foliospark.functions.references import cited_ranges, explode_range, prose
 from foliospark.functions.text import doses, number_tokens, word_tokens
 
 CHAPTER = ["book_id", "chapter"]
@@ -87,7 +87,8 @@ def reconcile_split_words(diff: DataFrame) -> DataFrame:
 def citation_check(out_items: DataFrame) -> DataFrame:
     """(book_id, chapter, code, n): cited numbers without an entry, entries never cited if more than half, citations without any list."""
     items = outputs(out_items)
-    cited = items.where("kind <> 'reference'").select(*CHAPTER, F.explode(cited_numbers(prose(F.col("text")))).alias("no")).distinct()
+    cited = items.where("kind <> 'reference'").select(*CHAPTER, F.explode(cited_ranges(prose(F.col("text")))).alias("r")).select(*CHAPTER, "r.lo", "r.hi").distinct()
+    cited = explode_range(cited, "lo", "hi", "no").distinct()
     entries = items.where("kind = 'reference'").select(*CHAPTER, F.explode(F.regexp_extract_all("text", F.lit(r'<a id="ref-([0-9]+)">'), F.lit(1))).alias("no")).select(*CHAPTER, F.col("no").cast("int").alias("no")).distinct()
     n = entries.groupBy(*CHAPTER).agg(F.count("*").alias("entries"))
     missing = cited.join(entries, [*CHAPTER, "no"], "left_anti").groupBy(*CHAPTER).agg(F.count("*").alias("n")).join(n, CHAPTER, "left")

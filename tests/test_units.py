@@ -76,11 +76,19 @@ def test_scalars(spark):
     assert [tuple(r) for r in row] == [(7, "The heart"), (12, "Lungs"), (None, "Skin")]
 
 
+def numbers(spark, text):
+    """The cited numbers of a text, in their order."""
+    df = spark.createDataFrame([(text,)], "x STRING").select(F.explode(R.cited_ranges(R.prose(F.col("x")))).alias("r")).select("r.lo", "r.hi")
+    return [r.no for r in R.explode_range(df, "lo", "hi", "no").collect()]
+
+
 def test_citations(spark):
-    assert one(spark, "[1], [2–3] and [5, 7-8] but `x[9]`, $a[10]$, [A] and [x](y[11])", lambda c: R.cited_numbers(R.prose(c))) == [1, 2, 3, 5, 7, 8]
-    assert one(spark, "[9-3] [1-999999999]", R.cited_numbers) == [9, 3, 1, 999999999]
+    assert numbers(spark, "[1], [2–3] and [5, 7-8] but `x[9]`, $a[10]$, [A] and [x](y[11])") == [1, 2, 3, 5, 7, 8]
+    assert numbers(spark, "[9-3] [1-20000]") == [9, 3, *range(1, 20001)]
+    assert numbers(spark, "```\n[4]\n``` [5] $$[6]$$ [7](a[8]) text") == [5, 7]
+    assert numbers(spark, None) == [] and numbers(spark, "no brackets") == []
     assert one(spark, "see [Chapter 4](c/09.md), Chap. 5, Table 6.1, Fig. 7.2, Figure 8", R.chapter_numbers) == [4, 5, 6, 7]
-    assert one(spark, None, R.cited_numbers) is None
+    assert one(spark, None, R.cited_ranges) is None and one(spark, None, R.chapter_numbers) is None
 
 
 def test_tables(spark):
