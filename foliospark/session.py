@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import zipfile
 
@@ -14,10 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder (``spark.checkpoint.dir``); a private folder only where none is named, as in tests."""
+    """Use the cluster's shared folder (``spark.checkpoint.dir``). Only a session whose tasks run in the driver's own process, as in tests, may do without:
+    it gets a private folder, which goes with the process. On a cluster a folder of one machine would lose what others write."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foliospark-ckpt-"))
+    if sc.getCheckpointDir() is not None:
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="foliospark-ckpt-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.setCheckpointDir(folder)
 
 
 def ship(spark: SparkSession) -> None:
@@ -37,5 +48,6 @@ def ship(spark: SparkSession) -> None:
     sc._foliospark_shipped = True
 
 
-#: Rows up to which a materialised relation of fixed-width rows may be broadcast (16 bytes a row: 16 MB).
+#: Rows up to which a materialised relation of narrow rows (a few numbers or a word, up to some 64 bytes) may be broadcast: 64 MB at most. It changes the
+#: plan only; beyond, the same join is a shuffle.
 BROADCAST_ROWS = 1_000_000

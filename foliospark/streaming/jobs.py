@@ -40,10 +40,21 @@ def latest(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.max_by(F.struct("event_id", "event_type", "ts"), F.struct("ts", "event_id")).alias("e")).select("user_id", "e.*")
 
 
-def states(events: DataFrame) -> DataFrame:
-    """(user_id, state, n): the state each job ends in: a fold of the moves over its events in order."""
-    rows = events.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", command(F.col("event_type")).alias("c")))).alias("e"))
-    return rows.select("user_id", F.aggregate("e", F.lit("none"), lambda s, e: move(s, e["c"])).alias("state"), F.size("e").alias("n"))
+#: Events of a job that are folded at once.
+RUN = 4096
+STATES = sorted({"none"} | {s for s, _ in MOVES} | set(MOVES.values()))
+
+
+def states(events: DataFrame, run: int = RUN) -> DataFrame:
+    """(user_id, state, n): the state each job ends in: a fold of the moves over its events in order. A long job is folded in runs: a run gives the state
+    it leads to from each state, and the runs are folded in their order, so that no task holds all events of a job."""
+    order = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    rows = events.select("user_id", "ts", "event_id", command(F.col("event_type")).alias("c")).withColumn("i", order).withColumn("run", F.floor((F.col("i") - 1) / run))
+    runs = rows.groupBy("user_id", "run").agg(F.array_sort(F.collect_list(F.struct("i", "c"))).alias("e"))
+    ends = F.create_map(*(x for s in STATES for x in (F.lit(s), F.aggregate("e", F.lit(s), lambda a, e: move(a, e["c"])))))
+    runs = runs.select("user_id", "run", ends.alias("to"), F.size("e").alias("n"))
+    jobs = runs.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("run", "n", F.map_entries("to").alias("to")))).alias("r"), F.sum("n").cast("int").alias("n"))
+    return jobs.select("user_id", F.aggregate("r", F.lit("none"), lambda s, x: F.element_at(F.filter(x["to"], lambda t: t["key"] == s), 1)["value"]).alias("state"), "n")
 
 
 def pending(all_work: DataFrame, done: DataFrame, key: list[str], force: bool = False) -> DataFrame:

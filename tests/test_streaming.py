@@ -37,3 +37,20 @@ def test_pending_and_status(spark):
     assert sorted(r.k for r in J.pending(work, done, ["k"]).collect()) == [1, 3] and J.pending(work, done, ["k"], force=True).count() == 3
     progress = spark.createDataFrame([(1, "PROCESSING"), (2, "PROCESSING"), (3, "FAILED")], "k INT, status STRING")
     assert {r.k: r.shown for r in J.display_status(progress, done, ["k"]).collect()} == {1: "PARTIAL", 2: "PROCESSING", 3: "FAILED"}
+
+
+def test_long_jobs_are_folded_in_runs(spark, data):
+    events = table(spark, data, "events")
+    one = {tuple(r) for r in J.states(events).collect()}
+    assert one and one == {tuple(r) for r in J.states(events, run=3).collect()} == {tuple(r) for r in J.states(events, run=1).collect()}
+    assert J.states(events.limit(0)).count() == 0
+
+
+def test_recent_books(spark):
+    from datetime import datetime
+
+    rows = [(f"b{i}", datetime(2024, 1, 1 + i % 7)) for i in range(40)]
+    got = [(r.place, r.book_id) for r in J.recent(spark.createDataFrame(rows, "book_id STRING, last_opened TIMESTAMP")).collect()]
+    want = sorted(rows, key=lambda x: x[0])
+    want.sort(key=lambda x: x[1], reverse=True)
+    assert sorted(got) == [(i, b) for i, (b, _) in enumerate(want, 1)]
