@@ -17,12 +17,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-# Letters of other scripts that look like a Latin letter, each behind the letter it looks like.
+# Letters of other scripts (Cyrillic, Greek, Armenian, Cherokee, phonetic) that look like a Latin letter, behind the letter they look like.
 LOOK_ALIKES = {
-    "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "H": "НΗ", "I": "ІΙӀ", "J": "ЈͿ", "K": "КΚ", "M": "МΜ", "N": "Ν", "O": "ОΟ", "P": "РΡ", "Q": "Ԛ",
-    "S": "Ѕ", "T": "ТΤ", "W": "Ԝ", "X": "ХΧ", "Y": "УΥҮ", "Z": "Ζ",
-    "a": "а", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡ", "h": "һ", "i": "і", "j": "јϳ", "l": "ӏ", "o": "оο", "p": "р", "q": "ԛ", "s": "ѕ", "v": "ν", "w": "ԝ",
-    "x": "х", "y": "уү",
+    "A": "АΑᎪ", "B": "ВΒᏴ", "C": "СϹᏟ", "D": "Ꭰ", "E": "ЕΕᎬ", "G": "Ꮐ", "H": "НΗᎻ", "I": "ІΙӀ", "J": "ЈͿᎫ", "K": "КΚᏦ", "L": "ᏞԼ", "M": "МΜᎷ", "N": "Ν", "O": "ОΟՕ", "P": "РΡᏢ", "Q": "Ԛ", "R": "Ꭱ",
+    "S": "ЅՏᏚ", "T": "ТΤᎢ", "U": "Ս", "V": "Ꮩ", "W": "ԜᎳ", "X": "ХΧ", "Y": "УΥҮ", "Z": "ΖᏃ",
+    "a": "аαɑ", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡց", "h": "һհ", "i": "іι", "j": "јϳ", "l": "ӏ", "n": "ո", "o": "оοօ", "p": "рρ", "q": "ԛ", "s": "ѕ", "u": "υս", "v": "ν", "w": "ԝ",
+    "x": "х", "y": "уүγ",
 }
 # Hyphens and dashes of the length of a hyphen.
 HYPHENS = "‐‑‒–−﹘﹣－"
@@ -31,8 +31,9 @@ FILLERS = "͏ᅟᅠ឴឵ㅤﾠ"
 
 _SCRIPT = {c: latin for latin, others in LOOK_ALIKES.items() for c in others}
 _PLAIN = r"[ -~\n\r]"
-#: An emoji with its joiners and selectors stays as it is; a plain run ends before a character that a mark or an invisible one follows.
-_PIECES = r"(?s)([\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}](?:[\x{FE0F}\x{1F3FB}-\x{1F3FF}]|\x{200D}[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}])*|[ -~\n\r]+(?![\p{M}\p{Cf}])|.)"
+#: An emoji with its joiners and selectors stays as it is; a plain run ends before a character that a mark or an invisible one follows. Han and Hangul map to
+#: themselves like ASCII and stand in the same runs.
+_PIECES = r"(?s)([\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}](?:[\x{FE0F}\x{1F3FB}-\x{1F3FF}]|\x{200D}[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}])*|[ -~\n\r\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}]+(?![\p{M}\p{Cf}])|.)"
 
 
 def _one(c: str) -> str:
@@ -47,9 +48,11 @@ def _one(c: str) -> str:
     kind, _, rest = unicodedata.decomposition(c).partition("> ")
     if rest and kind[1:] in ("wide", "narrow"):
         return "".join(_one(chr(int(x, 16))) for x in rest.split())
-    if rest and kind[1:] == "compat" and category[0] == "L":
-        parts = [chr(int(x, 16)) for x in rest.split()]
-        if len(parts) > 1 and all(unicodedata.category(p)[0] == "L" for p in parts):
+    parts = [chr(int(x, 16)) for x in rest.split()]
+    if rest and kind[1:] == "font" and all(unicodedata.category(p)[0] in "LN" for p in parts):  # a letter or digit in another face
+        return "".join(_one(p) for p in parts)
+    if rest and kind[1:] == "compat" and (category == "Nl" or category[0] == "L" and len(parts) > 1):  # joined letters, Roman numerals
+        if all(unicodedata.category(p)[0] == "L" for p in parts):
             return "".join(_one(p) for p in parts)
     return "".join(_SCRIPT.get(x, x) for x in unicodedata.normalize("NFD", c))
 
