@@ -11,10 +11,10 @@ CODE = r"`[^`\n]*`"
 DISPLAY = r"(?s)\$\$.*?\$\$"
 FORMULA = r"\$[^$\n]+\$"
 LINK_TARGET = r"\]\([^()\n]*\)"
-CITATION = r"\[([0-9]{1,9}(?:[  ]*[,;\-‐‑–—−][  ]*[0-9]{1,9})*)\]"
+CITATION = r"\[([0-9]{1,9}(?:[ \x{A0}]*[,;\-‐‑–—−][ \x{A0}]*[0-9]{1,9})*)\]"
 RANGE = r"^([0-9]+)[-‐‑–—−]([0-9]+)$"
-CHAPTER = r"(?:^|[^A-Za-z])(?:Chapters?|Chap\.)[     ]*([0-9]{1,9})"
-NUMBERED = r"(?:^|[^A-Za-z])(?:Tables?|Figures?|Figs?\.)[     ]*([0-9]{1,9})\.[0-9]"
+CHAPTER = r"(?:^|[^A-Za-z])(?:Chapters?|Chap\.)[ \x{A0}\x{2007}\x{2009}\x{202F}]*([0-9]{1,9})"
+NUMBERED = r"(?:^|[^A-Za-z])(?:Tables?|Figures?|Figs?\.)[ \x{A0}\x{2007}\x{2009}\x{202F}]*([0-9]{1,9})\.[0-9]"
 
 #: So many numbers of a range are made at once.
 CHUNK = 32_768
@@ -34,7 +34,7 @@ def cited_ranges(text: Column) -> Column:
     """What is cited in square brackets: array of (lo, hi), repeated ones once. A number alone is a range of one; the two ends of a range that
     goes down are two numbers."""
     groups = F.when(F.contains(text, F.lit("[")), F.regexp_extract_all(text, F.lit(CITATION), F.lit(1))).when(text.isNotNull(), F.array().cast("array<string>"))
-    parts = F.flatten(F.transform(groups, lambda g: F.split(F.regexp_replace(g, "[  ]", ""), "[,;]")))
+    parts = F.flatten(F.transform(groups, lambda g: F.split(F.regexp_replace(g, r"[ \x{A0}]", ""), "[,;]")))
 
     def pair(lo: Column, hi: Column) -> Column:
         return F.struct(lo.alias("lo"), hi.alias("hi"))

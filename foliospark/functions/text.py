@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # White space, ligatures, characters without width, blanks that aren't the usual one.
-SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0               　"
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 SPACE_CLASS = r"[\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
-NO_WIDTH = "​‌‍﻿­"
-BLANKS = "   "
+NO_WIDTH = "\u200b\u200c\u200d\ufeff\xad"
+BLANKS = "\xa0\u2009\u202f"
 SECTION_GLYPH = "␣"
 # Words that a lost letter of a "Th" ligature leaves, and the words meant.
 LOST_H = {
@@ -136,9 +136,8 @@ def clean_title(title: Column) -> tuple[Column, Column]:
     return number, F.when(t.rlike(named), F.when(rest == "", t).otherwise(rest)).when(t.rlike(plain), strip(F.regexp_extract(t, plain, 2))).otherwise(t)
 
 
-# The visible page label, and the callouts that note editors know.
+# Fixed value: the visible page label.
 PAGE_LABEL = r"> **[Trang gốc: $1]**"
-NOTE_CALLOUTS = "KEY POINTS?|CLINICAL PEARLS?|IMPORTANT|SUMMARY|CONTROVERSIES|WARNING|NOTE"
 
 
 def view_mode(md: Column, mode: str) -> Column:

@@ -22,8 +22,9 @@ def progress_latest(spark: SparkSession, d: str) -> DataFrame:
     return J.latest(_events(spark, d)).select("user_id", "event_id", "event_type", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at_time"))
 
 
-_CMD = "case event_type " + " ".join(f"when '{k}' then '{v}'" for k, v in J.COMMANDS.items()) + " end"
-_MOVE = "case " + " ".join(f"when f.state = '{s}' and o.c = '{c}' then '{to}'" for (s, c), to in J.MOVES.items()) + " else f.state end"
+_CMD = "case event_type when 'signup' then 'submit' when 'view' then 'start' when 'click' then 'pause' when 'purchase' then 'finish' when 'error' then 'cancel' end"
+_MOVE = """case when o.c = 'submit' and f.state in ('none', 'done', 'cancelled') then 'queued' when o.c = 'start' and f.state in ('queued', 'paused') then 'running' when o.c = 'pause' and f.state = 'running' then 'paused'
+  when o.c = 'finish' and f.state = 'running' then 'done' when o.c = 'cancel' and f.state in ('queued', 'running', 'paused') then 'cancelled' else f.state end"""
 _FIRST = "case when o.c = 'submit' then 'queued' else 'none' end"
 
 

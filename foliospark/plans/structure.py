@@ -24,6 +24,15 @@ pw as (select *, {_LEVELS} from hi window w as (partition by book_id, chapter or
 paths as (select book_id, chapter, ord, {_PATH} as path from pw)"""
 
 
+# The forms of lines once more, for the SQL side alone.
+_BUL = r"^\s*([•●▪■◦·‣○]|[-–—*]\s)"
+_NUM = r"^\s*\d{1,2}[.)]\s+\S"
+_LET = r"^\s*(\(?[a-z]\)|\([ivx]+\))\s+\S"
+_CAP = r"^\s*(Figure|Fig\.|Table)\s+(\d{1,4})(?:[.\-](\d{1,3}))?\b"
+_REF = r"^\s*(?:\[(\d{1,4})\]|(\d{1,4})[.)])\s+(\S.*)$"
+_CALL = r"(?i)^\s*(key points?|key concepts?|clinical pearls?|pearls?|important|controversies|summary|warning|caution|note|box \d[\d.]*[^\n]{0,60})\s*:?\s*$"
+
+
 def _items(spark: SparkSession, d: str) -> DataFrame:
     return S.ordered_items(table(spark, d, "out_items"))
 
@@ -53,12 +62,12 @@ def section_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    rf"""with {LINES}, m as (select *, min(x0) over (partition by book_id, page, block_seq) as lft, regexp_matches(text, '{Y.BULLET}') or regexp_matches(text, '{Y.NUMBERED}') or regexp_matches(text, '{Y.LETTERED}') as item,
+    rf"""with {LINES}, m as (select *, min(x0) over (partition by book_id, page, block_seq) as lft, regexp_matches(text, '{_BUL}') or regexp_matches(text, '{_NUM}') or regexp_matches(text, '{_LET}') as item,
       rtrim(lag(text) over o) as before, lag(x0) over o as px, lag(y1) over o as py from l window o as (partition by book_id, page, block_seq order by line_no)),
     f as (select *, case when px is null or item or coalesce(y0 - py > 0.6 * size, false) or (x0 - lft > 6 and px - lft < 3 and regexp_matches(before, '\.$')) then 1 else 0 end as new from m),
     g as (select *, sum(new) over (partition by book_id, page, block_seq order by line_no)::bigint as group_no from f)
     select book_id, page, block_seq, group_no, arg_min(case when item then 'item' else 'para' end, line_no) as kind,
-      (arg_min({{m: case when regexp_matches(text, '{Y.NUMBERED}') then regexp_extract(text, '^[\t-\r ]*([0-9]{{1,2}})[.)]', 1) || '.' when item then '-' end}}, line_no)).m as marker,
+      (arg_min({{m: case when regexp_matches(text, '{_NUM}') then regexp_extract(text, '^[\t-\r ]*([0-9]{{1,2}})[.)]', 1) || '.' when item then '-' end}}, line_no)).m as marker,
       (arg_min({{i: case when item then greatest(round_even((x0 - lft) / 14, 0), 0)::int end}}, line_no)).i as indent, min(line_no) as first_line, count(*) as n_lines from g group by all"""
 )
 def list_groups(spark: SparkSession, d: str) -> DataFrame:
@@ -83,16 +92,15 @@ def paragraph_merge(spark: SparkSession, d: str) -> DataFrame:
     return joined(S.paragraph_merge(_items(spark, d).select(*cases.columns).union(cases)), "ords")
 
 
-_CALLOUT = S.CALLOUT.replace("'", "''")
 
 
 @query(
     rf"""with {LINES}, c as (select book_id, page, block_seq, line_no, text, bold from l union all select distinct book_id, page, block_seq, 0, regexp_extract(markdown, '^> \*\*([^*]+)\*\*', 1), true from blocks where block_type = 'callout' and markdown is not null),
     f as (select book_id, page, block_seq, arg_min(text, line_no) as t, arg_min(bold, line_no) as b, count(*) as n_lines from c group by all)
-    select book_id, page, block_seq, upper(trim(regexp_extract(t, '{_CALLOUT}', 1))) as label, n_lines = 1 as open from f where regexp_matches(t, '{_CALLOUT}') and (b or (upper(t) = t and lower(t) <> t))"""
+    select book_id, page, block_seq, upper(trim(regexp_extract(t, '{_CALL}', 1))) as label, n_lines = 1 as open from f where regexp_matches(t, '{_CALL}') and (b or (upper(t) = t and lower(t) <> t))"""
 )
 def callouts(spark: SparkSession, d: str) -> DataFrame:
-    """Callout blocks (P18, W12). The lines of the tables lack the names, so they come from the Markdown."""
+    """Callout blocks (P18). The lines of the tables lack the names, so they come from the Markdown."""
     named = table(spark, d, "blocks").where("block_type = 'callout' and markdown is not null")
     name = F.regexp_extract("markdown", r"^> \*\*([^*]+)\*\*", 1)
     lines = _pages(spark, d).select("book_id", "page", "block_seq", "line_no", "text", "x0", "y0", "x1", "y1", "size", "bold", "italic")
@@ -102,10 +110,10 @@ def callouts(spark: SparkSession, d: str) -> DataFrame:
 @query(
     rf"""with {BLOCKS}, w as (select *, coalesce(lead(n_lines) over o <= 2 and not lead(all_bold) over o and lead(y0) over o - y1 >= 0 and lead(y0) over o - y1 < 6 and not regexp_matches(rtrim(text), '[.)]$'), false) as continued
       from b window o as (partition by book_id, page order by block_seq))
-    select book_id, page, block_seq, regexp_extract(text, '{Y.CAPTION}', 1) as what, regexp_extract(text, '{Y.CAPTION}', 2)::int as chapter, nullif(regexp_extract(text, '{Y.CAPTION}', 3), '')::int as no, continued from w where regexp_matches(text, '{Y.CAPTION}')"""
+    select book_id, page, block_seq, regexp_extract(text, '{_CAP}', 1) as what, regexp_extract(text, '{_CAP}', 2)::int as chapter, nullif(regexp_extract(text, '{_CAP}', 3), '')::int as no, continued from w where regexp_matches(text, '{_CAP}')"""
 )
 def captions(spark: SparkSession, d: str) -> DataFrame:
-    """Captions and the blocks that go on with them."""
+    """Captions, and whether the next block looks like going on with them (P19); ``chapter_items`` joins them."""
     return S.captions(_pages(spark, d))
 
 
@@ -138,16 +146,16 @@ def footnote_links(spark: SparkSession, d: str) -> DataFrame:
 @query(
     rf"""with r as (select distinct book_id, regexp_extract(block_id, '^ch([0-9]+)-', 1)::int as chapter, block_id, raw_text from blocks where block_type = 'reference' and raw_text is not null),
     l as (select book_id, chapter, block_id, generate_subscripts(string_split(raw_text, chr(10)), 1) as pos, unnest(string_split(raw_text, chr(10))) as line from r),
-    f as (select *, regexp_matches(line, '{S.REFERENCE_ITEM}') as begins, sum(regexp_matches(line, '{S.REFERENCE_ITEM}')::int) over (partition by book_id, block_id order by pos)::bigint as entry from l)
-    select book_id, chapter, block_id, entry, max(case when begins then coalesce(nullif(regexp_extract(line, '{S.REFERENCE_ITEM}', 1), ''), nullif(regexp_extract(line, '{S.REFERENCE_ITEM}', 2), ''))::int end) as no,
-      string_agg(case when begins then regexp_extract(line, '{S.REFERENCE_ITEM}', 3) else trim(line) end, ' ' order by pos) as text from f group by all"""
+    f as (select *, regexp_matches(line, '{_REF}') as begins, sum(regexp_matches(line, '{_REF}')::int) over (partition by book_id, block_id order by pos)::bigint as entry from l)
+    select book_id, chapter, block_id, entry, max(case when begins then coalesce(nullif(regexp_extract(line, '{_REF}', 1), ''), nullif(regexp_extract(line, '{_REF}', 2), ''))::int end) as no,
+      string_agg(case when begins then regexp_extract(line, '{_REF}', 3) else trim(line) end, ' ' order by pos) as text from f group by all"""
 )
 def reference_entries(spark: SparkSession, d: str) -> DataFrame:
-    """Entries of the reference lists."""
+    """Entries of the reference lists."""
     return S.reference_entries(table(spark, d, "blocks"))
 
 
-_XREF = S.CROSS_REFERENCE
+_XREF = r"\b((Chapter|Chap\.|Table|Fig\.|Figure)\s+(\d{1,4})(?:\.(\d{1,3}))?)"
 XREFS = rf"""{ITEMS}, xr as (select book_id, chapter, ord, page, unnest(regexp_extract_all(md, '{_XREF}', 1)) as text, unnest(regexp_extract_all(md, '{_XREF}', 2)) as kind, unnest(regexp_extract_all(md, '{_XREF}', 3))::int as target_chapter,
   nullif(unnest(regexp_extract_all(md, '{_XREF}', 4)), '')::int as target_no from items where kind in ('paragraph', 'list', 'callout', 'caption') and md is not null),
 {CURRENT}, conv as (select book_id, chapter, 'ch_' || lpad(chapter::varchar, 3, '0') || '.md' as file from cur),
@@ -218,9 +226,6 @@ def caption_assoc_figures(spark: SparkSession, d: str) -> DataFrame:
     return S.match_captions(_with_figures(spark, d)).where("kind = 'figure'")
 
 
-_CAP = r"^[\t-\r ]*(Figure|Fig\.|Table)[\t-\r ]+([0-9]{1,4})(?:[.\-]([0-9]{1,3}))?(?:[^0-9A-Za-z_]|$)"
-
-
 @query(
     rf"""with recursive {ITEMS}, {_FIGURES}, {_NEAR}, m as (select p.*, c.md, nullif(regexp_extract(c.md, '{_CAP}', 3), '')::int as no, row_number() over (partition by p.book_id, p.chapter, p.kind order by p.ord) as place from pairs p left join cap c on c.book_id = p.book_id and c.chapter = p.chapter and c.ord = p.caption_ord),
     n as (select book_id, chapter, ord, kind, caption_ord, case when md is not null and (kind = 'figure' or no is not null) then regexp_extract(md, '{_CAP}', 2)::int::varchar || coalesce('_' || lpad(no::varchar, 2, '0'), '') else chapter || '_' || lpad(place::varchar, 2, '0') end as number from m),

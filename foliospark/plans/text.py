@@ -18,8 +18,8 @@ def _strip(x: str) -> str:
 
 
 def _norm(x: str) -> str:
-    plain = "replace(" * 7 + x + "".join(f", '{a}', '{b}')" for a, b in T.LIGATURES.items())
-    return f"translate({plain}, '{T.BLANKS}{T.NO_WIDTH}', '{' ' * len(T.BLANKS)}')"
+    plain = "replace(" * 7 + x + "".join(f", chr({a}), '{b}')" for a, b in ((64256, "ff"), (64257, "fi"), (64258, "fl"), (64259, "ffi"), (64260, "ffl"), (64261, "st"), (64262, "st")))
+    return f"translate({plain}, chr(160) || chr(8201) || chr(8239) || chr(8203) || chr(8204) || chr(8205) || chr(65279) || chr(173), '   ')"
 
 
 def _nws(x: str) -> str:

@@ -65,6 +65,8 @@ def test_margins(spark):
 def test_scalars(spark):
     assert one(spark, "ﬁne​ day", X.normalize_chars) == "fine day"
     assert one(spark, " a \t b ", X.normalize_ws) == "a b"
+    assert one(spark, "85\xa0hours\u2009of\u202frest\xad", X.normalize_chars) == "85 hours of rest"
+    assert one(spark, "\u2003 a\u3000\u2028", X.normalize_ws) == "a"
     assert one(spark, "A  b\nC", X.fingerprint) == one(spark, "a b c", X.fingerprint) == hashlib.sha256(b"a b c").hexdigest()[:16]
     assert one(spark, "Page 12", X.is_page_number) and not one(spark, "Page 12 of", X.is_page_number)
     assert one(spark, "  ", X.junk_share) is None and one(spark, "ab�\x01", X.junk_share) == 0.5
