@@ -206,44 +206,51 @@ _PY_TIGHT = re.compile(rf"(?<![^\W_])(?<![|!+$@-])({_GLYPHS})-({_GLYPHS})(?![^\W
 
 
 def _tokens(text: str) -> list[str]:
-    """Words of a text in lower case; the parts of words divided at line ends aren't words."""
+    """Words of a text in lower case and in their one form; the parts of words divided at line ends aren't words."""
     if not text.isascii():
-        text = _PY_MARK.sub("-", text)
+        text = form_of(_PY_MARK.sub("-", text))
     if _PY_LINE_END.search(text):
         text = _PY_DIVIDED.sub(" ", text)
     return _PY_WORD.findall(text.lower())
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words in texts that aren't scanned and in scanned ones, of a partition as a whole as far as they fit."""
+    """Counts of words in raw texts that aren't scanned, in scanned ones, and in the cleaned texts of these, of a partition as a whole as far as they fit."""
 
-    def out(counts: tuple[Counter, Counter]) -> pa.RecordBatch:
+    def out(counts: list[Counter]) -> pa.RecordBatch:
         rows: dict[str, list[int]] = {}
         for k, n in enumerate(counts):
             for w, m in n.items():
-                rows.setdefault(w, [0, 0, 0, 0])[k] += m
+                rows.setdefault(w, [0] * 6)[k] += m
                 if "-" in w:
                     for part in w.split("-"):
-                        rows.setdefault(part, [0, 0, 0, 0])[2 + k] += m
-        cols = list(zip(*rows.values())) or [()] * 4
-        return pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), *(pa.array(c, pa.int64()) for c in cols)], names=["word", "clean", "scanned", "clean_part", "scanned_part"])
+                        rows.setdefault(part, [0] * 6)[3 + k] += m
+        cols = list(zip(*rows.values())) or [()] * 6
+        return pa.RecordBatch.from_arrays([pa.array(list(rows), pa.string()), *(pa.array(c, pa.int64()) for c in cols)], names=_COUNTED)
 
-    counts = Counter(), Counter()
+    counts = [Counter() for _ in range(3)]
     for b in batches:
-        for t, ocr in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            counts[ocr].update(_tokens(t))
-        if len(counts[0]) + len(counts[1]) > 300_000:
+        for raw, ocr, cleaned in zip(*(b.column(i).to_pylist() for i in range(3))):
+            if raw:
+                counts[ocr].update(_tokens(raw))
+            if cleaned:
+                counts[2].update(_tokens(cleaned))
+        if sum(map(len, counts)) > 300_000:
             yield out(counts)
-            counts = Counter(), Counter()
+            counts = [Counter() for _ in range(3)]
     yield out(counts)
 
 
+_COUNTED = ["word", "clean", "scanned", "cleaned", "clean_part", "scanned_part", "cleaned_part"]
+
+
 def vocabulary(blocks: DataFrame) -> DataFrame:
-    """(word, n, clean, scanned): uses of each word by itself, and its uses by itself or as a part of a compound in blocks that aren't scanned and in
-    scanned ones."""
-    rows = blocks.where("raw_text is not null").select("raw_text", F.coalesce("ocr", F.lit(False)).alias("ocr"))
-    counts = rows.mapInArrow(_count_words, "word STRING, clean LONG, scanned LONG, clean_part LONG, scanned_part LONG")
-    return counts.groupBy("word").agg(F.sum(F.col("clean") + F.col("scanned")).alias("n"), *(F.sum(F.col(k) + F.col(f"{k}_part")).alias(k) for k in ("clean", "scanned")))
+    """(word, n, clean, scanned, cleaned): uses of each word by itself in raw texts, and its uses by itself or as a part of a compound in raw texts that
+    aren't scanned, in scanned ones, and in the cleaned texts of these."""
+    ocr = F.coalesce("ocr", F.lit(False))
+    rows = blocks.where("raw_text is not null or cleaned_text is not null").select("raw_text", ocr.alias("ocr"), F.when(ocr, F.col("cleaned_text")).alias("cleaned"))
+    counts = rows.mapInArrow(_count_words, ", ".join(f"{c} LONG" if c != "word" else "word STRING" for c in _COUNTED))
+    return counts.groupBy("word").agg(F.sum(F.col("clean") + F.col("scanned")).alias("n"), *(F.sum(F.col(k) + F.col(f"{k}_part")).alias(k) for k in ("clean", "scanned", "cleaned")))
 
 
 class Classes:
@@ -291,7 +298,8 @@ def _count_pairs(classes: Classes, wanted: frozenset | None):
         return pa.RecordBatch.from_arrays([word, scanned, a, pa.array(b.astype(np.int32)), pa.array(k)], names=["word", "scanned", "a", "b", "k"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, pairs, around = Known(), [], []
+        known, around = Known(), []
+        pairs = np.zeros(classes.n * classes.n, np.int64)
         numbers = Numbers() if wanted is None else {w: i for i, w in enumerate(wanted)}
         for batch in batches:
             seq, who, sizes = [0] * SPAN, [-1] * SPAN, [SPAN]
@@ -309,13 +317,11 @@ def _count_pairs(classes: Classes, wanted: frozenset | None):
             for d in range(1, SPAN + 1):
                 a, b = x[:-d], x[d:]
                 both = (a > 0) & (b > 0)
-                pairs.append(np.unique((np.minimum(a, b) * classes.n + np.maximum(a, b))[both], return_counts=True))
+                pairs += np.bincount((np.minimum(a, b) * classes.n + np.maximum(a, b))[both], minlength=len(pairs))
                 for w, c in ((y[:-d], b), (y[d:], a)):
                     hit = (w >= 0) & (c > 0)
                     near.append((w * classes.n + c)[hit])
             around.append(np.unique(np.concatenate(near), return_counts=True))
-            if sum(len(p[0]) for p in pairs) > 2_000_000:
-                pairs = [_merge(pairs)]
             if sum(len(p[0]) for p in around) > 2_000_000:
                 around = [_merge(around)]
                 if len(around[0][0]) > 1_000_000:
@@ -326,7 +332,8 @@ def _count_pairs(classes: Classes, wanted: frozenset | None):
             if wanted is None and len(numbers) > 300_000:
                 yield out(*_merge(around), list(numbers))
                 around, numbers = [], Numbers()
-        yield out(*_merge(pairs), None)
+        met = np.flatnonzero(pairs)
+        yield out(met, pairs[met], None)
         yield out(*_merge(around), list(numbers))
 
     return run
@@ -475,19 +482,6 @@ def _divided_words(body: str, flat: str | None, raw: bool) -> Iterator[tuple[str
                 yield (m.group(1) + m.group(2)).lower(), text, m.start(), m.end()
 
 
-def _all_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: set[str] = set()
-    for b in batches:
-        for field, body, flat in zip(*(b.column(i).to_pylist() for i in range(3))):
-            seen.update(_PY_PART.findall(body.lower()))
-            if "-" in body:
-                seen.update(w for w, *_ in _divided_words(body, flat, field == "raw_text"))
-        if len(seen) > 300_000:
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["word"])
-            seen = set()
-    yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string())], names=["word"])
-
-
 def _occurrences(classes: Classes, wanted: frozenset | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -634,8 +628,8 @@ class Repair:
         self.counts = vocabulary(blocks).checkpoint()
         self.texts = scanned(blocks, books, chapters).checkpoint()
         self.breaks = breaks(self.texts).checkpoint()
-        words = self.texts.select("field_name", "body", "flat").mapInArrow(_all_words, "word STRING").union(self.breaks.select(F.explode(F.array("l", _head("r"))).alias("word"))).distinct()
-        self.links = links(words.checkpoint(), self.counts).checkpoint()
+        words = self.counts.where("scanned > 0 or cleaned > 0").select("word").union(self.breaks.select(F.explode(F.array("joined", "l", _head("r"), F.concat("l", _head("r")))).alias("word")))
+        self.links = links(words.distinct().checkpoint(), self.counts).checkpoint()
         self.fixes = self._fixes(blocks, vectors).checkpoint()
         self._divided: DataFrame | None = None
 
@@ -684,7 +678,7 @@ class Repair:
         open_ = rows.where(new & (F.col("field_name") == "raw_text") & ~F.col("far") & ~F.col("name") & (F.length("l") > 1) & (F.length(_head("r")) > 1))
         open_ = open_.join(rows.where(~new).select(*key, "l").distinct(), [*key, "l"], "left_anti").select("book_id", "block_id", "l", "r")
         parts = open_.select("book_id", "block_id", "l", "r", F.explode(F.array("l", _head("r"))).alias("part")).where(F.col("part").rlike(r"^\p{L}+$"))
-        words = self.counts.select(F.col("word").alias("part")).union(self.links.where("prior > 0").select("word"))
+        words = self.counts.where("clean + scanned > 0").select(F.col("word").alias("part")).union(self.links.where("prior > 0").select("word"))
         strange = parts.join(words, "part", "left_anti").select("book_id", "block_id", "l", "r").distinct()
         near = new & ((F.col("field_name") == "cleaned_text") | ~F.col("far"))
         return rows.where(near).join(strange, ["book_id", "block_id", "l", "r"], "left_semi").select(*rows.columns)
