@@ -6,7 +6,8 @@ glyph edits; each occurrence is then read in its context; running lines are remo
 Reading in context: an occurrence of ``w`` is taken for ``r`` if ``log(g_r) - EDIT_COST * edits + S(r)`` exceeds ``log(g_w + unseen) + S(w)``. ``g`` is
 the number of genuine uses to be expected in scanned text: what blocks that aren't scanned show, or what misreadings can't explain. ``S`` is
 the sum over the ``SPAN`` words on either side of the product of skip-gram vectors of word and context word, which is the logarithm of how much
-more often than by chance the two meet. So the same word may be right in one place and misread in another.
+more often than by chance the two meet. So the same word may be right in one place and misread in another. A word of letters alone is only
+read anew where its context speaks for the reading, whatever the counts say.
 
 Vectors: contexts are classes of words, the ``TOP_CLASSES`` most frequent ones each alone, all others by hash, so that their vectors have a fixed size
 and are passed to every task. They are trained with negative sampling in its expectation on the counts of class pairs of the whole corpus
@@ -444,9 +445,10 @@ def _decide(v: np.ndarray):
             if rows:
                 c = np.array([ctx[i] for i in rows])
                 flat = [x for l in links for x in l]
-                gain = np.array([x["prior"] for x in flat]) + _scores(v, np.array([x["vector"] or zero for x in flat]), c) - _scores(v, np.array([own[i] or zero for i in rows]), c)
-                for i, x, g in sorted(zip(rows, flat, gain), key=lambda y: (y[0], -y[2], y[1]["reading"])):
-                    if g > 0 and (not who or who[-1] != i):
+                support = _scores(v, np.array([x["vector"] or zero for x in flat]), c) - _scores(v, np.array([own[i] or zero for i in rows]), c)
+                gain = np.array([x["prior"] for x in flat]) + support
+                for i, x, g, s in sorted(zip(rows, flat, gain, support), key=lambda y: (y[0], -y[2], y[1]["reading"])):
+                    if g > 0 and (s > 0 or not x["letters"]) and (not who or who[-1] != i):
                         who.append(i)
                         reads.append(x["reading"])
             at = pa.array(who, pa.int64())
@@ -513,8 +515,8 @@ def genuine(clean: str, scanned: str, scale: Column, other: str, least: float =
 
 
 def links(words: DataFrame, counts: DataFrame) -> DataFrame:
-    """(word, reading, prior): readings of ``words`` (word) that some context could make the likelier one; ``prior`` is what speaks for the reading
-    without the context. Words of one glyph and words without a letter aren't looked at."""
+    """(word, reading, prior, letters): readings of ``words`` (word) that some context could make the likelier one; ``prior`` is what speaks for the reading
+    without the context; letters: the word has no sign or digit. Words of one glyph and words without a letter aren't looked at."""
     spark = words.sparkSession
     ship(spark)
     sums = counts.agg(F.sum("scanned").alias("s"), F.sum("clean").alias("c"))
@@ -528,7 +530,7 @@ def links(words: DataFrame, counts: DataFrame) -> DataFrame:
     unseen = F.when(F.col("word").rlike(r"^\p{L}+$") | (F.length("word") <= 3), UNSEEN).otherwise(UNSEEN_MIXED)
     prior = F.log(gr) - EDIT_COST * F.col("edits") - F.log(gw + unseen * allowed)
     swing = TOTAL_BOUNDS[1] - TOTAL_BOUNDS[0]
-    return pairs.where((F.col("cr") > 0) | (F.col("sr") > 1)).where(gr > 0).select("word", "reading", prior.alias("prior")).where(F.col("prior") > -swing)
+    return pairs.where((F.col("cr") > 0) | (F.col("sr") > 1)).where(gr > 0).select("word", "reading", prior.alias("prior"), F.col("word").rlike(r"^\p{L}+$").alias("letters")).where(F.col("prior") > -swing)
 
 
 def _form(text: Column) -> Column:
@@ -642,7 +644,7 @@ class Repair:
         vector = model.words.checkpoint()
         if not vectors:
             vector = vector.where("false")
-        per = self.links.join(vector.select(F.col("word").alias("reading"), F.col("as_reading").alias("vector")), "reading", "left").groupBy("word").agg(F.collect_list(F.struct("reading", "prior", "vector")).alias("links"))
+        per = self.links.join(vector.select(F.col("word").alias("reading"), F.col("as_reading").alias("vector")), "reading", "left").groupBy("word").agg(F.collect_list(F.struct("reading", "prior", "letters", "vector")).alias("links"))
         per = per.join(vector.select("word", F.col("as_word").alias("own")), "word", "left").checkpoint()
         n = per.count()
         passed = frozenset(r.word for r in found.collect()) if n <= PASSED_WORDS else None

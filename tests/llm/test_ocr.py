@@ -126,3 +126,11 @@ def test_edits_between_as_variants():
         for r, n in O.variants(w).items():
             assert O.edits_between(w, r) == n, (w, r)
     assert O.edits_between("night", "night") == 0 and O.edits_between("night", "nigh") is None
+
+
+def test_letters_are_read_anew_only_where_vectors_speak_for_it(spark, repair):
+    none = spark.createDataFrame([], "book_id STRING, title STRING"), spark.createDataFrame([], "book_id STRING, number INT, title STRING")
+    blind = O.Repair(blocks(spark, CASES), *none, vectors=False)
+    misread = {(int(r.block_id[-3:]), r.field_name) for r in blind.found().where("fault = 'misread'").collect()}
+    assert misread == {(0, "raw_text"), (10, "raw_text")}
+    assert {(int(r.block_id[-3:]), r.field_name) for r in repair.found().where("fault = 'misread'").collect()} == misread | {(6, "raw_text")}
