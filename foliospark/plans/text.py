@@ -67,6 +67,7 @@ def slugify_ascii(spark: SparkSession, d: str) -> DataFrame:
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
 _NARROW = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''")
 _PLAIN_TITLE = f"translate(replace(replace(replace(replace(replace(title, 'ﬀ', 'ff'), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬃ', 'ffi'), 'ﬄ', 'ffl'), '{_WIDE}', '{_NARROW}')"
+_PLAIN_TITLE = rf"regexp_replace({_PLAIN_TITLE}, '[\x{{A0}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{205F}}\x{{3000}}]', ' ', 'g')"
 _SLUG_OF = _SLUG.replace("title", "t")
 
 
