@@ -99,6 +99,10 @@ def p3_clean(spark: SparkSession, d: str) -> DataFrame:
     return clean(table(spark, d, "out_items"), table(spark, d, "blocks"))
 
 
+ORACLES["p5_found"] = """with l as (select kind, min(max_chars) as m from split_limits group by 1), t as (select 'md' as field_name, book_id, block_id, md as text, kind from out_items union all select 'markdown', book_id, block_id, markdown, block_type from blocks)
+select distinct field_name, book_id, block_id from t join l using (kind) where length(text) > m"""
+
+
 @query
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     """Items and blocks whose Markdown exceeds the limit of its kind."""
