@@ -10,12 +10,14 @@ from foliospark.operators.layout import BULLET, CAPTION, LETTERED, NUMBERED, PAG
 from foliospark.operators.lines import unique_lines
 from foliospark.operators.quality import CHAPTER, chapter_of
 
-# Ends of sentences; names of callouts; headings of reference lists; form of cross-references.
+# Ends of sentences; names of callouts; headings of reference lists; form of cross-references; blanks other than the plain ones, as characters,
+# entities or a tie.
 TERMINAL = r"[.!?:;)\]\"'”’]$"
 CALLOUT = r"(?i)^[\t-\r ]*(KEY POINTS?|KEY CONCEPTS?|CLINICAL PEARLS?|PEARLS?|IMPORTANT|CONTROVERSIES|SUMMARY|WARNING|CAUTION|NOTE|BOX [0-9][0-9.]*[^\n]{0,60})[\t-\r ]*:?[\t-\r ]*$"
 REFERENCE_HEAD = r"(?i)^[\t-\r ]*(references?|bibliography|suggested readings?|further reading)[\t-\r ]*$"
 REFERENCE_ITEM = r"^[\t-\r ]*(?:\[([0-9]{1,4})\]|([0-9]{1,4})[.)])[\t-\r ]+([^\t-\r ].*)$"
 CROSS_REFERENCE = r"(?:^|[^A-Za-z0-9_])((Chapter|Chap\.|Table|Fig\.|Figure)[\t-\r ]+([0-9]{1,4})(?:\.([0-9]{1,3}))?)"
+BLANK = r"[\x{A0}\x{2000}-\x{200A}\x{202F}\x{205F}\x{3000}~]|&(?:nbsp|ensp|emsp|thinsp|#0*160|#[xX]0*[aA]0);"
 
 
 def ordered_items(out_items: DataFrame) -> DataFrame:
@@ -199,14 +201,16 @@ def match_captions(items: DataFrame) -> DataFrame:
 
 def figure_numbers(items: DataFrame) -> DataFrame:
     """(book_id, chapter, ord, kind, caption_ord, number, file): the number of each figure and table from its caption, else from its place among those of
-    its kind in the chapter; and the name of its file, with a suffix where a name is taken."""
+    its kind in the chapter; and the name of its file, with a suffix where a name is taken. A blank before the number of a figure may be of any kind; a
+    table's caption is read as its SQL reads it, with plain blanks only."""
     pairs = match_captions(items)
     md = items.select(*CHAPTER, F.col("ord").alias("caption_ord"), "md")
     rows = pairs.join(md, [*CHAPTER, "caption_ord"], "left")
-    no = F.nullif(F.regexp_extract("md", CAPTION, 3), F.lit("")).cast("int")
-    of_caption = F.concat(F.regexp_extract("md", CAPTION, 2).cast("int"), F.when(no.isNotNull(), F.format_string("_%02d", no)).otherwise(""))
+    text = F.when(F.col("kind") == "figure", F.regexp_replace("md", BLANK, " ")).otherwise(F.col("md"))
+    main, no = (F.nullif(F.regexp_extract(text, CAPTION, i), F.lit("")).cast("int") for i in (2, 3))
+    of_caption = F.concat(main, F.when(no.isNotNull(), F.format_string("_%02d", no)).otherwise(""))
     place = F.row_number().over(Window.partitionBy(*CHAPTER, "kind").orderBy("ord"))
-    numbered = F.col("md").isNotNull() & ((F.col("kind") == "figure") | no.isNotNull())
+    numbered = main.isNotNull() & ((F.col("kind") == "figure") | no.isNotNull())
     rows = rows.withColumn("number", F.when(numbered, of_caption).otherwise(F.format_string("%d_%02d", "chapter", place)))
     n = F.row_number().over(Window.partitionBy(*CHAPTER, "kind", "number").orderBy("ord"))
     file = F.concat("kind", F.lit("_"), "number", F.when(n > 1, F.concat(F.lit("_"), n)).otherwise(""), F.when(F.col("kind") == "figure", ".png").otherwise(".md"))

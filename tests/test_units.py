@@ -171,6 +171,17 @@ def test_numbers_and_files(spark):
     assert issues == [("CAPTION_NO_FIGURE", 9, 1), ("FIGURE_NO_CAPTION", 9, 1)]
 
 
+def test_numbers_of_unplain_captions(spark):
+    """A figure's number is read over any blank; a caption without a number, and a table's whose number doesn't follow a plain blank, leave the place."""
+    md = ["Figure&nbsp;3.3 a", "Fig.&#160;&#xA0; 3-4 b", "Figure\u00a05 c", "Fig.~3.3 d", "Figure legend", "Fig", "Figure&amp;3.9", "Table&nbsp;3.9 e", "Table 3.8 f", "Table g"]
+    rows = [("b", 3, 2 * i + k, ("table" if m.startswith("Table") else "figure") if k == 1 else "caption", m if k == 2 else "", i) for i, m in enumerate(md) for k in (1, 2)]
+    items = spark.createDataFrame(rows, "book_id STRING, chapter INT, ord INT, kind STRING, md STRING, page INT")
+    got = [(r.caption_ord, r.number, r.file) for r in S.figure_numbers(items).orderBy("ord").collect()]
+    numbers = ["3_03", "3_04", "5", "3_03", "3_05", "3_06", "3_07", "3_01", "3_08", "3_03"]
+    files = [f"figure_{n}.png" for n in numbers[:3]] + ["figure_3_03_2.png"] + [f"figure_{n}.png" for n in numbers[4:7]] + [f"table_{n}.md" for n in numbers[7:]]
+    assert got == [(2 * i + 2, n, f) for i, (n, f) in enumerate(zip(numbers, files))]
+
+
 def test_changed_numbers(spark):
     blocks = spark.createDataFrame([("b", "ch001-p0001-b001", 1, "dose 2.5 mg of 3"), ("b", "ch002-p0001-b001", 1, "give 7 mg")], "book_id STRING, block_id STRING, page INT, raw_text STRING")
     items = spark.createDataFrame([("b", 1, 1, "paragraph", 1, "dose 25 mg of 3"), ("b", 2, 1, "paragraph", 1, "give mg")], "book_id STRING, chapter INT, ord INT, kind STRING, page INT, md STRING")
